@@ -43,14 +43,16 @@ TERMS = T.StructType(
 
 @dataclass(frozen=True)
 class TextIndex:
+    """``terms`` may hold several partial rows per term; their sums count."""
+
     postings: DataFrame
     terms: DataFrame
     analyzer: Analyzer
 
     def corpus_size(self) -> DataFrame:
         """One row: number of chunks and their mean length in tokens."""
-        return self.terms.filter(F.col("term") == "").select(
-            F.col("df").alias("n_chunks"), (F.col("total_len") / F.col("df")).alias("mean_len")
+        return self.terms.filter(F.col("term") == "").agg(
+            F.sum("df").alias("n_chunks"), (F.sum("total_len") / F.sum("df")).alias("mean_len")
         )
 
 

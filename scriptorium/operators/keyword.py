@@ -148,7 +148,8 @@ def document_frequency(index: TextIndex, found: Matches) -> DataFrame:
         .groupBy("phrase")
         .agg(F.count(F.lit(1)).alias("df"))
     )
-    return terms.select(F.col("term").alias("phrase"), "df").unionByName(counted)
+    single = terms.groupBy(F.col("term").alias("phrase")).agg(F.sum("df").alias("df"))
+    return single.unionByName(counted)
 
 
 def _same_category() -> Column:
