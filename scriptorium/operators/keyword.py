@@ -79,30 +79,27 @@ def _phrase_hits(index: TextIndex, phrases: DataFrame, chunks: DataFrame) -> Dat
         .join(multi, "phrase")
         .drop("found", "n_terms")
     )
-    texts = with_chunk_id(chunks).select("chunk_id", "title", "content")
-    tokenised = candidates.join(texts, "chunk_id").select(
-        "phrase",
+    # Each candidate chunk is tokenised once; every term stands between spaces,
+    # so that a look-ahead counts phrase occurrences, overlapping ones too.
+    def spaced(terms: Column) -> Column:
+        return F.concat(F.lit(" "), F.array_join(terms, "  "), F.lit(" "))
+
+    texts = with_chunk_id(chunks).join(candidates.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    tokenised = texts.select(
         "chunk_id",
-        "category",
-        "doc_len",
-        "terms",
-        index.analyzer.terms(F.col("title")).alias("title_terms"),
-        index.analyzer.terms(F.col("content")).alias("content_terms"),
+        spaced(index.analyzer.terms(F.col("title"))).alias("spaced_title"),
+        spaced(index.analyzer.terms(F.col("content"))).alias("spaced_content"),
     )
-
-    def occurrences(words: str) -> Column:
-        starts = F.sequence(F.lit(1), F.size(words) - F.size("terms") + 1)
-        at = F.filter(starts, lambda i: F.slice(F.col(words), i, F.size("terms")) == F.col("terms"))
-        return F.when(F.size(words) >= F.size("terms"), F.size(at)).otherwise(0).cast("long")
-
+    at_phrase = F.concat(F.lit("(?="), spaced(F.col("terms")), F.lit(")"))
     return (
-        tokenised.select(
+        tokenised.join(candidates, "chunk_id")
+        .select(
             "phrase",
             "chunk_id",
             "category",
             "doc_len",
-            occurrences("title_terms").alias("tf_title"),
-            occurrences("content_terms").alias("tf_content"),
+            F.regexp_count("spaced_title", at_phrase).cast("long").alias("tf_title"),
+            F.regexp_count("spaced_content", at_phrase).cast("long").alias("tf_content"),
         )
         .filter(F.col("tf_title") + F.col("tf_content") > 0)
     )

@@ -52,7 +52,7 @@ def path_lookup(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
     paths = (
         _rarest(wanted, offered, "query_id")
         .join(offered, "gram")
-        .filter(path.like(F.concat(F.lit("%"), F.lower("query"), F.lit("%"))))
+        .filter(F.like(path, F.concat(F.lit("%"), F.lower("query"), F.lit("%"))))
         .select("query_id", "file_path", "wanted")
     )
     rows = chunks.join(paths, "file_path").filter(F.col("wanted").isNull() | (F.col("wanted") == F.col("category")))

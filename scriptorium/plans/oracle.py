@@ -238,3 +238,219 @@ def phrases(k: int = 5) -> str:
   scored AS (SELECT query AS query_id, cid, round(greatest(ln((n - df + 0.5) / (df + 0.5)), {MIN_IDF}) * {tf} * {K1 + 1}
      / ({tf} + {K1} * ({1 - B} + {B} * doc_len / mean_len)), 6) AS score FROM hit JOIN df USING (query), stats)
   SELECT {_HIT} FROM ({_ranked('scored', k)}) r JOIN c USING (cid)"""
+
+
+# -- documents, usage ---------------------------------------------------------
+
+_TOKENS = "CASE WHEN length({t}) = 0 THEN 0 ELSE greatest(1, length({t}) // 4) END"
+
+REASSEMBLED = f"""SELECT file_path, arg_min(title, chunk_index) AS title, arg_min(category, chunk_index) AS category,
+  string_agg(content, chr(10) || chr(10) ORDER BY chunk_index) AS content, count(*) AS chunks FROM ({CHUNKS}) GROUP BY file_path"""
+
+GET_DOC = f"""SELECT file_path, title, CASE WHEN length(content) > 1000 THEN left(content, 1000) || '...' ELSE content END AS content,
+  category, length(content) > 1000 AS truncated,
+  CAST({_TOKENS.format(t="(CASE WHEN length(content) > 1000 THEN left(content, 1000) || '...' ELSE content END)")} AS BIGINT) AS tokens_returned,
+  CAST({_TOKENS.format(t="content")} AS BIGINT) AS tokens_baseline FROM ({REASSEMBLED})"""
+
+EXPORT = f"SELECT file_path, title, category, regexp_replace(content, '\\s+$', '') AS content, chunks FROM ({REASSEMBLED})"
+
+EXPORT_MARKDOWN = f"""SELECT file_path, '---' || chr(10) || 'file_path: ' || file_path || chr(10) || 'title: ' || title || chr(10)
+  || 'category: ' || category || chr(10) || '---' || chr(10) || chr(10) || content || chr(10) || chr(10) AS value FROM ({EXPORT})"""
+
+LIST_DOCS = f"SELECT file_path, min(title) AS title, min(category) AS category, count(*) AS chunks FROM ({CHUNKS}) GROUP BY file_path"
+LIST_CATEGORIES = f"SELECT category, count(DISTINCT file_path) AS docs FROM ({CHUNKS}) WHERE category IS NOT NULL GROUP BY category"
+CATEGORY_TOTALS = f"SELECT category, count(DISTINCT file_path) AS docs, count(*) AS chunks FROM ({CHUNKS}) GROUP BY category"
+TOKEN_ESTIMATE = f"SELECT file_path, chunk_index, CAST({_TOKENS.format(t='content')} AS BIGINT) AS tokens FROM ({CHUNKS})"
+CONTENT_HASH = f"SELECT file_path, chunk_index, content_hash FROM ({CHUNKS})"
+CONTEXT_HEADER = f"SELECT file_path, chunk_index, 'Document: ' || file_path || ' | Section: ' || title || chr(10) || chr(10) AS header FROM ({CHUNKS})"
+PENDING = f"""SELECT file_path, chunk_index FROM ({CHUNKS}) WHERE file_path NOT IN (SELECT file_path FROM ({VECTORS}))"""
+
+_RECENT = "accessed_at >= (SELECT max(accessed_at) FROM a) - INTERVAL {days} DAY"
+
+
+def top_accessed(limit: int = 10, days: int = 30) -> str:
+    return f"""WITH a AS ({ACCESS}), c AS ({CHUNKS})
+  SELECT n.file_path, access_count, last_accessed, title, category FROM
+  (SELECT file_path, count(*) AS access_count, max(accessed_at) AS last_accessed FROM a WHERE {_RECENT.format(days=days)} GROUP BY file_path) n
+  LEFT JOIN c ON c.file_path = n.file_path AND c.chunk_index = 0 ORDER BY access_count DESC, n.file_path LIMIT {limit}"""
+
+
+def savings_total(days: int = 7) -> str:
+    return f"""WITH a AS ({ACCESS}) SELECT calls, tokens_returned, tokens_baseline, greatest(0, tokens_baseline - tokens_returned) AS tokens_saved
+  FROM (SELECT count(*) AS calls, CAST(coalesce(sum(tokens_returned), 0) AS BIGINT) AS tokens_returned,
+  CAST(coalesce(sum(tokens_baseline), 0) AS BIGINT) AS tokens_baseline FROM a WHERE {_RECENT.format(days=days)})"""
+
+
+def savings_by_tool(days: int = 7) -> str:
+    return f"""WITH a AS ({ACCESS}) SELECT tool, count(*) AS calls, CAST(sum(greatest(tokens_baseline - tokens_returned, 0)) AS BIGINT) AS tokens_saved
+  FROM a WHERE {_RECENT.format(days=days)} AND tokens_baseline IS NOT NULL AND tokens_returned IS NOT NULL GROUP BY tool"""
+
+
+def purge(days: int = 14) -> str:
+    return f"WITH a AS ({ACCESS}) SELECT file_path, tool, tokens_returned, tokens_baseline, accessed_at FROM a WHERE {_RECENT.format(days=days)}"
+
+
+def primer(limit: int = 10) -> str:
+    return f"""WITH t AS ({top_accessed(limit, 30)}), c AS ({CHUNKS})
+  SELECT t.file_path, t.title, t.category, coalesce(CASE WHEN length(content) > 200 THEN left(content, 200) || '...' ELSE content END, '') AS summary,
+  access_count FROM t LEFT JOIN c ON c.file_path = t.file_path AND chunk_index = 0"""
+
+
+def topic_context(k: int = 10) -> str:
+    return f"""WITH {_occurrences(CHUNKS, QUERIES, True)}, {_bm25_scored()}, t AS ({top_accessed(k, 30)})
+  SELECT query_id, rank, c.file_path AS file_path, c.title AS title, c.category AS category,
+    CASE WHEN length(content) > 200 THEN left(content, 200) || '...' ELSE content END AS summary, coalesce(access_count, 0) AS access_count
+  FROM ({_ranked('scored', k)}) r JOIN c USING (cid) LEFT JOIN t ON t.file_path = c.file_path"""
+
+
+SEARCH_LOG = f"""WITH {_occurrences(CHUNKS, QUERIES, True)}, {_bm25_scored()},
+  base AS (SELECT file_path, CAST(sum({_TOKENS.format(t='content')}) AS BIGINT) AS tokens_baseline FROM c GROUP BY file_path)
+  SELECT file_path, query, 'search_docs' AS tool, CAST({_TOKENS.format(t="(CASE WHEN length(content) > 200 THEN left(content, 200) || '...' ELSE content END)")} AS BIGINT) AS tokens_returned,
+  tokens_baseline FROM ({_ranked('scored', 3)}) r JOIN c USING (cid) JOIN base USING (file_path) JOIN q USING (query_id)"""
+
+# -- links and graph ----------------------------------------------------------
+
+_NORMAL = r"""regexp_extract(lower({u}), '^https?://[^/?#]*') ||
+  CASE WHEN regexp_extract({u}, '^https?://[^/?#]*([^?#]*)', 1, 'i') = '/' THEN '/' ELSE regexp_replace(regexp_extract({u}, '^https?://[^/?#]*([^?#]*)', 1, 'i'), '/+$', '') END
+  || regexp_extract({u}, '^[^?#]*(\?[^#]+)', 1)"""
+NORMALIZED = f"SELECT page_id, url, {_NORMAL.format(u='url')} AS normalized FROM pages"
+_HREFS = r"""SELECT url, trim(unnest(regexp_extract_all(html, '(?i)<a\s[^>]*href=["'']([^"'']+)["'']', 1))) AS href FROM pages"""
+PAGE_LINKS = f"""SELECT DISTINCT url, {_NORMAL.format(u="(regexp_extract(url, '^https?://[^/?#]*') || href)")} AS link
+  FROM ({_HREFS}) WHERE href LIKE '/%'"""
+CO_CHANGE = f"""WITH f AS ({COMMIT_FILES}), s AS (SELECT commit_id FROM f GROUP BY commit_id HAVING count(*) BETWEEN 2 AND 20)
+  SELECT DISTINCT 'git-history/' || a.file AS source_path, 'git-history/' || b.file AS target_path, 'git_co_change' AS relation_type
+  FROM f a JOIN f b USING (commit_id) JOIN s USING (commit_id) WHERE a.file <> b.file"""
+GIT_REFS = f"SELECT DISTINCT 'git-history/' || file AS source_path, file AS target_path, 'git_ref' AS relation_type FROM ({COMMIT_FILES})"
+WEB_LINKS = f"SELECT {_NORMAL.format(u='url')} AS source_path, link AS target_path, 'links_to' AS relation_type FROM ({PAGE_LINKS})"
+LINKS = f"SELECT * FROM ({CO_CHANGE}) UNION ALL SELECT * FROM ({GIT_REFS}) UNION ALL SELECT DISTINCT * FROM ({WEB_LINKS})"
+_ADJACENT = """adj AS (SELECT source_path AS path, target_path AS related_path, relation_type, 'outgoing' AS direction FROM l
+  UNION ALL SELECT target_path, source_path, relation_type, 'incoming' FROM l WHERE source_path <> target_path)"""
+_HUBS = """h AS (SELECT path, count(*) AS connections FROM (SELECT source_path AS path FROM l UNION ALL SELECT target_path FROM l)
+  GROUP BY path ORDER BY connections DESC, path LIMIT {n})"""
+HUBS = f"""WITH l AS ({LINKS}), {_HUBS.format(n=10)}, c AS ({CHUNKS})
+  SELECT path, connections, title, category FROM h LEFT JOIN c ON c.file_path = path AND chunk_index = 0"""
+RELATIONS = f"SELECT relation_type, count(*) AS count FROM ({LINKS}) GROUP BY relation_type"
+GRAPH_TOTALS = f"""SELECT (SELECT count(*) FROM ({LINKS})) AS total_edges, (SELECT count(DISTINCT relation_type) FROM ({LINKS})) AS relation_kinds,
+  (SELECT count(DISTINCT file_path) FROM ({CHUNKS})) AS total_docs"""
+ORPHANS = f"""WITH l AS (SELECT * FROM ({LINKS})), c AS ({CHUNKS}) SELECT file_path AS path, title, category FROM c
+  WHERE chunk_index = 0 AND NOT starts_with(file_path, 'git-history/')
+  AND file_path NOT IN (SELECT source_path FROM l UNION SELECT target_path FROM l) ORDER BY category, path LIMIT 20"""
+ONE_HOP = f"""WITH l AS ({WEB_LINKS}), {_ADJACENT}, c AS ({CHUNKS})
+  SELECT path, related_path, relation_type, direction, title, category FROM adj
+  LEFT JOIN c ON c.file_path = related_path AND chunk_index = 0 WHERE path IN (SELECT source_path FROM l)"""
+MULTI_HOP = f"""WITH RECURSIVE l AS ({LINKS}), {_ADJACENT}, {_HUBS.format(n=3)},
+  h1 AS (SELECT start, path, min(struct_pack(walk := walk, direction := direction, relation_type := relation_type)) AS seen FROM
+    (SELECT h.path AS start, related_path AS path, [relation_type, related_path] AS walk, direction, relation_type FROM h JOIN adj ON adj.path = h.path)
+    WHERE path <> start GROUP BY start, path),
+  h2 AS (SELECT start, path, min(struct_pack(walk := walk, direction := direction, relation_type := relation_type)) AS seen FROM
+    (SELECT h1.start, related_path AS path, list_concat(seen.walk, [adj.relation_type, related_path]) AS walk, adj.direction, adj.relation_type
+     FROM h1 JOIN adj ON adj.path = h1.path) s
+    WHERE path <> start AND NOT EXISTS (SELECT 1 FROM h1 v WHERE v.start = s.start AND v.path = s.path) GROUP BY start, path),
+  u AS (SELECT *, 1 AS hops FROM h1 UNION ALL SELECT *, 2 FROM h2)
+  SELECT start AS path, path AS related_path, seen.relation_type AS relation_type, seen.direction AS direction, hops, position
+  FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY hops, seen.walk) AS position FROM u) WHERE position <= 50"""
+BY_TYPE = f"""WITH RECURSIVE l AS ({LINKS}), {_ADJACENT}, {_HUBS.format(n=3)},
+  g(start, path, relation_type, hop) AS (SELECT h.path, related_path, relation_type, 1 FROM h JOIN adj ON adj.path = h.path
+    UNION SELECT g.start, adj.related_path, adj.relation_type, hop + 1 FROM g JOIN adj ON adj.path = g.path WHERE hop < 2 AND adj.related_path <> g.start),
+  m AS (SELECT start, path, relation_type, min(hop) AS hops FROM g WHERE path <> start GROUP BY ALL)
+  SELECT start AS path, path AS related_path, relation_type, hops FROM
+  (SELECT *, row_number() OVER (PARTITION BY start ORDER BY hops, path, relation_type) AS n FROM m) WHERE n <= 50"""
+RELABELED = f"""SELECT source_path, target_path, CASE WHEN starts_with(source_path, 'git-history/') AND starts_with(target_path, 'git-history/') THEN 'git_co_change'
+  WHEN starts_with(source_path, 'git-history/') THEN 'git_ref' ELSE 'relates_to' END AS relation_type FROM ({LINKS})"""
+
+# -- histories ------------------------------------------------------------------
+
+_PICKED = """picked AS (SELECT * FROM (SELECT file, commit_id, hash, date, row_number() OVER (PARTITION BY file ORDER BY date DESC, hash) AS position
+  FROM f JOIN m USING (commit_id)) WHERE position <= 10)"""
+COMMITS_PER_FILE = f"WITH f AS ({COMMIT_FILES}), m AS ({COMMITS}), {_PICKED} SELECT file, hash, date, position FROM picked"
+GLOB = rf"""WITH f AS ({COMMIT_FILES}) SELECT DISTINCT file FROM f
+  WHERE (regexp_full_match(file, 'parts/part-1.*\.md') OR regexp_full_match(file, '.*7\.md')) AND NOT regexp_full_match(file, '.*0\.md')"""
+HISTORIES = f"""WITH f AS ({COMMIT_FILES}), m AS ({COMMITS}), {_PICKED},
+  g AS (SELECT commit_id, list(file ORDER BY file) AS files FROM f GROUP BY commit_id),
+  s AS (SELECT picked.file, position, list_filter(files, lambda x: x <> picked.file) AS others, m.* FROM picked JOIN m USING (commit_id) JOIN g USING (commit_id)),
+  t AS (SELECT file, position, '## ' || left(date, 10) || ': ' || subject || ' (' || left(hash, 7) || ')' || chr(10)
+    || 'Author: ' || author || ' <' || author_email || '>' || chr(10) || chr(10) || body || chr(10)
+    || CASE WHEN len(others) > 0 THEN 'Also changed: ' || array_to_string(others[1:10], ', ') || chr(10) ELSE '' END
+    || CASE WHEN len(others) > 10 THEN '  (+' || (len(others) - 10) || ' more files)' || chr(10) ELSE '' END AS section FROM s)
+  SELECT 'git-history/' || file AS file_path, file, count(*) AS commits,
+    regexp_replace('# ' || file || ' — Change History' || chr(10) || chr(10) || string_agg(section, chr(10) ORDER BY position), '\\s+$', '') AS content
+  FROM t GROUP BY file"""
+
+# -- changes ----------------------------------------------------------------------
+
+# Labelled documents stand for the files on disk; the toxic ones were edited there.
+DISK = """SELECT source || '/doc-' || d.doc_id || '.md' AS file_path,
+  substr(sha256(CASE WHEN toxic = 1 THEN text || ' edited' ELSE text END), 1, 16) AS content_hash FROM documents d JOIN labels l ON l.doc_id = d.doc_id
+  UNION ALL SELECT 'pages/' || page_id || '.md', substr(sha256(html), 1, 16) FROM pages"""
+_HEADS = f"SELECT file_path, content_hash FROM ({DOCS})"
+DIFF = f"""SELECT coalesce(s.file_path, d.file_path) AS file_path, CASE WHEN s.file_path IS NULL THEN 'new' WHEN d.file_path IS NULL THEN 'deleted'
+  WHEN s.content_hash = d.content_hash THEN 'unchanged' ELSE 'modified' END AS status FROM ({_HEADS}) s FULL JOIN ({DISK}) d USING (file_path)"""
+PRUNE = f"SELECT DISTINCT file_path FROM ({CHUNKS}) WHERE file_path NOT IN (SELECT file_path FROM ({DISK}))"
+_LABELLED = "SELECT source || '/doc-' || d.doc_id || '.md' AS file_path, quality, toxic FROM documents d JOIN labels USING (doc_id)"
+REPLACE = f"""WITH e AS (SELECT file_path FROM ({_LABELLED}) WHERE toxic = 1)
+  SELECT file_path, chunk_index, content_hash FROM ({CHUNKS}) WHERE file_path NOT IN (SELECT file_path FROM e)
+  UNION ALL SELECT file_path, 0, content_hash FROM ({DISK}) WHERE file_path IN (SELECT file_path FROM e)"""
+DELETE_CHUNKS = f"SELECT file_path, chunk_index FROM ({CHUNKS}) WHERE file_path NOT IN (SELECT file_path FROM ({_LABELLED}) WHERE quality = 0)"
+DELETE_LINKS = f"""WITH p AS (SELECT 'parts/part-' || ps.p_partkey || '.md' AS file_path FROM part ps WHERE p_size > 25)
+  SELECT source_path, target_path, relation_type FROM ({LINKS}) WHERE source_path NOT IN (SELECT file_path FROM p) AND target_path NOT IN (SELECT file_path FROM p)"""
+UPDATE = f"""SELECT c.file_path, chunk_index, title, CASE WHEN toxic = 1 THEN 'quarantine' ELSE category END AS category,
+  CASE WHEN toxic IS NOT NULL THEN 'reviewed' ELSE audience END AS audience FROM ({CHUNKS}) c LEFT JOIN ({_LABELLED}) l ON l.file_path = c.file_path"""
+INSERT_LINKS = f"""WITH l AS ({WEB_LINKS}), n AS (SELECT DISTINCT source_path, regexp_replace(source_path, '^https?://', 'archive/') AS target_path, 'links_to' AS relation_type FROM l
+    WHERE source_path LIKE 'https://%')
+  SELECT source_path, target_path, relation_type FROM l WHERE source_path NOT IN (SELECT source_path FROM n) UNION ALL SELECT * FROM n"""
+
+# -- chunking -----------------------------------------------------------------------
+
+
+def packed(max_size: int = 2000) -> str:
+    """Greedy packing of the lines of every document, each line a paragraph."""
+    return f"""WITH RECURSIVE s AS (SELECT doc_id, string_split(text, chr(10)) AS lines, length(text) + len(string_split(text, chr(10))) - 1 AS total FROM documents),
+  p AS (SELECT doc_id, total, generate_subscripts(lines, 1) AS i, unnest(lines) AS line, len(lines) AS n FROM s),
+  seg AS (SELECT doc_id, total, i, CASE WHEN i < n THEN line || chr(10) || chr(10) ELSE line END AS seg, n FROM p),
+  pack(doc_id, i, size, chunk) AS (
+    SELECT doc_id, 1::BIGINT, length(seg), 1 FROM seg WHERE i = 1
+    UNION ALL SELECT pack.doc_id, seg.i, CASE WHEN total > {max_size} AND size + length(seg) > {max_size} THEN length(seg) ELSE size + length(seg) END,
+      CASE WHEN total > {max_size} AND size + length(seg) > {max_size} THEN chunk + 1 ELSE chunk END
+    FROM pack JOIN seg ON seg.doc_id = pack.doc_id AND seg.i = pack.i + 1),
+  grouped AS (SELECT doc_id, chunk, regexp_replace(regexp_replace(string_agg(seg, '' ORDER BY i), '^\\s+', ''), '\\s+$', '') AS content,
+      string_agg(seg, '' ORDER BY i) AS raw, max(total) AS total FROM pack JOIN seg USING (doc_id, i) GROUP BY doc_id, chunk)
+  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY chunk) - 1 AS INTEGER) AS chunk_index,
+    CASE WHEN total <= {max_size} THEN raw ELSE content END AS content FROM grouped WHERE content <> ''"""
+
+
+# Each turn is a second-level section of its conversation's markdown.
+HEADING_CHUNKS = """WITH s AS (SELECT conv_id, turn, role || ' ' || turn AS title,
+    regexp_replace('## ' || role || ' ' || turn || chr(10) || chr(10) || text, '\\s+$', '') AS section FROM conversations),
+  k AS (SELECT * FROM s WHERE length(section) >= 20),
+  parts AS (SELECT conv_id, turn, 0 AS part, title, title AS head, CASE WHEN length(section) > 1000 THEN '## ' || title ELSE section END AS content FROM k
+    UNION ALL SELECT conv_id, turn, 1, title || ' (cont.)', title, trim(substr(section, length('## ' || title) + 3)) FROM k WHERE length(section) > 1000)
+  SELECT 'conversations/conv-' || conv_id || '.md' AS file_path, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, part) - 1 AS INTEGER) AS chunk_index,
+    title, content, 'Conversation ' || conv_id || ' > ' || head AS section_path FROM parts"""
+
+# -- evaluation ---------------------------------------------------------------------
+
+QRELS = "SELECT item_id AS query_id, source || '/doc-' || doc_id || '.md' AS doc FROM benchmark b JOIN documents d ON contains(d.text, b.text)"
+
+
+def evaluation(k: int = 10) -> str:
+    return f"""WITH {_occurrences(DOCS, QUERIES, True)}, {_bm25_scored()}, qrels AS ({QRELS}),
+  hits AS (SELECT query_id, rank, file_path AS doc FROM ({_ranked('scored', k)}) r JOIN c USING (cid)),
+  judged AS (SELECT query_id, count(*) AS n_relevant FROM qrels GROUP BY query_id),
+  found AS (SELECT query_id, count(*) AS n_found, min(rank) AS first_rank, sum(1.0 / log2(rank + 1)) AS dcg FROM hits JOIN qrels USING (query_id, doc) GROUP BY query_id),
+  returned AS (SELECT query_id, count(*) AS n_returned FROM hits GROUP BY query_id)
+  SELECT query_id, CAST(coalesce(n_found > 0, false) AS DOUBLE) AS hit, round(coalesce(1.0 / first_rank, 0), 6) AS reciprocal_rank,
+    round(coalesce(CAST(n_found AS DOUBLE) / n_returned, 0), 6) AS precision, round(coalesce(CAST(n_found AS DOUBLE) / n_relevant, 0), 6) AS recall,
+    round(coalesce(dcg / list_sum(list_transform(range(1, least(n_relevant, {k}) + 1), lambda i: 1.0 / log2(i + 1))), 0), 6) AS ndcg
+  FROM judged LEFT JOIN found USING (query_id) LEFT JOIN returned USING (query_id)"""
+
+
+def evaluation_summary(k: int = 10) -> str:
+    return f"""SELECT count(*) AS queries, round(avg(hit), 6) AS hit_rate, round(avg(reciprocal_rank), 6) AS mrr, round(avg(precision), 6) AS mean_precision,
+  round(avg(recall), 6) AS recall, round(avg(ndcg), 6) AS ndcg FROM ({evaluation(k)})"""
+
+
+PATH_LOOKUP = f"""WITH q AS (SELECT DISTINCT source || '/' AS query FROM documents UNION ALL SELECT 'conv-' || conv_id || '.md' FROM (SELECT DISTINCT conv_id FROM conversations)),
+  c AS ({CHUNKS})
+  SELECT query AS query_id, rank, 0.5 AS score, file_path, chunk_index, category FROM
+  (SELECT query, file_path, chunk_index, category, row_number() OVER (PARTITION BY query ORDER BY file_path, chunk_index) AS rank
+   FROM q JOIN c ON lower(c.file_path) LIKE '%' || lower(query) || '%') WHERE rank <= 5"""

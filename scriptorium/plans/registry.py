@@ -7,9 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.functions import markdown, text, web
 from scriptorium.functions.text import PLAIN, PORTER
-from scriptorium.operators import fusion, keyword, rerank, vector
+from scriptorium.operators import (
+    changes,
+    documents,
+    evaluation,
+    fusion,
+    graph,
+    history,
+    keyword,
+    lookup,
+    rerank,
+    usage,
+    vector,
+)
 from scriptorium.plans import corpus, oracle
+from scriptorium.session import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -121,3 +135,384 @@ def collapse_by_doc(spark, sf):
 @query("search_preview", oracle.preview())
 def search_preview(spark, sf):
     return rerank.format_hits(_searched(spark, sf)).drop("highlight")
+
+
+def path_queries(spark, sf):
+    """Every source folder and every conversation file as a path query."""
+    folders = corpus.table(spark, sf, "documents").select(F.concat("source", F.lit("/")).alias("query")).distinct()
+    files = corpus.table(spark, sf, "conversations").select(F.concat(F.lit("conv-"), "conv_id", F.lit(".md")).alias("query"))
+    return folders.unionByName(files.distinct()).withColumn("query_id", F.col("query"))
+
+
+@query("path_like_fallback", oracle.PATH_LOOKUP)
+def path_like_fallback(spark, sf):
+    return hit_columns(lookup.path_lookup(path_queries(spark, sf), corpus.chunks(spark, sf)))
+
+
+# -- documents ----------------------------------------------------------------
+
+
+@query("get_doc", oracle.GET_DOC)
+def get_doc(spark, sf):
+    chunks = corpus.chunks(spark, sf)
+    docs = documents.get_documents(chunks, chunks.select("file_path"), max_length=1000)
+    return docs.select("file_path", "title", "content", "category", "truncated", "tokens_returned", "tokens_baseline")
+
+
+@query("list_docs", oracle.LIST_DOCS)
+def list_docs(spark, sf):
+    return documents.list_documents(corpus.chunks(spark, sf))
+
+
+@query("list_categories", oracle.LIST_CATEGORIES)
+def list_categories(spark, sf):
+    return documents.list_categories(corpus.chunks(spark, sf))
+
+
+@query("category_totals", oracle.CATEGORY_TOTALS)
+def category_totals(spark, sf):
+    return documents.category_totals(corpus.chunks(spark, sf))
+
+
+def embedded_chunks(spark, sf):
+    vectors = corpus.document_vectors(spark, sf).select("file_path", "chunk_index", "embedding")
+    return corpus.chunks(spark, sf).join(vectors, ["file_path", "chunk_index"], "left")
+
+
+@query(
+    "corpus_stats",
+    f"""SELECT (SELECT count(DISTINCT file_path) FROM ({oracle.CHUNKS})) AS docs, (SELECT count(*) FROM ({oracle.CHUNKS})) AS chunks,
+    (SELECT count(*) FROM ({oracle.VECTORS})) AS embedded_chunks, (SELECT CAST(sum(length(content)) AS BIGINT) FROM ({oracle.CHUNKS})) AS content_chars,
+    (SELECT count(*) FROM ({oracle.LINKS})) AS links""",
+)
+def corpus_stats(spark, sf):
+    return documents.corpus_totals(embedded_chunks(spark, sf), all_links(spark, sf))
+
+
+@query("export_docs", oracle.EXPORT)
+def export_docs(spark, sf):
+    return documents.export_documents(corpus.chunks(spark, sf))
+
+
+@query("export_markdown", oracle.EXPORT_MARKDOWN)
+def export_markdown(spark, sf):
+    return documents.as_markdown(documents.export_documents(corpus.chunks(spark, sf)))
+
+
+@query("token_estimate", oracle.TOKEN_ESTIMATE)
+def token_estimate(spark, sf):
+    return corpus.chunks(spark, sf).select("file_path", "chunk_index", text.token_estimate(F.col("content")).alias("tokens"))
+
+
+@query("content_hash", oracle.CONTENT_HASH)
+def content_hash(spark, sf):
+    return corpus.chunks(spark, sf).select("file_path", "chunk_index", "content_hash")
+
+
+@query("contextual_header", oracle.CONTEXT_HEADER)
+def contextual_header(spark, sf):
+    header = text.contextual_header(F.col("file_path"), F.col("title"))
+    return corpus.chunks(spark, sf).select("file_path", "chunk_index", header.alias("header"))
+
+
+@query("pending_embeddings", oracle.PENDING)
+def pending_embeddings(spark, sf):
+    return documents.pending_embeddings(embedded_chunks(spark, sf)).select("file_path", "chunk_index")
+
+
+@query(
+    "category_any",
+    f"SELECT file_path, chunk_index, category FROM ({oracle.CHUNKS}) WHERE category IN (SELECT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)",
+)
+def category_any(spark, sf):
+    docs, labels = corpus.table(spark, sf, "documents"), corpus.table(spark, sf, "labels")
+    wanted = docs.join(labels.filter("toxic = 1"), "doc_id").select(F.col("source").alias("category")).distinct()
+    return corpus.chunks(spark, sf).join(wanted, "category", "left_semi").select("file_path", "chunk_index", "category")
+
+
+@query(
+    "multi_table_union",
+    f"SELECT audience, count(*) AS chunks, count(DISTINCT file_path) AS docs FROM ({oracle.CHUNKS} UNION ALL SELECT file_path, chunk_index, title, content, category, 'all', '' FROM ({oracle.PAGE_CHUNKS})) GROUP BY audience",
+)
+def multi_table_union(spark, sf):
+    tables = [corpus.document_chunks(spark, sf), corpus.conversation_chunks(spark, sf), corpus.page_chunks(spark, sf)]
+    return (
+        documents.union_tables(tables)
+        .groupBy("audience")
+        .agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("file_path").alias("docs"))
+    )
+
+
+# -- usage ----------------------------------------------------------------------
+
+
+@query("top_accessed", oracle.top_accessed())
+def top_accessed(spark, sf):
+    log = corpus.access_log(spark, sf)
+    return usage.top_accessed(log, corpus.chunks(spark, sf), usage.latest(log))
+
+
+@query("savings_total", oracle.savings_total())
+def savings_total(spark, sf):
+    log = corpus.access_log(spark, sf)
+    return usage.savings_total(log, usage.latest(log), 7)
+
+
+@query("savings_by_tool", oracle.savings_by_tool())
+def savings_by_tool(spark, sf):
+    log = corpus.access_log(spark, sf)
+    return usage.savings_by_tool(log, usage.latest(log), 7)
+
+
+@query("purge_log", oracle.purge())
+def purge_log(spark, sf):
+    log = corpus.access_log(spark, sf)
+    return usage.purge(log, usage.latest(log), 14).drop("query")
+
+
+@query("context_primer", oracle.primer())
+def context_primer(spark, sf):
+    log = corpus.access_log(spark, sf)
+    return usage.primer(log, corpus.chunks(spark, sf), usage.latest(log))
+
+
+@query("context_topic", oracle.topic_context())
+def context_topic(spark, sf):
+    log, chunks = corpus.access_log(spark, sf), corpus.chunks(spark, sf)
+    top = usage.top_accessed(log, chunks, usage.latest(log), 10)
+    return usage.annotate_access(_searched(spark, sf, 10), top)
+
+
+@query("search_access_log", oracle.SEARCH_LOG)
+def search_access_log(spark, sf):
+    hits = _searched(spark, sf, 5).join(corpus.text_queries(spark, sf), "query_id")
+    return usage.access_events(hits, corpus.chunks(spark, sf), "2024-02-01").drop("accessed_at")
+
+
+# -- links and graph --------------------------------------------------------------
+
+
+def web_links(spark, sf):
+    links = web.page_links(corpus.table(spark, sf, "pages"))
+    return links.select(
+        web.normalize_url(F.col("url")).alias("source_path"),
+        F.col("link").alias("target_path"),
+        F.lit("links_to").alias("relation_type"),
+    ).distinct()
+
+
+def all_links(spark, sf):
+    files = corpus.commit_files(spark, sf)
+    return (
+        graph.co_change_links(files)
+        .unionByName(history.history_refs(files.select("file").distinct()))
+        .unionByName(web_links(spark, sf))
+    )
+
+
+@query("normalize_url", oracle.NORMALIZED)
+def normalize_url(spark, sf):
+    return corpus.table(spark, sf, "pages").select("page_id", "url", web.normalize_url(F.col("url")).alias("normalized"))
+
+
+@query("extract_hrefs", oracle.PAGE_LINKS)
+def extract_hrefs(spark, sf):
+    return web.page_links(corpus.table(spark, sf, "pages")).select("url", "link")
+
+
+@query("co_change_links", oracle.CO_CHANGE)
+def co_change_links(spark, sf):
+    return graph.co_change_links(corpus.commit_files(spark, sf))
+
+
+@query("related_1hop", oracle.ONE_HOP)
+def related_1hop(spark, sf):
+    links = web_links(spark, sf)
+    starts = links.select(F.col("source_path").alias("path"))
+    return graph.related_one_hop(links, starts, chunks=corpus.chunks(spark, sf))
+
+
+def hub_starts(spark, sf, links):
+    """The most connected paths, where a walk through the graph begins."""
+    return graph.hubs(links, corpus.chunks(spark, sf), 3).select("path")
+
+
+@query("related_multihop", oracle.MULTI_HOP)
+def related_multihop(spark, sf):
+    links = written(all_links(spark, sf), "links")
+    return graph.related(links, hub_starts(spark, sf, links), depth=2)
+
+
+@query("related_by_type", oracle.BY_TYPE)
+def related_by_type(spark, sf):
+    links = written(all_links(spark, sf), "links")
+    return graph.related_by_type(links, hub_starts(spark, sf, links), depth=2)
+
+
+@query("graph_hubs", oracle.HUBS)
+def graph_hubs(spark, sf):
+    return graph.hubs(all_links(spark, sf), corpus.chunks(spark, sf))
+
+
+@query("graph_orphans", oracle.ORPHANS)
+def graph_orphans(spark, sf):
+    return graph.orphans(all_links(spark, sf), corpus.chunks(spark, sf))
+
+
+@query("graph_totals", oracle.GRAPH_TOTALS)
+def graph_totals(spark, sf):
+    return graph.graph_totals(all_links(spark, sf), corpus.chunks(spark, sf))
+
+
+@query("relation_distribution", oracle.RELATIONS)
+def relation_distribution(spark, sf):
+    return graph.relation_distribution(all_links(spark, sf))
+
+
+@query("relabel_links", oracle.RELABELED)
+def relabel_links(spark, sf):
+    return graph.relabel_history_links(all_links(spark, sf).withColumn("relation_type", F.lit("relates_to")))
+
+
+# -- histories ----------------------------------------------------------------------
+
+
+@query("commits_per_file", oracle.COMMITS_PER_FILE)
+def commits_per_file(spark, sf):
+    picked = history.commits_per_file(corpus.commit_heads(spark, sf), corpus.commit_files(spark, sf))
+    return picked.select("file", "hash", "date", "position")
+
+
+@query("history_markdown", oracle.HISTORIES)
+def history_markdown(spark, sf):
+    heads, files = corpus.commit_heads(spark, sf), corpus.commit_files(spark, sf)
+    return history.render_histories(history.commits_per_file(heads, files), heads, files)
+
+
+@query("glob_filter", oracle.GLOB)
+def glob_filter(spark, sf):
+    files = corpus.commit_files(spark, sf).select("file").distinct()
+    return files.filter(text.matches_globs(F.col("file"), "parts/part-1*.md, *7.md", "*0.md"))
+
+
+# -- changes ------------------------------------------------------------------------
+
+
+def labelled(spark, sf):
+    docs, labels = corpus.table(spark, sf, "documents"), corpus.table(spark, sf, "labels")
+    path = F.concat("source", F.lit("/doc-"), "doc_id", F.lit(".md"))
+    return docs.join(labels, "doc_id").select(path.alias("file_path"), "text", "quality", "toxic")
+
+
+def disk_files(spark, sf):
+    """Labelled documents as the files on disk, the toxic ones edited, and pages."""
+    body = F.when(F.col("toxic") == 1, F.concat("text", F.lit(" edited"))).otherwise(F.col("text"))
+    pages = corpus.table(spark, sf, "pages").select(
+        F.concat(F.lit("pages/"), "page_id", F.lit(".md")).alias("file_path"), text.content_hash(F.col("html")).alias("content_hash")
+    )
+    return labelled(spark, sf).select("file_path", text.content_hash(body).alias("content_hash")).unionByName(pages)
+
+
+@query("diff_docs", oracle.DIFF)
+def diff_docs(spark, sf):
+    stored = changes.stored_hashes(corpus.document_chunks(spark, sf))
+    return changes.diff_documents(stored, disk_files(spark, sf))
+
+
+@query("prune_stale", oracle.PRUNE)
+def prune_stale(spark, sf):
+    return changes.stale_paths(corpus.chunks(spark, sf), disk_files(spark, sf))
+
+
+@query("upsert_replace", oracle.REPLACE)
+def upsert_replace(spark, sf):
+    edited = labelled(spark, sf).filter("toxic = 1").select(
+        "file_path", F.lit(0).alias("chunk_index"), text.content_hash(F.concat("text", F.lit(" edited"))).alias("content_hash")
+    )
+    chunks = corpus.chunks(spark, sf).select("file_path", "chunk_index", "content_hash")
+    return changes.replace_documents(chunks, edited)
+
+
+@query("delete_doc", oracle.DELETE_CHUNKS)
+def delete_doc(spark, sf):
+    paths = labelled(spark, sf).filter("quality = 0")
+    kept, _ = changes.delete_documents(corpus.chunks(spark, sf), all_links(spark, sf), paths)
+    return kept.select("file_path", "chunk_index")
+
+
+@query("delete_doc_links", oracle.DELETE_LINKS)
+def delete_doc_links(spark, sf):
+    paths = corpus.table(spark, sf, "part").filter("p_size > 25").select(
+        F.concat(F.lit("parts/part-"), "p_partkey", F.lit(".md")).alias("file_path")
+    )
+    _, links = changes.delete_documents(corpus.chunks(spark, sf), all_links(spark, sf), paths)
+    return links
+
+
+@query("update_metadata", oracle.UPDATE)
+def update_metadata(spark, sf):
+    updates = labelled(spark, sf).select(
+        "file_path", F.when(F.col("toxic") == 1, "quarantine").alias("category"), F.lit("reviewed").alias("audience")
+    )
+    updated = changes.update_metadata(corpus.chunks(spark, sf), updates)
+    return updated.select("file_path", "chunk_index", "title", "category", "audience")
+
+
+@query("insert_links", oracle.INSERT_LINKS)
+def insert_links(spark, sf):
+    links = web_links(spark, sf)
+    moved = links.filter(F.col("source_path").startswith("https://")).select(
+        "source_path", F.regexp_replace("source_path", "^https?://", "archive/").alias("target_path"), "relation_type"
+    )
+    return changes.insert_links(links, moved.distinct())
+
+
+# -- chunking -----------------------------------------------------------------------
+
+
+@query("pack_paragraphs", oracle.packed())
+def pack_paragraphs(spark, sf):
+    spaced = corpus.spread(corpus.table(spark, sf, "documents")).select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return spaced.select("doc_id", F.posexplode(markdown.packed_paragraphs(F.col("text"), 2000)).alias("chunk_index", "content"))
+
+
+@query("heading_chunks", oracle.HEADING_CHUNKS)
+def heading_chunks(spark, sf):
+    turns = corpus.table(spark, sf, "conversations")
+    section = F.concat(F.lit("## "), "role", F.lit(" "), "turn", F.lit("\n\n"), "text")
+    ordered = F.array_sort(F.collect_list(F.struct("turn", section.alias("section"))))
+    body = F.array_join(F.transform(ordered, lambda t: t["section"]), "\n\n")
+    docs = turns.groupBy("conv_id").agg(body.alias("body")).select(
+        F.concat(F.lit("conversations/conv-"), "conv_id", F.lit(".md")).alias("file_path"),
+        F.concat(F.lit("# Conversation "), "conv_id", F.lit("\n\n"), "body").alias("text"),
+    )
+    chunked = docs.select("file_path", F.posexplode(markdown.heading_chunks(F.col("text"), F.col("file_path"), 1000)).alias("chunk_index", "c"))
+    return chunked.select("file_path", "chunk_index", "c.title", "c.content", "c.section_path")
+
+
+# -- evaluation ---------------------------------------------------------------------
+
+
+def judgements(spark, sf):
+    """Documents that contain a whole passage are relevant to it."""
+    needles = corpus.table(spark, sf, "benchmark").select(F.col("item_id").alias("needle_id"), F.col("text").alias("needle"))
+    docs = corpus.document_chunks(spark, sf).select(F.col("file_path").alias("text_id"), F.col("content").alias("text"))
+    found = lookup.containing_texts(needles, corpus.spread(docs), lambda t: F.split(t, r"\s+"))
+    return found.select(F.col("needle_id").alias("query_id"), F.col("text_id").alias("doc"), F.lit(1.0).alias("gain"))
+
+
+def document_hits(spark, sf, k=10):
+    docs = corpus.document_chunks(spark, sf)
+    index = corpus.shared_index(corpus.spread(docs), "documents", sf, PORTER)
+    hits = keyword.keyword_search(index, corpus.text_queries(spark, sf), docs, k)
+    return hits.select("query_id", F.col("file_path").alias("doc"), "rank")
+
+
+@query("eval_per_query", oracle.evaluation())
+def eval_per_query(spark, sf):
+    return evaluation.per_query_metrics(document_hits(spark, sf), judgements(spark, sf))
+
+
+@query("eval_metrics", oracle.evaluation_summary())
+def eval_metrics(spark, sf):
+    return evaluation.summary(evaluation.per_query_metrics(document_hits(spark, sf), judgements(spark, sf)))
