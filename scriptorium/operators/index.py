@@ -62,19 +62,22 @@ def with_chunk_id(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("chunk_id", chunk_id(F.col("file_path"), F.col("chunk_index")))
 
 
-def compute_postings(chunks: DataFrame, analyzer: Analyzer = PORTER) -> DataFrame:
+def compute_postings(chunks: DataFrame, analyzer: Analyzer = PORTER, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Postings of ``chunks``; ``keep`` names columns to carry along."""
     # All words of a chunk sit in one row, so its term counts need no shuffle.
     tokenised = (
         with_chunk_id(chunks)
         .select(
             "chunk_id",
             "category",
+            *keep,
             analyzer.words(F.col("title")).alias("title_words"),
             analyzer.words(F.col("content")).alias("content_words"),
         )
         .select(
             "chunk_id",
             "category",
+            *keep,
             F.size("title_words").alias("n_title"),
             F.concat("title_words", "content_words").alias("words"),
         )
@@ -82,17 +85,19 @@ def compute_postings(chunks: DataFrame, analyzer: Analyzer = PORTER) -> DataFram
     counted = tokenised.select(
         "chunk_id",
         "category",
+        *keep,
         F.size("words").alias("doc_len"),
         term_counts(F.col("words"), F.col("n_title"), analyzer.stem).alias("counts"),
     )
-    corpus_entry = F.array(F.struct(F.lit("").alias("term"), F.lit(0).cast("long").alias("tf_title"), F.lit(0).cast("long").alias("tf_content")))
+    none = F.lit(0).cast("long")
+    whole_chunk = F.array(F.struct(F.lit("").alias("term"), none.alias("tf_title"), none.alias("tf_content")))
     return counted.select(
-        "chunk_id", "category", "doc_len", F.inline(F.concat(corpus_entry, "counts"))
-    ).select([f.name for f in POSTINGS.fields])
+        "chunk_id", "category", *keep, "doc_len", F.inline(F.concat(whole_chunk, "counts"))
+    ).select(*[f.name for f in POSTINGS.fields], *keep)
 
 
-def compute_terms(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("term").agg(
+def compute_terms(postings: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    return postings.groupBy("term", *keep).agg(
         F.count(F.lit(1)).alias("df"), F.sum("doc_len").cast("long").alias("total_len")
     )
 

@@ -231,7 +231,7 @@ def phrases(k: int = 5) -> str:
     return f"""WITH c AS (SELECT *, md5(chunk_index || '#' || file_path) AS cid, {words('title')} AS tw, {words('content')} AS cw FROM ({PAGE_CHUNKS})),
   q AS ({_HOSTS}),
   p AS (SELECT query, {words('regexp_replace(query, $r$["*()\\-+^:]$r$, $r$$r$, $r$g$r$)')} AS ph FROM q),
-  occ AS (SELECT query, cid, len(tw) + len(cw) AS doc_len, {starts.format(w='tw')} AS tf_title, {starts.format(w='cw')} AS tf_content FROM p CROSS JOIN c),
+  occ AS (SELECT query, cid, len(tw) + len(cw) AS doc_len, {starts.format(w='tw')} AS tf_title, {starts.format(w='cw')} AS tf_content FROM p JOIN c ON list_has_all(list_concat(tw, cw), ph)),
   hit AS (SELECT * FROM occ WHERE tf_title + tf_content > 0),
   df AS (SELECT query, count(*) AS df FROM hit GROUP BY query),
   stats AS (SELECT count(*) AS n, avg(len(tw) + len(cw)) AS mean_len FROM c),
