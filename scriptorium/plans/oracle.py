@@ -454,3 +454,41 @@ PATH_LOOKUP = f"""WITH q AS (SELECT DISTINCT source || '/' AS query FROM documen
   SELECT query AS query_id, rank, 0.5 AS score, file_path, chunk_index, category FROM
   (SELECT query, file_path, chunk_index, category, row_number() OVER (PARTITION BY query ORDER BY file_path, chunk_index) AS rank
    FROM q JOIN c ON lower(c.file_path) LIKE '%' || lower(query) || '%') WHERE rank <= 5"""
+
+
+# -- trailing windows, hosts ---------------------------------------------
+
+TRAILING = f"""WITH a AS ({ACCESS}), d AS (SELECT *, unnest(range(1, 8)) AS n FROM a)
+  SELECT date_trunc('day', accessed_at) + n * INTERVAL 1 DAY AS as_of, tool, count(*) AS calls,
+    CAST(sum(greatest(tokens_baseline - tokens_returned, 0)) AS BIGINT) AS tokens_saved FROM d
+  WHERE tokens_baseline IS NOT NULL AND tokens_returned IS NOT NULL GROUP BY ALL"""
+
+PAGE_HOSTS = f"""SELECT {_NORMAL.format(u='url')} AS url, CAST(count(*) AS BIGINT) AS pages, lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) AS host
+  FROM pages GROUP BY ALL"""
+
+RERANKED = f"""WITH {_occurrences(CHUNKS, QUERIES, True)}, {_bm25_scored()},
+  h AS (SELECT query_id, rank AS found, file_path, chunk_index, score,
+    list_distinct(list_filter(string_split_regex(lower(query), '\\s+'), lambda w: w <> '')) AS qs,
+    list_distinct(list_filter(string_split_regex(lower(content), '\\s+'), lambda w: w <> '')) AS ps
+    FROM ({_ranked('scored', 20)}) r JOIN c USING (cid) JOIN q USING (query_id)),
+  l AS (SELECT *, CAST(len(list_intersect(qs, ps)) AS DOUBLE) / len(qs) AS logit FROM h)
+  SELECT query_id, rank, file_path, chunk_index, score, round(1.0 / (1.0 + exp(-logit)), 4) AS rerank_score
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY logit DESC, found) AS rank FROM l) WHERE rank <= 5"""
+
+HISTORY_CHUNKS = HISTORIES.split("SELECT 'git-history/' || file AS file_path")[0] + """SELECT 'git-history/' || file AS file_path,
+  CAST(position - 1 AS INTEGER) AS chunk_index, substr(split_part(section, chr(10), 1), 4) AS title,
+  regexp_replace(section, '\\s+$', '') AS content, file || ' — Change History > ' || substr(split_part(section, chr(10), 1), 4) AS section_path FROM t"""
+
+CONVERTED = """SELECT 'orders/' || o_orderkey || '.json' AS file_path, '# ' || o_orderkey || '.json' || chr(10) || chr(10) || concat_ws(chr(10) || chr(10),
+    '- **o_orderkey**: ' || o_orderkey, '- **o_custkey**: ' || o_custkey, '- **o_orderstatus**: ' || o_orderstatus,
+    '- **o_totalprice**: ' || o_totalprice, '- **o_orderdate**: ' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000'),
+    '- **o_orderpriority**: ' || o_orderpriority) AS markdown FROM orders
+  UNION ALL SELECT source || '/doc-' || doc_id || '.txt', '# Doc ' || doc_id || chr(10) || chr(10) || text FROM documents"""
+
+PRIVATE = """SELECT page_id, host, host IN ('localhost', 'localhost.localdomain', '') OR host LIKE '%.local' OR host LIKE '%.internal'
+  OR regexp_matches(host, '^(10|127|192[.]168|169[.]254|172[.](1[6-9]|2[0-9]|3[01]))[.]') AS private
+  FROM (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) AS host FROM pages)"""
+
+ROBOTS = "SELECT page_id, url, NOT starts_with(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/de/') AS allowed FROM pages"
+
+SITEMAP = f"SELECT url, link AS location FROM ({PAGE_LINKS})"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.functions import markdown, text, web
+from scriptorium.functions import convert, markdown, text, web
 from scriptorium.functions.text import PLAIN, PORTER
 from scriptorium.operators import (
     changes,
@@ -22,8 +22,10 @@ from scriptorium.operators import (
     usage,
     vector,
 )
-from scriptorium.plans import corpus, oracle
+from scriptorium.operators.index import with_chunk_id
+from scriptorium.plans import corpus, ingest, oracle
 from scriptorium.session import written
+from scriptorium.streaming.usage import trailing_savings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -101,8 +103,6 @@ def ts_rank_topk(spark, sf):
 
 @query("knn_topk", oracle.knn())
 def knn_topk(spark, sf):
-    from scriptorium.operators.index import with_chunk_id
-
     vectors = with_chunk_id(corpus.document_vectors(spark, sf))
     best = vector.nearest_scores(corpus.vector_queries(spark, sf), vectors, 10)
     return hit_columns(best.join(vectors.drop("embedding"), "chunk_id"))
@@ -516,3 +516,101 @@ def eval_per_query(spark, sf):
 @query("eval_metrics", oracle.evaluation_summary())
 def eval_metrics(spark, sf):
     return evaluation.summary(evaluation.per_query_metrics(document_hits(spark, sf), judgements(spark, sf)))
+
+
+# -- windows and pages ------------------------------------------------
+
+
+@query("usage_trailing", oracle.TRAILING)
+def usage_trailing(spark, sf):
+    return trailing_savings(corpus.access_log(spark, sf))
+
+
+@query("page_hosts", oracle.PAGE_HOSTS)
+def page_hosts(spark, sf):
+    url = F.col("url")
+    pages = corpus.table(spark, sf, "pages").select(web.normalize_url(url).alias("url"), web.url_host(url).alias("host"))
+    return pages.groupBy("url", "host").agg(F.count(F.lit(1)).alias("pages"))
+
+
+# -- operators with Python bodies ----------------------------------------------------------
+
+
+@query("mmr_rerank")
+def mmr_rerank(spark, sf):
+    vectors = written(with_chunk_id(corpus.document_vectors(spark, sf)), "vectors")
+    asked = corpus.vector_queries(spark, sf)
+    pool = vector.nearest_scores(asked, vectors, 20).join(vectors.drop("embedding"), "chunk_id")
+    return hit_columns(rerank.diversify(pool, asked, vectors, 0.6))
+
+
+def overlap_scores(asked: list[str], passages: list[str]) -> list[float]:
+    """A stand-in pair scorer: shared words of query and passage."""
+    out = []
+    for q, p in zip(asked, passages):
+        words = set(q.lower().split())
+        out.append(len(words & set(p.lower().split())) / max(len(words), 1))
+    return out
+
+
+@query("cross_rerank", oracle.RERANKED)
+def cross_rerank(spark, sf):
+    hits = rerank.rerank(_searched(spark, sf, 20), corpus.text_queries(spark, sf), overlap_scores, 5)
+    return hits.select("query_id", "rank", "file_path", "chunk_index", "score", "rerank_score")
+
+
+@query("highlight")
+def highlight(spark, sf):
+    marked = rerank.highlight(_searched(spark, sf), corpus.text_queries(spark, sf), PORTER)
+    return marked.select("query_id", "rank", "file_path", "chunk_index", "highlight")
+
+
+@query("page_markdown_chunks")
+def page_markdown_chunks(spark, sf):
+    url = F.col("url")
+    pages = corpus.spread(corpus.table(spark, sf, "pages"))
+    body = pages.select(web.normalize_url(url).alias("file_path"), web.page_markdown(F.col("html"), url).alias("body"))
+    return ingest.chunk_documents(body.filter(F.col("body").isNotNull()), 2000)
+
+
+@query("history_chunks", oracle.HISTORY_CHUNKS)
+def history_chunks(spark, sf):
+    """Histories through the heading chunker: one section per commit."""
+    docs = history_markdown(spark, sf).select("file_path", F.col("content").alias("body"))
+    return ingest.chunk_documents(docs, 2000)
+
+
+@query("file_conversion", oracle.CONVERTED)
+def file_conversion(spark, sf):
+    """Orders as JSON files and documents as text files, converted to markdown."""
+    orders = corpus.table(spark, sf, "orders")
+    as_json = orders.select(F.concat(F.lit("orders/"), "o_orderkey", F.lit(".json")).alias("file_path"), F.to_json(F.struct("*")).alias("text"))
+    docs = corpus.table(spark, sf, "documents")
+    as_text = docs.select(F.concat("source", F.lit("/doc-"), "doc_id", F.lit(".txt")).alias("file_path"), "text")
+    files = as_json.unionByName(as_text)
+    return files.select("file_path", convert.to_markdown(F.col("text"), F.col("file_path")).alias("markdown"))
+
+
+@query("private_hosts", oracle.PRIVATE)
+def private_hosts(spark, sf):
+    host = web.url_host(F.col("url"))
+    pages = corpus.table(spark, sf, "pages").select("page_id", host.alias("host"))
+    return pages.withColumn("private", web.private_host(F.col("host")))
+
+
+@query("robots_filter", oracle.ROBOTS)
+def robots_filter(spark, sf):
+    """Every host's rules forbid its German pages."""
+    rules = F.lit("User-agent: *\nDisallow: /de/\n")
+    pages = corpus.table(spark, sf, "pages").select("page_id", "url")
+    return pages.withColumn("allowed", web.allowed_by_robots(rules, F.col("url"), "scriptorium"))
+
+
+@query("sitemap_discovery", oracle.SITEMAP)
+def sitemap_discovery(spark, sf):
+    """Each page's url and links as the sitemap of its host."""
+    entry = F.concat(F.lit("<url><loc>"), F.replace("link", F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
+    links = web.page_links(corpus.table(spark, sf, "pages"))
+    maps = links.groupBy("url").agg(F.array_join(F.array_sort(F.collect_list(entry)), "").alias("entries"))
+    xml = F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), "entries", F.lit("</urlset>"))
+    return maps.select("url", F.explode(web.sitemap_urls(xml)).alias("location"))
