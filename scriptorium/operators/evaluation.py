@@ -17,19 +17,18 @@ def per_query_metrics(hits: DataFrame, qrels: DataFrame, k: int = 10) -> DataFra
     positive gains.  Queries without any relevant document are not scored.
     """
     shown = hits.filter(F.col("rank") <= k).select("query_id", "doc", "rank")
-    discount = F.log2(F.col("rank") + 1)
-    matched = shown.join(qrels.select("query_id", "doc", "gain"), ["query_id", "doc"])
-    found = matched.groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("n_found"),
-        F.min("rank").alias("first_rank"),
-        F.sum(F.col("gain") / discount).alias("dcg"),
+    marked = shown.join(qrels.select("query_id", "doc", "gain"), ["query_id", "doc"], "left")
+    found = marked.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("n_returned"),
+        F.count("gain").alias("n_found"),
+        F.min(F.when(F.col("gain").isNotNull(), F.col("rank"))).alias("first_rank"),
+        F.sum(F.col("gain") / F.log2(F.col("rank") + 1)).alias("dcg"),
     )
-    returned = shown.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_returned"))
     # Only the k best gains of a query enter its ideal ranking.
     totals = qrels.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_relevant"))
     best = top_k(qrels, ["query_id"], [F.col("gain").desc(), F.col("doc")], k, "place")
     ideal = best.groupBy("query_id").agg(F.sum(F.col("gain") / F.log2(F.col("place") + 1)).alias("ideal_dcg"))
-    joined = totals.join(ideal, "query_id").join(found, "query_id", "left").join(returned, "query_id", "left")
+    joined = totals.join(ideal, "query_id").join(found, "query_id", "left")
 
     def value(expr: Column) -> Column:
         return F.round(F.coalesce(expr, F.lit(0.0)), DIGITS)

@@ -6,6 +6,7 @@ pool), so a group is small whatever the corpus holds.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -58,25 +59,18 @@ def diversify(hits: DataFrame, queries: DataFrame, vectors: DataFrame, lambda_:
     keyed = hits.join(vectors.select("chunk_id", "embedding"), "chunk_id", "left").join(
         queries.select("query_id", "query_embedding"), "query_id", "left"
     )
-    schema = T.StructType([hits.schema["query_id"], hits.schema["chunk_id"], T.StructField("mmr_rank", T.IntegerType())])
+    columns = [f.name for f in hits.schema.fields]
 
     def reorder(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("rank").reset_index(drop=True)
         query = group["query_embedding"].iloc[0]
-        complete = query is not None and all(v is not None and len(v) == len(query) for v in group["embedding"])
-        order = list(range(len(group)))
-        if complete:
+        if query is not None and all(v is not None and len(v) == len(query) for v in group["embedding"]):
             docs = np.vstack([np.asarray(v, dtype=np.float64) for v in group["embedding"]])
-            order = mmr_order(np.asarray(query, dtype=np.float64), docs, lambda_)
-        out = group.iloc[order][["query_id", "chunk_id"]].reset_index(drop=True)
-        out["mmr_rank"] = np.arange(1, len(out) + 1, dtype=np.int32)
-        return out
-
-    slim = keyed.select("query_id", "chunk_id", "rank", "embedding", "query_embedding")
-    order = slim.groupBy("query_id").applyInPandas(reorder, schema)
-    return (
-        hits.drop("rank").join(order, ["query_id", "chunk_id"]).withColumnRenamed("mmr_rank", "rank")
-    )
+            group = group.iloc[mmr_order(np.asarray(query, dtype=np.float64), docs, lambda_)]
+        return group[columns].assign(rank=np.arange(1, len(group) + 1, dtype=np.int32))
+
+    # A group is one query's candidates, at most the candidate pool.
+    return keyed.groupBy("query_id").applyInPandas(reorder, hits.schema)
 
 
 def rerank(
@@ -134,24 +128,37 @@ def format_hits(hits: DataFrame, chars: int = 200) -> DataFrame:
 
 
 def _match_flags(words: list[str], phrases: list[list[str]]) -> list[bool]:
-    flags = [False] * len(words)
+    single = {p[0] for p in phrases if len(p) == 1}
+    flags = [w in single for w in words]
+    by_first: dict[str, list[list[str]]] = {}
     for phrase in phrases:
-        size = len(phrase)
-        for at in range(len(words) - size + 1):
-            if words[at : at + size] == phrase:
-                flags[at : at + size] = [True] * size
+        if len(phrase) > 1:
+            by_first.setdefault(phrase[0], []).append(phrase)
+    for at, word in enumerate(words) if by_first else ():
+        for phrase in by_first.get(word, ()):
+            if words[at : at + len(phrase)] == phrase:
+                flags[at : at + len(phrase)] = [True] * len(phrase)
     return flags
 
 
 def best_window(flags: list[bool], labels: list[str], size: int) -> int:
     """Start of the window of ``size`` tokens with the most distinct matches,
-    then the most matches, then the earliest."""
-    best, best_at = (-1, -1), 0
-    starts = [i for i, f in enumerate(flags) if f] or [0]
-    for at in starts:
-        at = max(0, min(at, len(flags) - size))
-        inside = [labels[i] for i in range(at, min(at + size, len(flags))) if flags[i]]
-        value = (len(set(inside)), len(inside))
+    then the most matches, then the earliest; windows begin at a match."""
+    inside: Counter[str] = Counter()
+    best, best_at, left, right = (0, 0), 0, 0, 0
+    latest = max(0, len(flags) - size)
+    for match in (i for i, hit in enumerate(flags) if hit):
+        at = min(match, latest)
+        while right < min(at + size, len(flags)):
+            inside[labels[right]] += flags[right]
+            right += 1
+        while left < at:
+            inside[labels[left]] -= flags[left]
+            if not inside[labels[left]]:
+                del inside[labels[left]]
+            left += 1
+        inside = +inside
+        value = (len(inside), inside.total())
         if value > best:
             best, best_at = value, at
     return best_at
@@ -169,18 +176,17 @@ def highlight(hits: DataFrame, queries: DataFrame, analyzer: Analyzer, tokens: i
         "query_id", analyzer.terms(F.col("word")).alias("terms")
     )
     per_query = phrases.filter(F.size("terms") > 0).groupBy("query_id").agg(F.collect_set("terms").alias("phrases"))
-    gap = SEPARATORS
     every_word = Analyzer(stem=analyzer.stem)
-    parts = hits.join(per_query, "query_id", "left").select(
-        "query_id",
-        "chunk_id",
-        "phrases",
-        F.array_remove(F.split("content", gap), "").alias("raw"),
-        F.regexp_extract_all("content", F.lit(gap), 0).alias("gaps"),
-        F.col("content").rlike("^" + gap).alias("leads"),
-        every_word.terms(F.col("content")).alias("words"),
+    parts = hits.join(per_query, "query_id", "left").withColumns(
+        {
+            "raw": F.array_remove(F.split("content", SEPARATORS), ""),
+            "gaps": F.regexp_extract_all("content", F.lit(SEPARATORS), 0),
+            "leads": F.col("content").rlike("^" + SEPARATORS),
+            "words": every_word.terms(F.col("content")),
+        }
     )
-    schema = T.StructType([hits.schema["query_id"], hits.schema["chunk_id"], T.StructField("highlight", T.StringType())])
+    columns = [f.name for f in hits.schema.fields]
+    schema = T.StructType([*hits.schema.fields, T.StructField("highlight", T.StringType())])
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -188,10 +194,9 @@ def highlight(hits: DataFrame, queries: DataFrame, analyzer: Analyzer, tokens: i
                 _snippet(list(r.raw), list(r.gaps), bool(r.leads), list(r.words), r.phrases, tokens)
                 for r in batch.itertuples(index=False)
             ]
-            yield batch[["query_id", "chunk_id"]].assign(highlight=out)
+            yield batch[columns].assign(highlight=out)
 
-    marked = parts.mapInPandas(mark, schema)
-    return hits.join(marked, ["query_id", "chunk_id"], "left")
+    return parts.mapInPandas(mark, schema)
 
 
 def _snippet(raw: list[str], gaps: list[str], leads: bool, words: list[str], phrases, tokens: int) -> str | None:

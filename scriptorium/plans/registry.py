@@ -385,7 +385,7 @@ def commits_per_file(spark, sf):
 
 @query("history_markdown", oracle.HISTORIES)
 def history_markdown(spark, sf):
-    heads, files = corpus.commit_heads(spark, sf), corpus.commit_files(spark, sf)
+    heads, files = corpus.commit_heads(spark, sf), written(corpus.commit_files(spark, sf), "commits")
     return history.render_histories(history.commits_per_file(heads, files), heads, files)
 
 
@@ -498,7 +498,9 @@ def judgements(spark, sf):
     needles = corpus.table(spark, sf, "benchmark").select(F.col("item_id").alias("needle_id"), F.col("text").alias("needle"))
     docs = corpus.document_chunks(spark, sf).select(F.col("file_path").alias("text_id"), F.col("content").alias("text"))
     found = lookup.containing_texts(needles, corpus.spread(docs), lambda t: F.split(t, r"\s+"))
-    return found.select(F.col("needle_id").alias("query_id"), F.col("text_id").alias("doc"), F.lit(1.0).alias("gain"))
+    judged = found.select(F.col("needle_id").alias("query_id"), F.col("text_id").alias("doc"), F.lit(1.0).alias("gain"))
+    # The metrics read the judgements three times.
+    return written(judged, "judgements")
 
 
 def document_hits(spark, sf, k=10):
