@@ -46,8 +46,9 @@ class Engine:
     # -- search ---------------------------------------------------------------
 
     def tables(self) -> SearchTables:
-        chunks = self.store.chunks()
-        return SearchTables(chunks, chunks.select("file_path", "chunk_index", "category", "embedding"), self.store.index())
+        chunks = self.store.search_chunks()
+        vectors = chunks.select("file_path", "chunk_index", "category", "embedding", "bucket")
+        return SearchTables(chunks, vectors, self.store.index())
 
     def _queries(self, text: str, category: str | None, vector: list[float] | None) -> DataFrame:
         if not text.strip():

@@ -317,7 +317,7 @@ def extract_page(html: str, url: str) -> str | None:
 
 @pandas_udf(T.StringType())
 def _extract(htmls: pd.Series, urls: pd.Series) -> pd.Series:
-    return pd.Series([None if h is None or len(h) > MAX_PAGE else extract_page(h, u) for h, u in zip(htmls, urls)])
+    return pd.Series([None if h is None or len(h) > MAX_PAGE else extract_page(h, u) for h, u in zip(htmls, urls)], dtype=object)
 
 
 def page_markdown(html: Column, url: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scriptorium.config import EngineConfig
 from scriptorium.operators.index import TextIndex, with_chunk_id
 from scriptorium.operators.keyword import attach_chunks, bounded_queries, keyword_search, ts_rank_scores
-from scriptorium.operators.ranking import SCORE_DIGITS, score_order, top_k
+from scriptorium.operators.ranking import SCORE_DIGITS, in_wanted, score_order, top_k, wanted_categories
 from scriptorium.operators.vector import cosine, nearest_scores
 
 DEFAULTS = EngineConfig()
@@ -60,12 +60,13 @@ def hybrid_rrf(
     queries, small = bounded_queries(queries, 2 * arm, config)
     keyword = keyword_search(index, queries, chunks, arm, config)
     nearest = nearest_scores(queries, vectors, arm, config, within_category=prefilter)
+    if "bucket" in vectors.columns:
+        places = with_chunk_id(vectors).select("chunk_id", "bucket")
+        nearest = places.join(F.broadcast(nearest) if small else nearest, "chunk_id")
     semantic = attach_chunks(nearest.withColumnRenamed("rank", "fetched"), chunks, small)
-    if "category" in queries.columns:
-        wanted = queries.select("query_id", F.col("category").alias("wanted"))
-        semantic = semantic.join(wanted, "query_id").filter(
-            F.col("wanted").isNull() | (F.col("wanted") == F.col("category"))
-        ).drop("wanted")
+    if not prefilter:
+        wanted = queries.select("query_id", wanted_categories(queries).alias("wanted"))
+        semantic = semantic.join(wanted, "query_id").filter(in_wanted()).drop("wanted")
     semantic = top_k(semantic, ["query_id"], [F.col("fetched")], arm).drop("fetched")
     keyword, semantic = _with_key(keyword), _with_key(semantic)
     fused = fuse_ranks(keyword, semantic, k, config.rrf_k)
@@ -93,7 +94,7 @@ def hybrid_linear(
     """
     queries, small = bounded_queries(queries, k, config)
     stored = with_chunk_id(vectors).select("chunk_id", "embedding")
-    text = ts_rank_scores(index, queries, chunks, config).withColumnRenamed("score", "text_score")
+    text = ts_rank_scores(index, queries, chunks, config).drop("bucket").withColumnRenamed("score", "text_score")
     asked = queries.select("query_id", "query_embedding")
     pairs = text.join(stored, "chunk_id", "left").join(F.broadcast(asked) if small else asked, "query_id")
     by_text = pairs.select(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.operators.ranking import top_k
-from scriptorium.operators.usage import head_chunks
+from scriptorium.operators.usage import head_chunks, with_heads
 from scriptorium.session import written
 
 # Result limits (fixed values).
@@ -163,8 +163,8 @@ def hubs(links: DataFrame, chunks: DataFrame, limit: int = HUB_LIMIT) -> DataFra
         .orderBy(F.col("connections").desc(), "path")
         .limit(limit)
     )
-    heads = head_chunks(chunks).select(F.col("file_path").alias("path"), "title", "category")
-    return heads.join(F.broadcast(top), "path", "right").select("path", "connections", "title", "category")
+    named = with_heads(top.withColumnRenamed("path", "file_path"), chunks, limit, ["title", "category"])
+    return named.withColumnRenamed("file_path", "path").orderBy(F.col("connections").desc(), "path")
 
 
 def orphans(links: DataFrame, chunks: DataFrame, category: str | None = None, limit: int | None = ORPHAN_LIMIT) -> DataFrame:

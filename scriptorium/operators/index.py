@@ -49,6 +49,11 @@ class TextIndex:
     terms: DataFrame
     analyzer: Analyzer
 
+    def location(self) -> list[str]:
+        """Partition column of the stored chunks, where the postings carry it:
+        a hit then leads to its partition instead of a scan of all texts."""
+        return [c for c in ("bucket",) if c in self.postings.columns]
+
     def corpus_size(self) -> DataFrame:
         """One row: number of chunks and their mean length in tokens."""
         return self.terms.filter(F.col("term") == "").agg(

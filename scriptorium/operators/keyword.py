@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.config import EngineConfig
 from scriptorium.operators.index import TextIndex, with_chunk_id
-from scriptorium.operators.ranking import SCORE_DIGITS, score_order, top_k
+from scriptorium.operators.ranking import SCORE_DIGITS, in_wanted, score_order, top_k, wanted_categories
 from scriptorium.session import pin_small
 
 # Okapi BM25 parameters (fixed values).
@@ -27,17 +27,16 @@ DEFAULTS = EngineConfig()
 
 
 def query_phrases(queries: DataFrame, index: TextIndex) -> DataFrame:
-    """(query_id, category, phrase, terms, qtf): the analysed words of each query."""
+    """(query_id, wanted, phrase, terms, qtf): the analysed words of each query."""
     from scriptorium.functions.text import query_words
 
-    category = F.col("category") if "category" in queries.columns else F.lit(None).cast("string")
     words = queries.select(
-        "query_id", category.alias("category"), F.explode(query_words(F.col("query"))).alias("word")
+        "query_id", wanted_categories(queries).alias("wanted"), F.explode(query_words(F.col("query"))).alias("word")
     )
-    phrases = words.select("query_id", "category", index.analyzer.terms(F.col("word")).alias("terms"))
+    phrases = words.select("query_id", "wanted", index.analyzer.terms(F.col("word")).alias("terms"))
     return (
         phrases.filter(F.size("terms") > 0)
-        .groupBy("query_id", "category", F.array_join("terms", " ").alias("phrase"))
+        .groupBy("query_id", "wanted", F.array_join("terms", " ").alias("phrase"))
         .agg(F.count(F.lit(1)).alias("qtf"))
         .withColumn("terms", F.split("phrase", " "))
     )
@@ -72,7 +71,7 @@ def _phrase_hits(index: TextIndex, phrases: DataFrame, chunks: DataFrame) -> Dat
     needed = multi.select("phrase", F.size(F.array_distinct("terms")).alias("n_terms"))
     candidates = (
         index.postings.join(wanted, "term")
-        .groupBy("phrase", "chunk_id", "category", "doc_len")
+        .groupBy("phrase", "chunk_id", "category", "doc_len", *index.location())
         .agg(F.count(F.lit(1)).alias("found"))
         .join(needed, "phrase")
         .filter(F.col("found") == F.col("n_terms"))
@@ -97,6 +96,7 @@ def _phrase_hits(index: TextIndex, phrases: DataFrame, chunks: DataFrame) -> Dat
             "phrase",
             "chunk_id",
             "category",
+            *index.location(),
             "doc_len",
             F.regexp_count("spaced_title", at_phrase).cast("long").alias("tf_title"),
             F.regexp_count("spaced_content", at_phrase).cast("long").alias("tf_content"),
@@ -149,10 +149,6 @@ def document_frequency(index: TextIndex, found: Matches) -> DataFrame:
     return single.unionByName(counted)
 
 
-def _same_category() -> Column:
-    return F.col("wanted").isNull() | (F.col("wanted") == F.col("category"))
-
-
 def bm25_scores(
     index: TextIndex,
     queries: DataFrame,
@@ -168,17 +164,17 @@ def bm25_scores(
     weighted = (
         document_frequency(index, found)
         .join(found.asked(found.phrases), "phrase")
-        .select("phrase", "query_id", F.col("category").alias("wanted"), (F.col("qtf") * idf).alias("weight"))
+        .select("phrase", "query_id", "wanted", (F.col("qtf") * idf).alias("weight"))
     )
     tf = config.title_weight * F.col("tf_title") + config.content_weight * F.col("tf_content")
     saturation = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("doc_len") / mean_len))
     # Saturation depends on the chunk alone, so it is computed before the join
     # that multiplies a posting by the queries that ask for it.
     return (
-        found.hits.select("phrase", "chunk_id", "category", saturation.alias("saturation"))
+        found.hits.select("phrase", "chunk_id", "category", *index.location(), saturation.alias("saturation"))
         .join(found.asked(weighted), "phrase")
-        .filter(_same_category())
-        .groupBy("query_id", "chunk_id")
+        .filter(in_wanted())
+        .groupBy("query_id", "chunk_id", *index.location())
         .agg(F.round(F.sum(F.col("weight") * F.col("saturation")), SCORE_DIGITS).alias("score"))
     )
 
@@ -204,21 +200,25 @@ def ts_rank_scores(
     per_term = F.element_at(F.array([F.lit(s) for s in sums]), occurrences.cast("int")) * (TS_WEIGHT / TS_NORM)
     n_terms = found.phrases.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
     wanted = found.phrases.join(n_terms, "query_id").select(
-        "phrase", "query_id", F.col("category").alias("wanted"), "n_terms"
+        "phrase", "query_id", "wanted", "n_terms"
     )
     return (
-        found.hits.select("phrase", "chunk_id", "category", per_term.alias("part"))
+        found.hits.select("phrase", "chunk_id", "category", *index.location(), per_term.alias("part"))
         .join(found.asked(wanted), "phrase")
-        .filter(_same_category())
-        .groupBy("query_id", "chunk_id")
+        .filter(in_wanted())
+        .groupBy("query_id", "chunk_id", *index.location())
         .agg(F.round(F.sum(F.col("part") / F.col("n_terms")), SCORE_DIGITS).alias("score"))
     )
 
 
 def attach_chunks(hits: DataFrame, chunks: DataFrame, small: bool = False) -> DataFrame:
-    """Add the stored columns to ranked hits; texts are read only here."""
-    stored = with_chunk_id(chunks).select("chunk_id", "file_path", "chunk_index", "title", "content", "category")
-    return stored.join(F.broadcast(hits) if small else hits, "chunk_id")
+    """Add the stored columns to ranked hits; texts are read only here.
+
+    Hits that carry the partition of their chunk prune the scan to it.
+    """
+    keys = ["chunk_id", *[c for c in ("bucket",) if c in hits.columns and c in chunks.columns]]
+    stored = with_chunk_id(chunks).select(*keys, "file_path", "chunk_index", "title", "content", "category")
+    return stored.join(F.broadcast(hits) if small else hits, keys).drop("bucket")
 
 
 def bounded_queries(queries: DataFrame, k: int, config: EngineConfig) -> tuple[DataFrame, bool]:

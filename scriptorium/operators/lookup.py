@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.operators.ranking import top_k
+from scriptorium.operators.ranking import in_wanted, top_k, wanted_categories
 
 PATH_SCORE = 0.5
 GRAM = 3
@@ -42,10 +42,8 @@ def path_lookup(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
     )["part"]
     asked = queries.select("query_id", "query", F.lower(literal).alias("literal"))
     wanted = asked.select("query_id", "query", F.explode(_literal_grams(F.col("literal"))).alias("gram"))
-    if "category" in queries.columns:
-        wanted = wanted.join(queries.select("query_id", F.col("category").alias("wanted")), "query_id")
-    else:
-        wanted = wanted.withColumn("wanted", F.lit(None).cast("string"))
+    limits = queries.select("query_id", wanted_categories(queries).alias("wanted"))
+    wanted = wanted.join(limits, "query_id")
     path = F.lower("file_path")
     offered = chunks.select("file_path").distinct().select("file_path", F.explode(_offered_grams(path)).alias("gram"))
     offered = offered.join(wanted.select("gram").distinct(), "gram", "left_semi")
@@ -55,7 +53,7 @@ def path_lookup(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
         .filter(F.like(path, F.concat(F.lit("%"), F.lower("query"), F.lit("%"))))
         .select("query_id", "file_path", "wanted")
     )
-    rows = chunks.join(paths, "file_path").filter(F.col("wanted").isNull() | (F.col("wanted") == F.col("category")))
+    rows = chunks.join(paths, "file_path").filter(in_wanted())
     best = top_k(rows, ["query_id"], [F.col("file_path"), F.col("chunk_index")], k)
     return best.select(
         "query_id", "rank", F.lit(PATH_SCORE).alias("score"), "file_path", "chunk_index", "title", "content", "category"

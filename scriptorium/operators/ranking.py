@@ -22,3 +22,17 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
 
 def score_order() -> list[Column]:
     return [F.col("score").desc(), F.col("chunk_id")]
+
+
+def wanted_categories(queries: DataFrame) -> Column:
+    """The categories a query is limited to, NULL for all: from an array column
+    ``categories`` or a single ``category``."""
+    if "categories" in queries.columns:
+        return F.col("categories")
+    if "category" in queries.columns:
+        return F.when(F.col("category").isNotNull(), F.array("category"))
+    return F.lit(None).cast("array<string>")
+
+
+def in_wanted(category: str = "category", wanted: str = "wanted") -> Column:
+    return F.col(wanted).isNull() | F.array_contains(F.col(wanted), F.col(category))

@@ -7,7 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import preview
+from scriptorium.functions.text import preview, token_estimate
+from scriptorium.session import pin_small
 
 
 def _moment(as_of: Column | datetime | str) -> Column:
@@ -34,12 +35,24 @@ def top_accessed(
     counts = since(log, as_of, days).groupBy("file_path").agg(
         F.count(F.lit(1)).alias("access_count"), F.max("accessed_at").alias("last_accessed")
     )
-    # Counting comes first: it shrinks the log to one row per path before the
-    # join, and spreads a path that holds most of the events.
-    titled = counts.join(head_chunks(chunks).select("file_path", "title", "category"), "file_path", "left")
+    order = [F.col("access_count").desc(), F.col("file_path")]
     if category:
-        titled = titled.filter(F.col("category") == category)
-    return titled.orderBy(F.col("access_count").desc(), "file_path").limit(limit)
+        # Counting comes first: it shrinks the log to one row per path before
+        # the join, and spreads a path that holds most of the events.
+        heads = head_chunks(chunks).filter(F.col("category") == category).select("file_path", "title", "category")
+        return counts.join(heads, "file_path").orderBy(*order).limit(limit)
+    return with_heads(counts.orderBy(*order).limit(limit), chunks, limit, ["title", "category"]).orderBy(*order)
+
+
+def with_heads(top: DataFrame, chunks: DataFrame, limit: int, columns: list) -> DataFrame:
+    """Add columns of the first chunk to at most ``limit`` rows by ``file_path``.
+
+    The few paths become literals, so the scan of the chunks skips the rest.
+    """
+    small = pin_small(top, limit, 2**31)
+    paths = [r["file_path"] for r in small.rows]
+    heads = head_chunks(chunks).filter(F.col("file_path").isin(paths)).select("file_path", *columns)
+    return small.frame.join(F.broadcast(heads), "file_path", "left")
 
 
 def savings_total(log: DataFrame, as_of, days: int = 30) -> DataFrame:
@@ -88,17 +101,14 @@ def annotate_access(hits: DataFrame, top: DataFrame, chars: int = 200) -> DataFr
 def primer(log: DataFrame, chunks: DataFrame, as_of, limit: int = 10, category: str | None = None, chars: int = 200):
     """The most accessed documents of 30 days with a summary of their first chunk."""
     top = top_accessed(log, chunks, as_of, limit, 30, category)
-    starts = head_chunks(chunks).select("file_path", preview(F.col("content"), chars).alias("summary"))
-    # At most ``limit`` rows: small by construction.
-    return starts.join(F.broadcast(top), "file_path", "right").select(
+    summary = preview(F.col("content"), chars).alias("summary")
+    return with_heads(top, chunks, limit, [summary]).select(
         "file_path", "title", "category", F.coalesce("summary", F.lit("")).alias("summary"), "access_count"
     )
 
 
 def access_events(hits: DataFrame, chunks: DataFrame, now, tool: str = "search_docs", top: int = 3, chars: int = 200):
     """Log rows for the best hits of each query, with their token ledger."""
-    from scriptorium.functions.text import token_estimate
-
     shown = hits.filter(F.col("rank") <= top)
     paths = shown.select("file_path").distinct()
     baseline = (

@@ -16,7 +16,7 @@ from pyspark.sql.functions import arrow_udf
 
 from scriptorium.config import EngineConfig
 from scriptorium.operators.index import with_chunk_id
-from scriptorium.operators.ranking import SCORE_DIGITS, score_order, top_k
+from scriptorium.operators.ranking import SCORE_DIGITS, score_order, top_k, wanted_categories
 from scriptorium.session import pin_small
 
 DEFAULTS = EngineConfig()
@@ -51,7 +51,7 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 def _scan(batches, query_ids: list, wanted: list, queries: np.ndarray, k: int) -> Iterator[tuple]:
     """Running top-k of every query over the batches of one task.
 
-    A query with a wanted category only sees the vectors of that category.
+    A query with wanted categories only sees the vectors of those.
     """
     best_ids = [np.array([], dtype=object) for _ in query_ids]
     best_scores = [np.array([]) for _ in query_ids]
@@ -60,7 +60,7 @@ def _scan(batches, query_ids: list, wanted: list, queries: np.ndarray, k: int) -
         for q in range(len(query_ids)):
             own_ids, own = ids, scores[q]
             if wanted[q] is not None:
-                inside = np.flatnonzero(categories == wanted[q])
+                inside = np.flatnonzero(pd.Series(categories).isin(list(wanted[q])))
                 own_ids, own = ids[inside], own[inside]
             top = _best(own_ids, own, k)
             merged_ids = np.concatenate([best_ids[q], own_ids[top]])
@@ -149,12 +149,11 @@ def nearest_scores(
     ``vectors`` needs ``embedding`` and either ``chunk_id`` or the path columns.
     Each task returns at most ``k`` hits per query, so the ranking shuffle does
     not grow with the corpus.  ``within_category`` searches each query's own
-    category only.
+    categories only.
     """
     schema = _hit_schema(queries)
-    nothing = F.lit(None).cast("string")
-    category = F.col("category") if within_category else nothing
-    wanted = F.col("category") if within_category and "category" in queries.columns else nothing
+    category = F.col("category") if within_category else F.lit(None).cast("string")
+    wanted = wanted_categories(queries) if within_category else F.lit(None).cast("array<string>")
     stored = (
         with_chunk_id(vectors)
         .filter(F.col("embedding").isNotNull())

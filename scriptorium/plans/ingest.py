@@ -43,14 +43,15 @@ def read_files(files: DataFrame) -> DataFrame:
 
 
 def convert_files(files: DataFrame) -> DataFrame:
-    """Add ``markdown``, and ``detail`` where nothing useful came out."""
-    path = F.col("file_path")
-    texts = files.filter(~F.col("is_pdf")).withColumn("markdown", convert.to_markdown(F.col("text"), path))
-    pdfs = files.filter(F.col("is_pdf")).withColumn("markdown", convert.pdf_to_markdown(F.col("content"), path))
-    small = _visible(F.col("markdown")) < convert.MIN_CHARS
+    """Add ``markdown`` to the rows marked ``fresh``, and ``detail`` where
+    nothing useful came out.  Other rows reach the converters as NULL."""
+    path, fresh = F.col("file_path"), F.col("fresh")
+    from_text = convert.to_markdown(F.when(fresh & ~F.col("is_pdf"), F.col("text")), path)
+    from_pdf = convert.pdf_to_markdown(F.when(fresh & F.col("is_pdf"), F.col("content")), path)
+    small = fresh & (_visible(F.col("markdown")) < convert.MIN_CHARS)
     why = F.when(F.col("is_pdf"), "PDF empty or too small").otherwise("Empty after conversion")
-    both = texts.unionByName(pdfs).withColumn("detail", F.when(small, why))
-    return both.select("file_path", "content_hash", "markdown", "detail")
+    done = files.withColumn("markdown", F.coalesce(from_text, from_pdf))
+    return done.withColumn("detail", F.coalesce("detail", F.when(small, why)))
 
 
 def document_metadata(docs: DataFrame) -> DataFrame:
@@ -107,26 +108,25 @@ def ingest_files(
     The stored hash is compared before conversion and chunking, so unchanged
     files cost one read.
     """
-    read = read_files(files)
-    skipped = _report(read.filter(F.col("detail").isNotNull()), "skipped", detail=F.col("detail"))
-    fit = read.filter(F.col("detail").isNull()).drop("detail")
     stored = changes.stored_hashes(store.chunks()).select("file_path", F.col("content_hash").alias("stored_hash"))
-    known = fit.join(stored, "file_path", "left")
     same = F.col("content_hash").eqNullSafe(F.col("stored_hash")) & ~F.lit(force or dry_run)
-    unchanged = known.filter(same).select("file_path").join(chunk_counts(store.chunks()), "file_path", "left")
-    converted = written(convert_files(known.filter(~same)), "converted")
-    empty = _report(converted.filter(F.col("detail").isNotNull()), "skipped", detail=F.col("detail"))
-    docs = document_metadata(converted.filter(F.col("detail").isNull()))
-    chunks = written(chunk_documents(docs, config.chunk_size), "chunks")
+    known = read_files(files).join(stored, "file_path", "left").withColumns(
+        {"same": F.col("detail").isNull() & same, "fresh": F.col("detail").isNull() & ~same}
+    )
+    # Files are read once; everything below starts from this table.
+    seen = written(convert_files(known).select("file_path", "content_hash", "markdown", "detail", "same"), "files")
+    skipped = _report(seen.filter(F.col("detail").isNotNull()), "skipped", detail=F.col("detail"))
+    unchanged = seen.filter("same").select("file_path").join(chunk_counts(store.chunks()), "file_path", "left")
+    docs = seen.filter("detail IS NULL AND NOT same")
+    chunks = written(chunk_documents(document_metadata(docs), config.chunk_size), "chunks")
     done = _report(chunk_counts(chunks), "dry-run" if dry_run else "ingested", F.col("n"))
     # The report is fixed before the store changes under its plans.
     report = written(
-        skipped.unionByName(_report(unchanged, "unchanged", F.coalesce("n", F.lit(0)))).unionByName(empty).unionByName(done),
-        "report",
+        skipped.unionByName(_report(unchanged, "unchanged", F.coalesce("n", F.lit(0)))).unionByName(done), "report"
     )
     if not dry_run:
         store.replace_documents(chunks.drop("section_path"))
-        texts = converted.filter(F.col("detail").isNull()).select("file_path", F.col("markdown").alias("text"))
+        texts = docs.select("file_path", F.col("markdown").alias("text"))
         store.replace_links_of(texts, markdown.document_links(texts), FILE_LINKS)
     return report
 
@@ -232,25 +232,38 @@ def crawl_pages(
     private = F.lit(False) if allow_private else web.private_host(F.col("host"))
     judged = normal.withColumns({"allowed": allowed, "private": private})
     plain = F.coalesce(F.col("is_plain_text"), F.lit(False)) if "is_plain_text" in extras else F.lit(False)
-    text = F.when(plain, F.btrim("html", F.lit(WHITESPACE))).otherwise(web.page_markdown(F.when(~plain, F.col("html")), url))
-    extracted = judged.filter(F.col("allowed") & ~F.col("private")).withColumn("body", F.when(text != "", text))
+    open_ = F.col("allowed") & ~F.col("private")
+    rich = web.page_markdown(F.when(open_ & ~plain, F.col("html")), url)
+    text = F.coalesce(F.when(open_ & plain, F.btrim("html", F.lit(WHITESPACE))), rich)
     stored = changes.stored_hashes(store.chunks()).select(
         F.col("file_path").alias("url"), F.col("content_hash").alias("stored_hash")
     )
-    hashed = extracted.withColumn("content_hash", content_hash(F.col("body")))
+    hashed = judged.withColumn("body", F.when(text != "", text)).withColumn("content_hash", content_hash(F.col("body")))
     same = F.col("content_hash").eqNullSafe(F.col("stored_hash")) & ~F.lit(force)
-    state = F.when(F.col("body").isNull(), "skipped").when(same, "unchanged").otherwise("crawled")
-    seen = written(hashed.join(stored, "url", "left").withColumn("state", state).withColumnRenamed("url", "file_path"), "pages")
+    state = (
+        F.when(~open_, "blocked").when(F.col("body").isNull(), "skipped").when(same, "unchanged").otherwise("crawled")
+    )
+    detail = (
+        F.when(F.col("private"), "private/internal host blocked")
+        .when(~F.col("allowed"), "robots.txt")
+        .when(F.col("state") == "skipped", "No extractable content")
+        .when(F.col("state") == "unchanged", "hash match")
+    )
+    # Pages are parsed once; everything below starts from this table.
+    seen = written(
+        hashed.join(stored, "url", "left").withColumn("state", state).withColumn("detail", detail).withColumnRenamed("url", "file_path"),
+        "pages",
+    )
     fresh = seen.filter("state = 'crawled'")
     docs = fresh.select("file_path", "body", F.col("host").alias("category"), F.lit("all").alias("audience"), "content_hash")
     chunks = written(chunk_documents(docs, config.chunk_size), "chunks")
-    blocked = judged.filter(~F.col("allowed") | F.col("private")).withColumnRenamed("url", "file_path")
-    why = F.when(F.col("private"), "private/internal host blocked").otherwise("robots.txt")
     report = written(
-        _report(chunk_counts(chunks), "crawled", F.col("n"))
-        .unionByName(_report(seen.filter("state = 'unchanged'"), "unchanged", detail=F.lit("hash match")))
-        .unionByName(_report(seen.filter("state = 'skipped'"), "skipped", detail=F.lit("No extractable content")))
-        .unionByName(_report(blocked, "blocked", detail=why)),
+        seen.join(chunk_counts(chunks), "file_path", "left").select(
+            F.col("file_path").alias("path"),
+            F.coalesce("n", F.lit(0)).cast("long").alias("chunks"),
+            F.col("state").alias("action"),
+            F.coalesce("detail", F.lit("")).alias("detail"),
+        ),
         "report",
     )
     store.replace_documents(chunks.drop("section_path"))
@@ -259,7 +272,7 @@ def crawl_pages(
         F.col("url").alias("source_path"), F.col("link").alias("target_path"), F.lit("links_to").alias("relation_type")
     )
     store.replace_links_of(fresh, edges, ["links_to"])
-    cached = seen.filter("state <> 'skipped'").select(
+    cached = seen.filter("state IN ('crawled', 'unchanged')").select(
         F.col("file_path").alias("url"),
         *[c for c in extras if c != "is_plain_text"],
         F.col("content_hash").alias("hash"),

@@ -285,7 +285,7 @@ def context_topic(spark, sf):
 
 @query("search_access_log", oracle.SEARCH_LOG)
 def search_access_log(spark, sf):
-    hits = _searched(spark, sf, 5).join(corpus.text_queries(spark, sf), "query_id")
+    hits = written(_searched(spark, sf, 5).join(corpus.text_queries(spark, sf), "query_id"), "hits")
     return usage.access_events(hits, corpus.chunks(spark, sf), "2024-02-01").drop("accessed_at")
 
 

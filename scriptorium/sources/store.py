@@ -99,7 +99,11 @@ class DocStore:
     def index(self) -> TextIndex:
         postings = self._open("postings", POSTINGS, BUCKET).filter(F.col("term").isNotNull())
         terms = self._open("terms", TERMS, BUCKET).filter(F.col("term").isNotNull())
-        return TextIndex(postings.drop("bucket"), terms.drop("bucket"), self.analyzer)
+        return TextIndex(postings, terms.drop("bucket"), self.analyzer)
+
+    def search_chunks(self) -> DataFrame:
+        """Chunks with their bucket, by which search hits find their texts."""
+        return self._bucketed_chunks()
 
     # -- bucket rewrites ----------------------------------------------------------
 
@@ -119,15 +123,14 @@ class DocStore:
     def _rewrite_chunks(self, touched: list[int], change: Callable[[DataFrame], DataFrame]) -> None:
         if not touched:
             return
-        old = self._bucketed_chunks().filter(F.col("bucket").isin(touched))
+        old = self._in(touched)
         new = change(old.drop("bucket")).withColumn("bucket", self.bucket_of(F.col("file_path")))
         self._overwrite("chunks", S.CHUNKS, new, touched, sort="file_path")
         self._reindex(touched)
 
     def _reindex(self, touched: list[int]) -> None:
         """Bring postings and terms of the touched buckets up to date."""
-        current = self._bucketed_chunks().filter(F.col("bucket").isin(touched))
-        self._overwrite("postings", POSTINGS, compute_postings(current, self.analyzer, ("bucket",)), touched, sort="term")
+        self._overwrite("postings", POSTINGS, compute_postings(self._in(touched), self.analyzer, ("bucket",)), touched, sort="term")
         postings = self._open("postings", POSTINGS, BUCKET).filter(
             F.col("bucket").isin(touched) & F.col("term").isNotNull()
         )
@@ -159,23 +162,23 @@ class DocStore:
     def delete_documents(self, paths: DataFrame) -> dict[str, int]:
         """Delete documents and every link that touches them."""
         gone = written(paths.select("file_path").distinct(), "paths")
-        n_chunks = self.chunks().join(gone, "file_path", "left_semi").count()
-        self._rewrite_chunks(self._touched(gone, "file_path"), lambda old: old.join(gone, "file_path", "left_anti"))
-        ends = self.links().select("source_path", F.explode(F.array("source_path", "target_path")).alias("file_path"))
-        sources = written(ends.join(gone, "file_path", "left_semi").select("source_path"), "sources")
-        before = self.links().count()
-        self._rewrite_links(
-            self._touched(sources, "source_path"), lambda old: changes.delete_documents(gone, old, gone)[1]
-        )
-        return {"chunks_deleted": n_chunks, "links_deleted": before - self.links().count()}
+        touched = self._touched(gone, "file_path")
+        n_chunks = self._in(touched).join(gone, "file_path", "left_semi").count()
+        self._rewrite_chunks(touched, lambda old: old.join(gone, "file_path", "left_anti"))
+        edges = self.links().select("source_path", "target_path", "relation_type")
+        ends = edges.withColumn("file_path", F.explode(F.array("source_path", "target_path")))
+        cut = written(ends.join(gone, "file_path", "left_semi").drop("file_path").distinct(), "edges")
+        self._rewrite_links(self._touched(cut, "source_path"), lambda old: changes.delete_documents(gone, old, gone)[1])
+        return {"chunks_deleted": n_chunks, "links_deleted": cut.count()}
+
+    def _in(self, touched: list[int]) -> DataFrame:
+        return self._bucketed_chunks().filter(F.col("bucket").isin(touched))
 
     def update_metadata(self, updates: DataFrame) -> int:
         staged = written(updates, "updates")
-        n_chunks = self.chunks().join(staged, "file_path", "left_semi").count()
-        self._rewrite_chunks(
-            self._touched(staged, "file_path"),
-            lambda old: changes.update_metadata(old, staged),
-        )
+        touched = self._touched(staged, "file_path")
+        n_chunks = self._in(touched).join(staged, "file_path", "left_semi").count()
+        self._rewrite_chunks(touched, lambda old: changes.update_metadata(old, staged))
         return n_chunks
 
     def insert_links(self, new: DataFrame) -> int:
@@ -216,7 +219,7 @@ class DocStore:
         staged = written(vectors.select("file_path", "chunk_index", "embedding"), "vectors")
         touched = self._touched(staged, "file_path")
         if touched:
-            old = self._bucketed_chunks().filter(F.col("bucket").isin(touched))
+            old = self._in(touched)
             new = changes.set_embeddings(old.drop("bucket"), staged).withColumn("bucket", self.bucket_of(F.col("file_path")))
             self._overwrite("chunks", S.CHUNKS, new, touched, sort="file_path")
         return staged.count()

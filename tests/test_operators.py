@@ -42,6 +42,9 @@ def test_keyword_semantics(spark, corpus):
     assert found(spark, corpus, "billing") == [("b.md", 0), ("a.md", 0)]  # the title outweighs the text
     assert set(found(spark, corpus, "payment docker")) == {("a.md", 0), ("b.md", 0), ("c.md", 0), ("c.md", 1)}
     assert found(spark, corpus, "payment", category="ops") == []
+    several = spark.createDataFrame([(1, "payment docker", ["ops", "none"]), (2, "payment", None)], "query_id long, query string, categories array<string>")
+    hits = keyword.keyword_search(corpus[1], several, corpus[0]).collect()
+    assert {h.category for h in hits if h.query_id == 1} == {"ops"} and len([h for h in hits if h.query_id == 2]) == 2
     assert found(spark, corpus, '"*()') == [] and found(spark, corpus, "zebra") == []
     assert found(spark, corpus, "alice@example.com") == [("a.md", 0)]  # a phrase, in order
     assert found(spark, corpus, "ran") == [] and found(spark, corpus, "runs") == [("c.md", 1)]
