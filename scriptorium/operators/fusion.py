@@ -18,24 +18,24 @@ KEY_CHARS = 50
 TEXT_SHARE, VECTOR_SHARE, MAX_DISTANCE = 0.4, 0.6, 0.8
 
 
-def fuse_ranks(keyword: DataFrame, semantic: DataFrame, k: int, rrf_k: int = 60) -> DataFrame:
+def fuse_ranks(keyword: DataFrame, semantic: DataFrame, k: int, rrf_k: int = 60, columns: tuple[str, ...] = ()) -> DataFrame:
     """Merge two ranked frames of (query_id, key, rank) by the sum of 1/(rrf_k + rank).
 
     A key that occurs twice in one list counts with its last rank.  Equal sums
-    are ordered by the greater key.
+    are ordered by the greater key.  ``columns`` come along from the keyword
+    list when it has the key; each list is evaluated once.
     """
-    both = keyword.select("query_id", "key", F.col("rank").alias("keyword_rank"), F.lit(None).cast("int").alias("semantic_rank")).unionByName(
-        semantic.select("query_id", "key", F.lit(None).cast("int").alias("keyword_rank"), F.col("rank").alias("semantic_rank"))
-    )
-    merged = both.groupBy("query_id", "key").agg(
-        F.max("keyword_rank").alias("keyword_rank"), F.max("semantic_rank").alias("semantic_rank")
-    )
+    carried = ["query_id", "key", "rank", *columns]
+    both = keyword.select(*carried, F.lit(0).alias("arm")).unionByName(semantic.select(*carried, F.lit(1).alias("arm")))
 
-    def share(rank: str) -> Column:
-        return F.coalesce(1.0 / (rrf_k + F.col(rank)), F.lit(0.0))
+    def share(arm: int) -> Column:
+        return F.coalesce(1.0 / (rrf_k + F.max(F.when(F.col("arm") == arm, F.col("rank")))), F.lit(0.0))
 
-    scored = merged.withColumn("score", share("keyword_rank") + share("semantic_rank"))
-    return top_k(scored, ["query_id"], [F.col("score").desc(), F.col("key").desc()], k)
+    place = F.struct("arm", -F.col("rank"))
+    merged = both.groupBy("query_id", "key").agg(
+        (share(0) + share(1)).alias("score"), *[F.min_by(c, place).alias(c) for c in columns]
+    )
+    return top_k(merged, ["query_id"], [F.col("score").desc(), F.col("key").desc()], k)
 
 
 def _with_key(hits: DataFrame) -> DataFrame:
@@ -68,15 +68,8 @@ def hybrid_rrf(
         wanted = queries.select("query_id", wanted_categories(queries).alias("wanted"))
         semantic = semantic.join(wanted, "query_id").filter(in_wanted()).drop("wanted")
     semantic = top_k(semantic, ["query_id"], [F.col("fetched")], arm).drop("fetched")
-    keyword, semantic = _with_key(keyword), _with_key(semantic)
-    fused = fuse_ranks(keyword, semantic, k, config.rrf_k)
-    # The texts of a key come from the keyword arm when it has the key.
-    columns = ["query_id", "key", "chunk_id", "file_path", "chunk_index", "title", "content", "category"]
-    rows = keyword.select(*columns, F.lit(0).alias("arm"), "rank").unionByName(
-        semantic.select(*columns, F.lit(1).alias("arm"), "rank")
-    )
-    data = top_k(rows, ["query_id", "key"], [F.col("arm"), F.col("rank").desc()], 1, "first").drop("arm", "rank", "first")
-    return fused.join(data, ["query_id", "key"]).drop("key")
+    columns = ("chunk_id", "file_path", "chunk_index", "title", "content", "category")
+    return fuse_ranks(_with_key(keyword), _with_key(semantic), k, config.rrf_k, columns).drop("key")
 
 
 def hybrid_linear(

@@ -24,7 +24,7 @@ from scriptorium.operators import (
 )
 from scriptorium.operators.index import with_chunk_id
 from scriptorium.plans import corpus, ingest, oracle
-from scriptorium.session import written
+from scriptorium.session import pin_small, written
 from scriptorium.streaming.usage import trailing_savings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -227,7 +227,10 @@ def pending_embeddings(spark, sf):
 def category_any(spark, sf):
     docs, labels = corpus.table(spark, sf, "documents"), corpus.table(spark, sf, "labels")
     wanted = docs.join(labels.filter("toxic = 1"), "doc_id").select(F.col("source").alias("category")).distinct()
-    return corpus.chunks(spark, sf).join(wanted, "category", "left_semi").select("file_path", "chunk_index", "category")
+    # The list of categories is an argument of the search, so it is a literal.
+    names = [r["category"] for r in pin_small(wanted, 10_000, 2**20).rows]
+    chosen = corpus.chunks(spark, sf).filter(F.col("category").isin(names))
+    return chosen.select("file_path", "chunk_index", "category")
 
 
 @query(

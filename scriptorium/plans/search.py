@@ -12,6 +12,7 @@ from scriptorium.config import EngineConfig
 from scriptorium.functions.text import Analyzer
 from scriptorium.operators import fusion, keyword, lookup, rerank
 from scriptorium.operators.index import TextIndex, with_chunk_id
+from scriptorium.session import written
 
 # A custom ranking: (queries, chunks, limit) -> ranked hits.
 Ranking = Callable[[DataFrame, DataFrame, int], DataFrame]
@@ -52,9 +53,10 @@ def _keyword(tables: SearchTables, queries: DataFrame, limit: int, config: Engin
     like_path = queries.filter(F.contains("query", F.lit("/")) | F.contains("query", F.lit(".")))
     if like_path.isEmpty():
         return hits
+    hits = written(_shared(hits), "hits")
     missed = like_path.join(hits.select("query_id").distinct(), "query_id", "left_anti")
     found = with_chunk_id(lookup.path_lookup(missed, tables.chunks, limit))
-    return _shared(hits).unionByName(_shared(found))
+    return hits.unionByName(_shared(found))
 
 
 def search(
