@@ -90,9 +90,9 @@ def hybrid_linear(
     text = ts_rank_scores(index, queries, chunks, config).drop("bucket").withColumnRenamed("score", "text_score")
     asked = queries.select("query_id", "query_embedding")
     pairs = text.join(stored, "chunk_id", "left").join(F.broadcast(asked) if small else asked, "query_id")
-    by_text = pairs.select(
-        "query_id", "chunk_id", "text_score", cosine(F.col("query_embedding"), F.col("embedding")).alias("cos")
-    )
+    # Only pairs with a stored vector carry the query's vector to the cosine.
+    asked_vector = F.when(F.col("embedding").isNotNull(), F.col("query_embedding"))
+    by_text = pairs.select("query_id", "chunk_id", "text_score", cosine(asked_vector, F.col("embedding")).alias("cos"))
     near = nearest_scores(queries, vectors, k, config, within_category=True).filter(1.0 - F.col("score") < MAX_DISTANCE)
     by_vector = near.select("query_id", "chunk_id", F.lit(0.0).alias("text_score"), F.col("score").alias("cos"))
     both = by_text.unionByName(by_vector).groupBy("query_id", "chunk_id").agg(

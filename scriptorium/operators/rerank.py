@@ -177,7 +177,11 @@ def highlight(hits: DataFrame, queries: DataFrame, analyzer: Analyzer, tokens: i
     )
     per_query = phrases.filter(F.size("terms") > 0).groupBy("query_id").agg(F.collect_set("terms").alias("phrases"))
     every_word = Analyzer(stem=analyzer.stem)
-    parts = hits.join(per_query, "query_id", "left").withColumns(
+    # Few rows with much work each: spread them over all cores by number, since
+    # by size they would be coalesced into one task.
+    cores = hits.sparkSession.sparkContext.defaultParallelism
+    spread = hits.join(per_query, "query_id", "left").repartition(cores, "query_id", "rank")
+    parts = spread.withColumns(
         {
             "raw": F.array_remove(F.split("content", SEPARATORS), ""),
             "gaps": F.regexp_extract_all("content", F.lit(SEPARATORS), 0),
