@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import Analyzer, content_hash
-from scriptorium.operators.index import TextIndex, build_index
+from scriptorium.operators.index import TextIndex, build_index, open_index
+from scriptorium.session import scratch_table, table_exists
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -142,14 +143,17 @@ def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Index tables are written once per application and input, then opened by every
 # query that searches them.
-_INDEXES: dict[tuple, TextIndex] = {}
+_INDEXES: dict[tuple, str] = {}
 
 
 def shared_index(frame: DataFrame, name: str, sf_dir: str, analyzer: Analyzer) -> TextIndex:
-    key = (frame.sparkSession.sparkContext.applicationId, name, os.path.realpath(sf_dir), analyzer)
-    if key not in _INDEXES:
-        _INDEXES[key] = build_index(frame, analyzer)
-    return _INDEXES[key]
+    spark = frame.sparkSession
+    key = (spark.sparkContext.applicationId, name, os.path.realpath(sf_dir), analyzer)
+    if key not in _INDEXES or not table_exists(spark, _INDEXES[key]):
+        path = scratch_table(spark, f"index-{name}")
+        build_index(frame, analyzer, path)
+        _INDEXES[key] = path
+    return open_index(spark, _INDEXES[key], analyzer)
 
 
 def chunk_index(spark: SparkSession, sf_dir: str, analyzer: Analyzer) -> TextIndex:

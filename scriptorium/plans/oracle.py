@@ -451,7 +451,7 @@ def evaluation_summary(k: int = 10) -> str:
 
 PATH_LOOKUP = f"""WITH q AS (SELECT DISTINCT source || '/' AS query FROM documents UNION ALL SELECT 'conv-' || conv_id || '.md' FROM (SELECT DISTINCT conv_id FROM conversations)),
   c AS ({CHUNKS})
-  SELECT query AS query_id, rank, 0.5 AS score, file_path, chunk_index, category FROM
+  SELECT query AS query_id, rank, CAST(0.5 AS DOUBLE) AS score, file_path, chunk_index, category FROM
   (SELECT query, file_path, chunk_index, category, row_number() OVER (PARTITION BY query ORDER BY file_path, chunk_index) AS rank
    FROM q JOIN c ON lower(c.file_path) LIKE '%' || lower(query) || '%') WHERE rank <= 5"""
 

@@ -36,7 +36,7 @@ def query(name: str, sql: str | None = None):
     """Register a query, with the statement that checks it when there is one."""
 
     def register(build: Query) -> Query:
-        QUERIES[name] = build
+        QUERIES[name] = lambda spark, sf_dir: wide_ranks(build(spark, sf_dir))
         if sql is not None:
             ORACLES[name] = sql
         return build
@@ -44,6 +44,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def wide_ranks(df: DataFrame) -> DataFrame:
+    """Row numbers as 64-bit integers, as other SQL engines number rows."""
+    return df.withColumns({c: F.col(c).cast("long") for c in ("rank", "position") if c in df.columns})
+
+
 def hit_columns(hits: DataFrame) -> DataFrame:
     return hits.select("query_id", "rank", "file_path", "chunk_index", "category", "score")
 

@@ -48,6 +48,12 @@ def scratch_table(spark: SparkSession, name: str) -> str:
     return os.path.join(scratch_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def table_exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(target)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which ends its lineage."""
     spark = df.sparkSession

@@ -19,7 +19,7 @@ from scriptorium import schema as S
 from scriptorium.functions.text import PORTER, Analyzer
 from scriptorium.operators import changes
 from scriptorium.operators.index import POSTINGS, TERMS, TextIndex, compute_postings, compute_terms
-from scriptorium.session import written
+from scriptorium.session import table_exists, written
 
 BUCKET = T.StructField("bucket", T.IntegerType())
 DAY = T.StructField("day", T.DateType())
@@ -40,8 +40,7 @@ class DocStore:
         return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), target
 
     def exists(self, table: str) -> bool:
-        fs, target = self._fs(self.path(table))
-        return fs.exists(target)
+        return table_exists(self.spark, self.path(table))
 
     def bucket_of(self, path: Column) -> Column:
         return F.pmod(F.xxhash64(path), F.lit(self.buckets)).cast("int")
