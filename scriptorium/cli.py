@@ -107,7 +107,7 @@ def run(argv: list[str] | None = None, spark=None) -> None:
         if args.repo:
             from scriptorium.sources.gitlog import write_log
 
-            write_log(args.repo, args.log, args.since, args.until, args.author, args.merges)
+            write_log(spark, args.repo, args.log, args.merges, since=args.since, until=args.until, author=args.author)
         _show(
             engine.ingest_git_log(
                 args.log, include=args.include, exclude=args.exclude, max_commits=args.max_commits, force=args.force, dry_run=args.dry_run

@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import json
-import urllib.request
 from collections.abc import Callable
-from datetime import datetime, timezone
-from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +11,6 @@ from pyspark.sql import functions as F
 from scriptorium.config import EngineConfig
 from scriptorium.functions.markdown import packed_paragraphs
 from scriptorium.functions.text import ENGLISH, PORTER, Analyzer, content_hash
-from scriptorium.functions.web import is_private
 from scriptorium.operators import documents, graph, history, rerank, usage
 from scriptorium.plans import embed, ingest
 from scriptorium.plans.search import Ranking, SearchTables, search
@@ -35,12 +31,11 @@ class Engine:
         embedder: embed.Embedder | None = None,
         scorer: Callable | None = None,
         ranking: Ranking | None = None,
-        webhook: str | None = None,
     ) -> None:
         self.spark = spark
         self.config = config or EngineConfig()
         self.store = DocStore(spark, root, self.config.store_buckets, analyzer)
-        self.analyzer, self.embedder, self.scorer, self.ranking, self.webhook = analyzer, embedder, scorer, ranking, webhook
+        self.analyzer, self.embedder, self.scorer, self.ranking = analyzer, embedder, scorer, ranking
         self.store.init_schema()
 
     # -- search ---------------------------------------------------------------
@@ -136,17 +131,6 @@ class Engine:
         if not self.config.writable:
             raise PermissionError("write operations are disabled; set writable=True")
 
-    def _notify(self, action: str, path: str) -> None:
-        """Tell the webhook about a change; a failure never breaks the write."""
-        if not self.webhook or is_private(urlsplit(self.webhook).hostname or ""):
-            return
-        body = json.dumps({"action": action, "path": path, "timestamp": datetime.now(timezone.utc).isoformat()}).encode()
-        request = urllib.request.Request(self.webhook, data=body, headers={"Content-Type": "application/json"}, method="POST")
-        try:
-            urllib.request.urlopen(request, timeout=5)
-        except OSError:
-            pass
-
     def upsert_doc(self, path: str, content: str, title=None, category=None, audience: str = "all", tags=None, embeddings=None) -> int:
         self._check_writable()
         if len(content.encode("utf-8")) > self.config.max_doc_bytes:
@@ -166,26 +150,18 @@ class Engine:
                 raise ValueError("one embedding per chunk is needed")
             vectors = [(i, [float(x) for x in v]) for i, v in enumerate(embeddings)]
             chunks = chunks.join(self.spark.createDataFrame(vectors, "chunk_index int, embedding array<float>"), "chunk_index")
-        stored = self.store.replace_documents(chunks)
-        self._notify("upsert", path)
-        return stored
+        return self.store.replace_documents(chunks)
 
     def delete_doc(self, path: str) -> dict[str, int]:
         self._check_writable()
-        gone = self.store.delete_documents(self.spark.createDataFrame([(path,)], "file_path string"))
-        if gone["chunks_deleted"]:
-            self._notify("delete", path)
-        return gone
+        return self.store.delete_documents(self.spark.createDataFrame([(path,)], "file_path string"))
 
     def update_metadata(self, path: str, title=None, category=None, audience=None, tags=None) -> int:
         self._check_writable()
         if title is None and category is None and audience is None and tags is None:
             raise ValueError("no fields to update")
         columns = "file_path string, title string, category string, audience string, tags array<string>"
-        n = self.store.update_metadata(self.spark.createDataFrame([(path, title, category, audience, tags)], columns))
-        if n:
-            self._notify("update_metadata", path)
-        return n
+        return self.store.update_metadata(self.spark.createDataFrame([(path, title, category, audience, tags)], columns))
 
     # -- ingestion ----------------------------------------------------------------
 

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import ipaddress
 import re
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 from urllib.robotparser import RobotFileParser
-from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column
@@ -20,12 +18,28 @@ from scriptorium.functions.text import glob_regex
 # Link pattern, skipped prefixes, size limits, link cap per page.
 HREF = r"""(?i)<a\s[^>]*href=["']([^"']+)["']"""
 SKIPPED = ("#", "javascript:", "mailto:", "tel:")
-MAX_SITEMAP = 10 * 1024 * 1024
 MAX_PAGE = 50 * 1024 * 1024
 PAGE_LINKS = 50
 MIN_TEXT = 50
 LOCAL_HOSTS = ("localhost", "localhost.localdomain", "")
 LOCAL_SUFFIXES = (".local", ".internal")
+# The IPv4 blocks that are not public (IANA special-purpose registry).
+PRIVATE_BLOCKS = (
+    "0.0.0.0/8",
+    "10.0.0.0/8",
+    "127.0.0.0/8",
+    "169.254.0.0/16",
+    "172.16.0.0/12",
+    "192.0.0.0/29",
+    "192.0.2.0/24",
+    "192.168.0.0/16",
+    "198.18.0.0/15",
+    "198.51.100.0/24",
+    "203.0.113.0/24",
+    "240.0.0.0/4",
+)
+# The named entities of XML; the ampersand last, so that nothing is read twice.
+XML_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
 
 # RFC 3986, appendix B.
 _URL = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
@@ -109,32 +123,39 @@ def matches_path(url: Column, pattern: str) -> Column:
 # -- hosts and robots -------------------------------------------------------
 
 
-def is_private(host: str) -> bool:
-    name = (host or "").lower().split(":")[0]
-    if name in LOCAL_HOSTS or name.endswith(LOCAL_SUFFIXES):
-        return True
-    try:
-        address = ipaddress.ip_address(name)
-    except ValueError:
-        return False
-    return address.is_private or address.is_loopback or address.is_link_local or address.is_reserved
-
-
-@pandas_udf(T.BooleanType())
-def _private(hosts: pd.Series) -> pd.Series:
-    return hosts.map(is_private).astype(bool)
-
-
-def private_host(host: Column) -> Column:
-    return _private(host)
-
-
-def robots_allow(rules: str | None, url: str, agent: str) -> bool:
-    if not rules:
-        return True
-    parser = RobotFileParser()
-    parser.parse(rules.splitlines())
-    return parser.can_fetch(agent, url)
+def _bare_host(authority: Column) -> Column:
+    """The host of an authority, without user, port and brackets."""
+    host = F.regexp_replace(F.lower(authority), r"^.*@", "")
+    inner = F.regexp_extract(host, r"^\[([^\]]*)\]", 1)
+    single = F.regexp_replace(host, r":[0-9]*$", "")
+    # More than one colon is a bare IPv6 address, which has no port.
+    return F.when(inner != "", inner).when(F.length(F.regexp_replace(host, "[^:]", "")) > 1, host).otherwise(single)
+
+
+def private_host(authority: Column) -> Column:
+    """Whether an authority names this machine or a network that is not public.
+
+    Names: LOCAL_HOSTS and LOCAL_SUFFIXES.  IPv4: the blocks of PRIVATE_BLOCKS.
+    IPv6: everything outside the allocated 2000::/3 (and multicast), and its
+    documentation and protocol blocks; an address that carries an IPv4 address
+    counts as that one.
+    """
+    host = _bare_host(F.coalesce(authority, F.lit("")))
+    dotted = F.regexp_extract(host, r"^(?:::ffff:)?(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})$", 1)
+    octets = F.transform(F.split(dotted, r"\."), lambda o: o.try_cast("long"))
+    is_v4 = (dotted != "") & F.forall(octets, lambda o: o <= 255)
+    address = F.aggregate(octets, F.lit(0).cast("long"), lambda n, o: n * 256 + o)
+    in_block = F.lit(False)
+    for block in PRIVATE_BLOCKS:
+        base, bits = block.split("/")
+        first = sum(int(o) << shift for o, shift in zip(base.split("."), (24, 16, 8, 0), strict=True))
+        in_block = in_block | address.between(first, first + (1 << 32 - int(bits)) - 1)
+    is_v6 = F.contains(host, F.lit(":"))
+    public_v6 = host.rlike("^[23][0-9a-f]{3}:") & ~host.rlike("^2001:(0?db8|0?1[0-9a-f]{2}|0{0,2}[0-9a-f]{1,2})?:") | host.rlike("^ff[0-9a-f]{2}:")
+    named = host.isin(*LOCAL_HOSTS)
+    for suffix in LOCAL_SUFFIXES:
+        named = named | host.endswith(suffix)
+    return F.when(dotted != "", is_v4 & in_block).when(is_v6, ~public_v6).otherwise(named)
 
 
 def allowed_by_robots(rules: Column, url: Column, agent: str) -> Column:
@@ -161,26 +182,28 @@ def allowed_by_robots(rules: Column, url: Column, agent: str) -> Column:
 # -- sitemaps ---------------------------------------------------------------
 
 
-def sitemap_locations(xml: str) -> list[str]:
-    """``<loc>`` of index entries, then of pages; nothing for broken XML."""
-    if not xml or len(xml) > MAX_SITEMAP:
-        return []
-    try:
-        root = ElementTree.fromstring(xml)
-    except ElementTree.ParseError:
-        return []
-    space = root.tag[: root.tag.index("}") + 1] if root.tag.startswith("{") else ""
-    texts = [e.findtext(f"{space}loc") for kind in ("sitemap", "url") for e in root.iterfind(f".//{space}{kind}")]
-    return [t.strip() for t in texts if t]
-
-
-@pandas_udf(T.ArrayType(T.StringType()))
-def _locations(xmls: pd.Series) -> pd.Series:
-    return pd.Series([sitemap_locations(x) for x in xmls])
+def _blocks(xml: Column, tag: str) -> Column:
+    """What stands inside every element ``tag`` without a prefix."""
+    return F.regexp_extract_all(xml, F.lit(rf"(?s)<{tag}(?:\s[^>]*+)?>(.*?)</{tag}\s*>"), 1)
 
 
 def sitemap_urls(xml: Column) -> Column:
-    return _locations(xml)
+    """``<loc>`` of index entries, then of pages.
+
+    The text is searched, not parsed, so broken files give what can be read of
+    them and size does not matter.  NULL gives no location.
+    """
+    plain = F.regexp_replace(F.coalesce(xml, F.lit("")), r"(?s)<!--.*?-->", "")
+    entries = F.concat(_blocks(plain, "sitemap"), _blocks(plain, "url"))
+    found = F.transform(entries, lambda e: F.regexp_extract(e, r"(?s)<loc(?:\s[^>]*+)?>(.*?)</loc\s*>", 1))
+
+    def text(loc: Column) -> Column:
+        loc = F.btrim(F.regexp_replace(loc, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1"), F.lit(" \t\n\r"))
+        for entity, char in XML_ENTITIES.items():
+            loc = F.replace(loc, F.lit(entity), F.lit(char))
+        return loc
+
+    return F.filter(F.transform(found, text), lambda u: u != "")
 
 
 def is_sitemap_index(locations: Column) -> Column:

@@ -27,31 +27,21 @@ def _visible(text: Column) -> Column:
 def read_files(files: DataFrame) -> DataFrame:
     """(file_path, content, text, content_hash, detail): decoded and gated.
 
-    ``detail`` says why a file is skipped before conversion.  The hash of a PDF
-    is that of its bytes.
+    ``detail`` says why a file is skipped before conversion.
     """
-    is_pdf = file_suffix(F.col("file_path")) == ".pdf"
-    binary = ~is_pdf & convert.looks_binary(F.col("content"))
-    sniffed = files.select("file_path", "content", is_pdf.alias("is_pdf"), binary.alias("binary"))
-    plain = F.when(~F.col("is_pdf") & ~F.col("binary"), F.col("content"))
+    sniffed = files.select("file_path", "content", convert.looks_binary(F.col("content")).alias("binary"))
+    plain = F.when(~F.col("binary"), F.col("content"))
     decoded = sniffed.withColumn("text", convert.decode(F.coalesce(plain, F.lit(bytearray()))))
-    digest = F.when(F.col("is_pdf"), F.substring(F.sha2("content", 256), 1, 16)).otherwise(content_hash(F.col("text")))
-    detail = F.when(F.col("binary"), "Binary content").when(
-        ~F.col("is_pdf") & (_visible(F.col("text")) < convert.MIN_CHARS), "Too small"
-    )
-    return decoded.select("file_path", "content", "is_pdf", "text", digest.alias("content_hash"), detail.alias("detail"))
+    detail = F.when(F.col("binary"), "binary").when(_visible(F.col("text")) < convert.MIN_CHARS, "short")
+    return decoded.select("file_path", "content", "text", content_hash(F.col("text")).alias("content_hash"), detail.alias("detail"))
 
 
 def convert_files(files: DataFrame) -> DataFrame:
     """Add ``markdown`` to the rows marked ``fresh``, and ``detail`` where
     nothing useful came out.  Other rows reach the converters as NULL."""
-    path, fresh = F.col("file_path"), F.col("fresh")
-    from_text = convert.to_markdown(F.when(fresh & ~F.col("is_pdf"), F.col("text")), path)
-    from_pdf = convert.pdf_to_markdown(F.when(fresh & F.col("is_pdf"), F.col("content")), path)
-    small = fresh & (_visible(F.col("markdown")) < convert.MIN_CHARS)
-    why = F.when(F.col("is_pdf"), "PDF empty or too small").otherwise("Empty after conversion")
-    done = files.withColumn("markdown", F.coalesce(from_text, from_pdf))
-    return done.withColumn("detail", F.coalesce("detail", F.when(small, why)))
+    converted = convert.to_markdown(F.when(F.col("fresh"), F.col("text")), F.col("file_path"))
+    small = F.col("fresh") & (_visible(F.col("markdown")) < convert.MIN_CHARS)
+    return files.withColumn("markdown", converted).withColumn("detail", F.coalesce("detail", F.when(small, "no text in it")))
 
 
 def document_metadata(docs: DataFrame) -> DataFrame:
@@ -244,10 +234,10 @@ def crawl_pages(
         F.when(~open_, "blocked").when(F.col("body").isNull(), "skipped").when(same, "unchanged").otherwise("crawled")
     )
     detail = (
-        F.when(F.col("private"), "private/internal host blocked")
-        .when(~F.col("allowed"), "robots.txt")
-        .when(F.col("state") == "skipped", "No extractable content")
-        .when(F.col("state") == "unchanged", "hash match")
+        F.when(F.col("private"), "private host")
+        .when(~F.col("allowed"), "robots")
+        .when(F.col("state") == "skipped", "no text in it")
+        .when(F.col("state") == "unchanged", "same hash")
     )
     # Pages are parsed once; everything below starts from this table.
     seen = written(

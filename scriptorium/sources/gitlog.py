@@ -1,4 +1,9 @@
-"""Commit logs: the command that writes one, and the parser of its text."""
+"""Commit logs: the command that writes one, and the parser of its text.
+
+A log is a run of records.  Each begins with the record separator and holds seven
+fields between unit separators: hash, author, address, date, subject, body, and the
+names of the files, which end in NUL.  None of these characters can stand in a field.
+"""
 
 from __future__ import annotations
 
@@ -7,59 +12,45 @@ import subprocess
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Markers of our log format (fixed values).
-COMMIT, BODY_START, BODY_END, FILES = "---COMMIT---", "---BODY---", "---END BODY---", "---FILES---"
-FORMAT = f"{COMMIT}%nHASH:%H%nAUTHOR:%an%nEMAIL:%ae%nDATE:%aI%nSUBJECT:%s%n{BODY_START}%n%b%n{BODY_END}%n{FILES}"
-
-
-def write_log(
-    repo: str,
-    target: str,
-    since: str | None = None,
-    until: str | None = None,
-    author: str | None = None,
-    merges: bool = False,
-) -> None:
-    """Stream ``git log`` of a local repository into a text file."""
-    command = ["git", "-C", repo, "log", f"--format={FORMAT}", "--name-only"]
-    if not merges:
-        command.append("--no-merges")
-    for name, value in (("since", since), ("until", until), ("author", author)):
-        if value:
-            command.append(f"--{name}={value}")
-    with open(target, "wb") as out:
-        done = subprocess.run(command, stdout=out, stderr=subprocess.PIPE)
-    if done.returncode != 0:
-        raise RuntimeError(f"git log failed: {done.stderr.decode(errors='replace').strip()}")
+RECORD, UNIT, NAME_END = "\x1e", "\x1f", "\x00"
+FIELDS = {"hash": "%H", "author": "%an", "author_email": "%ae", "date": "%aI", "subject": "%s", "body": "%b"}
+BLOCK_BYTES = 1 << 20
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Commits of one or many log files; Spark splits the files at the markers."""
-    blocks = spark.read.option("lineSep", COMMIT).text(path)
-    return parse_blocks(blocks.select(F.col("value").alias("block")))
-
+def log_arguments(merges: bool = False, **limits: str | None) -> list[str]:
+    """Arguments of ``git`` for a log in our format; ``limits`` are its own options, such as since."""
+    layout = "--format=tformat:%x1e" + "".join(code + "%x1f" for code in FIELDS.values())
+    chosen = [f"--{option}={value}" for option, value in limits.items() if value]
+    return ["log", "-z", "--name-only", layout, *([] if merges else ["--no-merges"]), *chosen]
 
-def parse_blocks(blocks: DataFrame) -> DataFrame:
-    """One commit per block that has a hash; bodies may span lines."""
-    block = F.col("block")
 
-    def field(name: str):
-        return F.trim(F.regexp_extract(block, rf"(?m)^{name}:([^\n]*)$", 1))
+def write_log(spark: SparkSession, repo: str, target: str, merges: bool = False, **limits: str | None) -> None:
+    """Stream the log of a local repository into a file on any Hadoop file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        with subprocess.Popen(["git", "-C", repo, *log_arguments(merges, **limits)], stdout=subprocess.PIPE) as git:
+            while block := git.stdout.read(BLOCK_BYTES):
+                out.write(bytearray(block))
+    finally:
+        out.close()
+    if git.returncode:
+        raise RuntimeError(f"the log of {repo} cannot be read")
 
-    def between(start: str, end: str):
-        return F.regexp_extract(block, rf"(?s)(?:^|\n){start}\n(.*?)(?:\n{end}|$)", 1)
 
-    names = F.transform(F.split(F.regexp_extract(block, rf"(?s)(?:^|\n){FILES}\n(.*)$", 1), "\n"), lambda f: F.trim(f))
-    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
-    return blocks.select(
-        field("HASH").alias("hash"),
-        field("AUTHOR").alias("author"),
-        field("EMAIL").alias("author_email"),
-        field("DATE").alias("date"),
-        field("SUBJECT").alias("subject"),
-        strip(between(BODY_START, BODY_END)).alias("body"),
-        F.array_remove(names, "").alias("files"),
-    ).filter(F.col("hash") != "")
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """Commits of one or many log files; Spark splits the files at the records."""
+    records = spark.read.option("lineSep", RECORD).text(path)
+    return parse_records(records.select(F.col("value").alias("record")))
+
+
+def parse_records(records: DataFrame) -> DataFrame:
+    """One commit per record that has a hash."""
+    parts = F.split("record", UNIT, len(FIELDS) + 1)
+    trimmed = {name: F.btrim(F.get(parts, F.lit(i)), F.lit(" \t\r\n" + NAME_END)) for i, name in enumerate(FIELDS)}
+    names = F.split(F.coalesce(F.get(parts, F.lit(len(FIELDS))), F.lit("")), f"[\n{NAME_END}]+")
+    commits = records.select(*[F.coalesce(value, F.lit("")).alias(name) for name, value in trimmed.items()], F.array_remove(names, "").alias("files"))
+    return commits.where("hash <> ''")
 
 
 def commit_tables(commits: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -50,8 +50,8 @@ def tree(tmp_path_factory):
 def engine(spark, tmp_path_factory, tree):
     engine = Engine(spark, str(tmp_path_factory.mktemp("store")), EngineConfig(writable=True, store_buckets=4))
     report = {r.path: (r.action, r.detail) for r in engine.ingest_path(str(tree)).collect()}
-    assert report["tiny.md"] == ("skipped", "Too small")
-    assert report["image.txt"] == ("skipped", "Binary content")
+    assert report["tiny.md"] == ("skipped", "short")
+    assert report["image.txt"] == ("skipped", "binary")
     assert report["guide.md"][0] == "ingested"
     return engine
 
@@ -180,16 +180,15 @@ def test_history_and_cleanup(engine, tmp_path):
     from scriptorium.sources import gitlog as g
 
     def commit(n, day, author, subject, files, body=""):
-        return (
-            f"{g.COMMIT}\nHASH:{n * 40}\nAUTHOR:{author}\nEMAIL:{author.lower()}@x.io\nDATE:2026-01-{day}T10:00:00+00:00\n"
-            f"SUBJECT:{subject}\n{g.BODY_START}\n{body}\n{g.BODY_END}\n{g.FILES}\n\n" + "\n".join(files) + "\n"
-        )
+        fields = [n * 40, author, f"{author.lower()}@x.io", f"2026-01-{day}T10:00:00+00:00", subject, body]
+        return g.RECORD + "".join(f + g.UNIT for f in fields) + "\n" + "".join(f + g.NAME_END for f in files)
 
     log = tmp_path / "log.txt"
     log.write_text(
         commit("a", "03", "Alice", "Fix billing", ["src/billing.py", "src/app.py"], "Rounds totals.\n\nTwice.")
         + commit("b", "02", "Bob", "Add app", ["src/app.py"])
-        + f"{g.COMMIT}\nAUTHOR:nobody\n"
+        + g.RECORD
+        + "broken"
     )
     report = {r.path: r.action for r in engine.ingest_git_log(str(log)).collect()}
     assert report == {"git-history/src/billing.py": "ingested", "git-history/src/app.py": "ingested"}
@@ -224,7 +223,7 @@ def test_crawl(engine):
     robots = engine.spark.createDataFrame([("docs.example.org", "User-agent: *\nDisallow: /secret")], "host string, rules string")
     report = {r.path: (r.action, r.detail) for r in engine.crawl(pages, robots=robots).collect()}
     assert report["https://docs.example.org/a"][0] == "crawled"
-    assert report["https://docs.example.org/secret/s"] == ("blocked", "robots.txt")
+    assert report["https://docs.example.org/secret/s"] == ("blocked", "robots")
     assert report["http://127.0.0.1/internal"][0] == "blocked"
     assert report["https://docs.example.org/empty"][0] == "skipped"
     assert engine.crawl(pages, robots=robots).filter("action = 'unchanged'").count() == 1

@@ -66,12 +66,18 @@ def test_front_and_links(spark):
     assert one(spark, markdown.body(F.col("a")), a=doc).startswith("body")
     assert one(spark, markdown.body(F.col("a")), a="--- open") == "--- open"
     assert one(spark, markdown.content_links(F.col("a")), a=doc) == ["a.md", "w"]
-    assert markdown.related_paths("---\nrelates_to: a.md, 'b.md', c*.md\n---") == ["a.md", "b.md"]
-    assert markdown.related_paths("---\nrelates_to:\n  - a.md\n\n  - \"b.md\"\nother: x\n  - c.md\n---") == ["a.md", "b.md"]
-    assert markdown.related_paths("relates_to: a.md") == []
+    def related(doc):
+        return one(spark, markdown.related_paths(F.col("a")), a=doc)
+
+    def typed(doc):
+        return [tuple(r) for r in one(spark, markdown.typed_relations(F.col("a")), a=doc)]
+
+    assert related("---\nrelates_to: a.md, 'b.md', c*.md\n---") == ["a.md", "b.md"]
+    assert related("---\nrelates_to:\n  - a.md\n\n  - \"b.md\"\nother: x\n  - c.md\n---") == ["a.md", "b.md"]
+    assert related("relates_to: a.md") == []
     block = "---\nrelations:\n  - {path: a.md, type: extends}\n  - path: b.md\n    type: tests\n  - type: tests\nend: 1\n  - path: c.md\n---"
-    assert markdown.typed_relations(block) == [("a.md", "extends"), ("b.md", "tests")]
-    assert markdown.typed_relations("---\nrelations:\n - {path: 'x*.md', type: tests}\n---") == []
+    assert typed(block) == [("a.md", "extends"), ("b.md", "tests")]
+    assert typed("---\nrelations:\n - {path: 'x*.md', type: tests}\n---") == []
 
 
 def titles(md, size=4000, **kw):
@@ -109,20 +115,30 @@ def test_packing_loses_nothing(doc, size):
     assert "".join("".join(parts).split()) == "".join(doc.split())
 
 
-def test_converters():
-    to = convert.convert_text
-    assert to("x", "d/my-file_a.txt") == "# My File A\n\nx" and to("x", "a.md") == "x"
-    assert to("a,b\n1\n1,2,3", "t.csv") == "# t\n\n| a | b |\n| --- | --- |\n| 1 |  |\n| 1 | 2 |"
-    assert to("a,b", "t.csv") == "a,b"
-    assert to('{"a": {"b": 1}, "c": 2}', "j.json") == '# j.json\n\n## a\n\n```json\n{\n  "b": 1\n}\n```\n\n- **c**: 2'
-    assert to("[1]", "j.json").startswith("# j.json\n\n```json") and to("{bad", "j.json") == "{bad"
-    toml = to('k = 1\n[t]\nx = "y"\nl = [1]\n[[a]]\nn = 1\n', "c.toml")
-    assert toml.split("\n\n")[:4] == ["# c.toml", "- **k**: 1", "## t", "- **x**: y"] and "- n=1" in toml
-    assert to("= bad", "c.toml") == "# c.toml\n\n```toml\n= bad\n```"
-    cells = [{"cell_type": "markdown", "source": ["# H"]}, {"cell_type": "code", "source": "x"}, {"cell_type": "raw", "source": " "}]
+def test_converters(spark):
+    cells = [{"cell_type": "markdown", "source": ["# H\n", "x"]}, {"cell_type": "code", "source": "x"}, {"cell_type": "raw", "source": " "}]
     book = json.dumps({"cells": cells, "metadata": {"kernelspec": {"language": "python"}}})
-    assert to(book, "n.ipynb") == "# H\n\n```python\nx\n```" and to('{"cells": []}', "n.ipynb") == ""
-    assert to("Title\n=====", "r.rst").endswith("Title\n=====") or "Title" in to("Title\n=====", "r.rst")
+    flat = '{"a": {"b": 1}, "c": 2, "d": true, "e": null, "f": "s"}'
+    wanted = [
+        ("d/my-file_a.txt", "x", "# My File A\n\nx"),
+        ("a.md", "x", "x"),
+        ("t.csv", "a,b\n1\n1,2,3", "# t\n\n| a | b |\n| --- | --- |\n| 1 |  |\n| 1 | 2 |"),
+        ("t.csv", 'a,"b, ""q"""\n1,', '# t\n\n| a | b, "q" |\n| --- | --- |\n| 1 |  |'),
+        ("t.csv", "a,b", "a,b"),
+        ("t.csv", "a\n" + "x" * 200_000, "# t\n\n| a |\n| --- |\n| " + "x" * 200_000 + " |"),
+        ("j.json", flat, '# j.json\n\n## a\n\n```json\n{\n  "b": 1\n}\n```\n\n- **c**: 2\n\n- **d**: True\n\n- **e**: None\n\n- **f**: s'),
+        ("j.json", "[1]", "# j.json\n\n```json\n[\n  1\n]\n```"),
+        ("j.json", "{bad", "{bad"),
+        ("j.json", "[" * 3000 + "]" * 3000, "[" * 3000 + "]" * 3000),
+        ("n.ipynb", book, "# H\nx\n\n```python\nx\n```"),
+        ("n.ipynb", '{"cells": []}', ""),
+        ("n.ipynb", "[1, 2]", "[1, 2]"),
+        ("x.json", None, None),
+    ]
+    rows = spark.createDataFrame([w[:2] for w in wanted], "path string, text string")
+    got = rows.select(convert.to_markdown(F.col("text"), F.col("path")).alias("m")).collect()
+    for (path, text, want), row in zip(wanted, got, strict=True):
+        assert row.m == want, (path, text)
 
 
 @pytest.mark.parametrize(
@@ -150,16 +166,21 @@ def test_page_links(spark):
     assert web.page_links(pages, limit=2).count() == 2
 
 
-def test_sitemaps_robots_hosts():
-    ns = '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc> https://a/1 </loc></url><url></url></urlset>'
-    assert web.sitemap_locations(ns) == ["https://a/1"]
-    assert web.sitemap_locations("<sitemapindex><sitemap><loc>u.xml</loc></sitemap></sitemapindex>") == ["u.xml"]
-    assert web.sitemap_locations("<broken") == [] and web.sitemap_locations("") == []
-    rules = "User-agent: *\nDisallow: /private"
-    assert not web.robots_allow(rules, "https://a/private/x", "bot") and web.robots_allow(rules, "https://a/x", "bot")
-    assert web.robots_allow("", "https://a/x", "bot")
-    assert all(map(web.is_private, ["localhost", "10.0.0.1", "x.internal", "127.0.0.1:80", ""]))
-    assert not web.is_private("example.org") and not web.is_private("8.8.8.8")
+def test_sitemaps_robots_hosts(spark):
+    def locations(xml):
+        return one(spark, web.sitemap_urls(F.col("a")), a=xml)
+
+    ns = '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc> https://a/1?x=1&amp;y </loc></url><url></url></urlset>'
+    assert locations(ns) == ["https://a/1?x=1&y"]
+    assert locations("<sitemapindex><sitemap><loc>u.xml</loc></sitemap><!-- <sitemap><loc>no</loc></sitemap> --></sitemapindex>") == ["u.xml"]
+    assert locations("<broken") == [] and locations("") == []
+    hosts = {
+        **dict.fromkeys(["localhost", "10.0.0.1", "x.internal", "127.0.0.1:80", "", "[::1]", "[::1]:80", "user@127.0.0.1"], True),
+        **dict.fromkeys(["a:b@192.168.1.9:8080", "172.31.0.1", "[fe80::1]", "[fd00::2]", "[::ffff:10.0.0.1]", "2001:db8::1", "::"], True),
+        **dict.fromkeys(["example.org", "8.8.8.8", "172.32.0.1", "[2606:4700::1111]:443", "10.example.org", "300.0.0.1"], False),
+    }
+    rows = spark.createDataFrame([(h,) for h in hosts], "a string").select("a", web.private_host(F.col("a")).alias("p"))
+    assert {r.a: r.p for r in rows.collect()} == hosts
 
 
 def test_page_markdown():
