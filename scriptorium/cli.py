@@ -37,7 +37,7 @@ def _parser() -> argparse.ArgumentParser:
     command("watch", option("path"), option("--checkpoint", required=True), flag("--once"))
     command(
         "ingest-git", option("log"), option("--repo"), option("--since"), option("--until"), option("--author"), flag("--merges"),
-        option("--include"), option("--exclude"), option("--max-commits", type=int, default=10), flag("--force"), flag("--dry-run"),
+        option("--include"), option("--exclude"), option("--max-commits", type=int), flag("--force"), flag("--dry-run"),
     )
     command("crawl", option("pages", help="Parquet of url, html"), option("--include"), option("--exclude"), flag("--force"), flag("--dry-run"))
     command("search", option("query"), option("--category"), option("--limit", type=int, default=5))

@@ -10,7 +10,10 @@ class EngineConfig:
     # fixed default values
     chunk_size: int = 2000
     content_preview_chars: int = 200
-    search_limit_max: int = 20
+    # Caps a caller may set; none by default.
+    search_limit_max: int | None = None
+    max_query_chars: int | None = None
+    log_top: int | None = None
     rrf_k: int = 60
     rerank_enabled: bool = False
     rerank_pool: int = 20
@@ -21,10 +24,8 @@ class EngineConfig:
     embed_dim: int = 384
     embed_batch_size: int = 50
     max_doc_bytes: int = 50 * 1024 * 1024
-    max_query_chars: int = 10_000
     writable: bool = False
     access_log: bool = True
-    log_top: int = 3
     # Spark-side settings
     store_buckets: int = 64
     small_rows: int = 200_000
@@ -34,7 +35,7 @@ class EngineConfig:
         rules = (
             ("chunk_size", self.chunk_size >= 500, ">= 500"),
             ("content_preview_chars", self.content_preview_chars >= 50, ">= 50"),
-            ("search_limit_max", self.search_limit_max >= 1, ">= 1"),
+            ("search_limit_max", self.search_limit_max is None or self.search_limit_max >= 1, ">= 1"),
             ("embed_batch_size", self.embed_batch_size >= 1, ">= 1"),
             ("mmr_lambda", 0.0 <= self.mmr_lambda <= 1.0, "within [0, 1]"),
             ("rerank_pool", self.rerank_pool >= 1, ">= 1"),
@@ -46,11 +47,11 @@ class EngineConfig:
                 raise ValueError(f"{name} must be {rule}, got {getattr(self, name)!r}")
 
     def clamp_limit(self, limit: int) -> int:
-        return max(1, min(self.search_limit_max, limit))
+        return max(1, limit if self.search_limit_max is None else min(self.search_limit_max, limit))
 
     def candidate_limit(self, limit: int, rerank: bool) -> int:
         """How many hits to retrieve so that the later steps have headroom."""
         wanted = max(limit, self.rerank_pool) if rerank else limit
         if self.collapse_by_doc or 0.0 < self.mmr_lambda < 1.0:
             wanted = max(wanted, limit * 5)
-        return max(1, min(max(self.search_limit_max, self.rerank_pool), wanted))
+        return wanted if self.search_limit_max is None else max(1, min(max(self.search_limit_max, self.rerank_pool), wanted))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from scriptorium.config import EngineConfig
 from scriptorium.functions.markdown import packed_paragraphs
 from scriptorium.functions.text import ENGLISH, PORTER, Analyzer, content_hash
 from scriptorium.operators import documents, graph, history, rerank, usage
+from scriptorium.operators.index import with_chunk_id
 from scriptorium.plans import embed, ingest
 from scriptorium.plans.search import Ranking, SearchTables, search
 from scriptorium.session import written
@@ -48,7 +49,7 @@ class Engine:
     def _queries(self, text: str, category: str | None, vector: list[float] | None) -> DataFrame:
         if not text.strip():
             raise ValueError("empty query")
-        if len(text) > self.config.max_query_chars:
+        if self.config.max_query_chars is not None and len(text) > self.config.max_query_chars:
             raise ValueError(f"query exceeds {self.config.max_query_chars} characters")
         if vector is None and self.embedder is not None:
             vector = self.embedder([text])[0]
@@ -79,14 +80,10 @@ class Engine:
     def search_git_history(self, query: str, author=None, since=None, until=None, file_path=None, limit: int = 5) -> DataFrame:
         limit = self.config.clamp_limit(limit)
         asked = self._queries(query, "git-history", None).drop("query_embedding")
-        hits = search(self.tables(), asked, limit * 3, self._wide(limit * 3), ranking=self.ranking)
-        kept = history.filter_history_hits(hits, limit, author, since, until, file_path)
-        return rerank.format_hits(kept, self.config.content_preview_chars).orderBy("rank")
-
-    def _wide(self, limit: int) -> EngineConfig:
-        from dataclasses import replace
-
-        return replace(self.config, search_limit_max=max(limit, self.config.search_limit_max), collapse_by_doc=False)
+        tables = self.tables()
+        within = with_chunk_id(history.commit_sections(tables.chunks, author, since, until, file_path))
+        hits = search(replace(tables, within=within), asked, limit, replace(self.config, collapse_by_doc=False), ranking=self.ranking)
+        return rerank.format_hits(hits, self.config.content_preview_chars).orderBy("rank")
 
     def get_doc(self, path: str, max_length: int | None = None) -> DataFrame:
         paths = self.spark.createDataFrame([(path,)], "file_path string")
@@ -114,7 +111,7 @@ class Engine:
         if not topic:
             return usage.primer(log, chunks, now, limit, category, chars)
         hits = self.search_batch(self._queries(topic, category, None), limit)
-        return usage.annotate_access(hits, usage.top_accessed(log, chunks, now, limit, 30, category), chars)
+        return usage.annotate_access(hits, usage.access_counts(log, now, 30), chars)
 
     def get_graph_stats(self, category: str | None = None) -> dict[str, DataFrame]:
         links, chunks = self.store.links(), self.store.chunks()

@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 from scriptorium.config import EngineConfig
 from scriptorium.operators.index import TextIndex, with_chunk_id
 from scriptorium.operators.keyword import attach_chunks, bounded_queries, keyword_search, ts_rank_scores
-from scriptorium.operators.ranking import SCORE_DIGITS, in_wanted, score_order, top_k, wanted_categories
+from scriptorium.operators.ranking import SCORE_DIGITS, score_order, top_k
 from scriptorium.operators.vector import cosine, nearest_scores
 
 DEFAULTS = EngineConfig()
-# Over-fetch of each arm, the identity prefix, and the blend (fixed values).
+# Over-fetch of each arm, and the blend (fixed values).
 ARM_FACTOR, ARM_FLOOR = 4, 20
-KEY_CHARS = 50
 TEXT_SHARE, VECTOR_SHARE, MAX_DISTANCE = 0.4, 0.6, 0.8
 
 
@@ -39,7 +38,8 @@ def fuse_ranks(keyword: DataFrame, semantic: DataFrame, k: int, rrf_k: int = 60,
 
 
 def _with_key(hits: DataFrame) -> DataFrame:
-    return hits.withColumn("key", F.concat_ws(":", "file_path", F.substring("content", 1, KEY_CHARS)))
+    place = F.lpad(F.col("chunk_index").cast("string"), 10, "0")
+    return hits.withColumn("key", F.concat_ws(":", "file_path", place))
 
 
 def hybrid_rrf(
@@ -49,24 +49,20 @@ def hybrid_rrf(
     vectors: DataFrame,
     k: int = 5,
     config: EngineConfig = DEFAULTS,
-    prefilter: bool = False,
 ) -> DataFrame:
     """Keyword and vector arm, fused by rank.
 
-    The category of a query filters its vector hits after they are cut to the
-    arm's size; ``prefilter`` cuts after filtering instead.
+    A hit is its chunk.  Both arms are cut after the category of the query has
+    filtered them.
     """
     arm = max(k * ARM_FACTOR, ARM_FLOOR)
     queries, small = bounded_queries(queries, 2 * arm, config)
     keyword = keyword_search(index, queries, chunks, arm, config)
-    nearest = nearest_scores(queries, vectors, arm, config, within_category=prefilter)
+    nearest = nearest_scores(queries, vectors, arm, config, within_category=True)
     if "bucket" in vectors.columns:
         places = with_chunk_id(vectors).select("chunk_id", "bucket")
         nearest = places.join(F.broadcast(nearest) if small else nearest, "chunk_id")
     semantic = attach_chunks(nearest.withColumnRenamed("rank", "fetched"), chunks, small)
-    if not prefilter:
-        wanted = queries.select("query_id", wanted_categories(queries).alias("wanted"))
-        semantic = semantic.join(wanted, "query_id").filter(in_wanted()).drop("wanted")
     semantic = top_k(semantic, ["query_id"], [F.col("fetched")], arm).drop("fetched")
     columns = ("chunk_id", "file_path", "chunk_index", "title", "content", "category")
     return fuse_ranks(_with_key(keyword), _with_key(semantic), k, config.rrf_k, columns).drop("key")

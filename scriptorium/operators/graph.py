@@ -10,7 +10,7 @@ from scriptorium.operators.usage import head_chunks, with_heads
 from scriptorium.session import written
 
 # Result limits (fixed values).
-RELATED_LIMIT, HUB_LIMIT, ORPHAN_LIMIT, MAX_DEPTH = 50, 10, 20, 3
+HUB_LIMIT = 10
 CO_CHANGE_MIN, CO_CHANGE_MAX = 2, 20
 HISTORY_PREFIX = "git-history/"
 
@@ -56,7 +56,7 @@ def related(
     depth: int = 1,
     relation_type: str | None = None,
     chunks: DataFrame | None = None,
-    limit: int = RELATED_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
     """Breadth-first neighbours up to ``depth`` hops; a path counts once, where
     it is first seen, in the order of hop and then of the edges that led to it.
@@ -65,7 +65,7 @@ def related(
     so the first sighting is a minimum and needs no ordering of a whole level.
     Each level is written to the shared folder: the next one joins it twice.
     """
-    depth = max(1, min(depth, MAX_DEPTH))
+    depth = max(1, depth)
     if depth == 1:
         return related_one_hop(links, starts, relation_type, chunks)
     edges = adjacency(links, relation_type)
@@ -112,14 +112,14 @@ def related_by_type(
     starts: DataFrame,
     depth: int = 2,
     relation_type: str | None = None,
-    limit: int = RELATED_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
     """Fewest hops per (path, relation type), walks never returning to the start.
 
     An edge of some type reaches its far end one hop after the near end was
     first reached, so the distances of the near ends are enough.
     """
-    depth = max(1, min(depth, MAX_DEPTH))
+    depth = max(1, depth)
     edges = adjacency(links, relation_type)
     origin = starts.select(F.col("path").alias("start")).distinct()
     frontier = origin.select("start", F.col("start").alias("path"))
@@ -167,7 +167,7 @@ def hubs(links: DataFrame, chunks: DataFrame, limit: int = HUB_LIMIT) -> DataFra
     return named.withColumnRenamed("file_path", "path").orderBy(F.col("connections").desc(), "path")
 
 
-def orphans(links: DataFrame, chunks: DataFrame, category: str | None = None, limit: int | None = ORPHAN_LIMIT) -> DataFrame:
+def orphans(links: DataFrame, chunks: DataFrame, category: str | None = None, limit: int | None = None) -> DataFrame:
     """Documents without any link, commit histories aside."""
     docs = head_chunks(chunks).filter(~F.col("file_path").startswith(HISTORY_PREFIX))
     if category:

@@ -236,8 +236,21 @@ def keyword_search(
     k: int = 5,
     config: EngineConfig = DEFAULTS,
     ranker=bm25_scores,
+    by_document: bool = False,
+    within: DataFrame | None = None,
 ) -> DataFrame:
-    """The first ``k`` hits of each query, best first."""
+    """The first ``k`` hits of each query, best first.
+
+    ``within`` limits the search to the chunks it lists by ``chunk_id``.  With
+    ``by_document`` a document counts once, with its best chunk; all scored chunks
+    take part, so ``k`` documents come out wherever so many match.
+    """
     queries, small = bounded_queries(queries, k, config)
-    best = top_k(ranker(index, queries, chunks, config), ["query_id"], score_order(), k)
+    scores = ranker(index, queries, chunks, config)
+    if within is not None:
+        scores = scores.join(within.select("chunk_id"), "chunk_id", "left_semi")
+    if by_document:
+        paths = with_chunk_id(chunks).select("chunk_id", F.col("file_path").alias("document")).where("document IS NOT NULL")
+        scores = top_k(scores.join(paths, "chunk_id"), ["query_id", "document"], score_order(), 1).drop("rank", "document")
+    best = top_k(scores, ["query_id"], score_order(), k)
     return attach_chunks(best, chunks, small)

@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 SCORE_DIGITS = 6
 
 
-def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
-    """Number the rows of each key by ``order`` and keep the first ``k``.
+def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int | None, rank: str = "rank") -> DataFrame:
+    """Number the rows of each key by ``order`` and keep the first ``k``, or all of them.
 
     The filter on the row number lets Spark cut every key to ``k`` rows before
     the shuffle as well, so one key with most of the rows costs no more.
     """
     window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
+    numbered = df.withColumn(rank, F.row_number().over(window))
+    return numbered if k is None else numbered.filter(F.col(rank) <= k)
 
 
 def score_order() -> list[Column]:

@@ -28,13 +28,18 @@ def head_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.filter(F.col("chunk_index") == 0)
 
 
+def access_counts(log: DataFrame, as_of, days: int = 30) -> DataFrame:
+    """(file_path, access_count, last_accessed) of every path in the window."""
+    return since(log, as_of, days).groupBy("file_path").agg(
+        F.count(F.lit(1)).alias("access_count"), F.max("accessed_at").alias("last_accessed")
+    )
+
+
 def top_accessed(
     log: DataFrame, chunks: DataFrame, as_of, limit: int = 10, days: int = 30, category: str | None = None
 ) -> DataFrame:
     """The most accessed paths of the window with their first chunk's title."""
-    counts = since(log, as_of, days).groupBy("file_path").agg(
-        F.count(F.lit(1)).alias("access_count"), F.max("accessed_at").alias("last_accessed")
-    )
+    counts = access_counts(log, as_of, days)
     order = [F.col("access_count").desc(), F.col("file_path")]
     if category:
         # Counting comes first: it shrinks the log to one row per path before
@@ -84,9 +89,9 @@ def purge(log: DataFrame, as_of, days: int = 90) -> DataFrame:
     return since(log, as_of, days)
 
 
-def annotate_access(hits: DataFrame, top: DataFrame, chars: int = 200) -> DataFrame:
+def annotate_access(hits: DataFrame, counts: DataFrame, chars: int = 200) -> DataFrame:
     """Search hits in their order, each with its access count or zero."""
-    counts = top.select("file_path", "access_count")
+    counts = counts.select("file_path", "access_count")
     return hits.join(counts, "file_path", "left").select(
         "query_id",
         "rank",
@@ -107,9 +112,9 @@ def primer(log: DataFrame, chunks: DataFrame, as_of, limit: int = 10, category:
     )
 
 
-def access_events(hits: DataFrame, chunks: DataFrame, now, tool: str = "search_docs", top: int = 3, chars: int = 200):
-    """Log rows for the best hits of each query, with their token ledger."""
-    shown = hits.filter(F.col("rank") <= top)
+def access_events(hits: DataFrame, chunks: DataFrame, now, tool: str = "search_docs", top: int | None = None, chars: int = 200):
+    """Log rows for the hits of each query, all or the ``top`` ones, with their token ledger."""
+    shown = hits if top is None else hits.filter(F.col("rank") <= top)
     paths = shown.select("file_path").distinct()
     baseline = (
         chunks.join(paths, "file_path", "left_semi")

@@ -144,7 +144,7 @@ def ingest_history(
     config: EngineConfig,
     include: str | None = None,
     exclude: str | None = None,
-    max_commits: int = history.MAX_COMMITS,
+    max_commits: int | None = None,
     force: bool = False,
     dry_run: bool = False,
 ) -> DataFrame:

@@ -184,8 +184,8 @@ def knn(k: int = 10) -> str:
 
 def hybrid_rrf(k: int = 5, arm: int = 20) -> str:
     return f"""WITH {_occurrences(CHUNKS, VECTOR_QUERIES, True)}, {_bm25_scored()}, {_near()},
-  kw AS (SELECT query_id, cid, rank, file_path || ':' || left(content, 50) AS key FROM ({_ranked('scored', arm)}) r JOIN c USING (cid)),
-  sem AS (SELECT query_id, cid, rank, file_path || ':' || left(content, 50) AS key FROM ({_ranked('cosines', arm)}) r JOIN c USING (cid)),
+  kw AS (SELECT query_id, cid, rank, file_path || ':' || lpad(CAST(chunk_index AS VARCHAR), 10, '0') AS key FROM ({_ranked('scored', arm)}) r JOIN c USING (cid)),
+  sem AS (SELECT query_id, cid, rank, file_path || ':' || lpad(CAST(chunk_index AS VARCHAR), 10, '0') AS key FROM ({_ranked('cosines', arm)}) r JOIN c USING (cid)),
   k1 AS (SELECT query_id, key, max(rank) AS kr FROM kw GROUP BY ALL),
   s1 AS (SELECT query_id, key, max(rank) AS sr FROM sem GROUP BY ALL),
   fused AS (SELECT query_id, key, coalesce(1.0 / (60 + CAST(kr AS DOUBLE)), 0.0) + coalesce(1.0 / (60 + CAST(sr AS DOUBLE)), 0.0) AS score
@@ -207,10 +207,10 @@ def hybrid_linear(k: int = 5) -> str:
 
 def collapse(k: int = 20) -> str:
     return f"""WITH {_occurrences(CHUNKS, QUERIES, True)}, {_bm25_scored()},
-  hits AS (SELECT query_id, rank AS found, file_path, chunk_index, c.category AS category, score
-    FROM ({_ranked('scored', k)}) r JOIN c USING (cid)),
-  first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, file_path ORDER BY found) AS place FROM hits) WHERE place = 1)
-  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY found) AS rank, file_path, chunk_index, category, score FROM first"""
+  hits AS (SELECT query_id, cid, file_path, chunk_index, c.category AS category, score FROM scored JOIN c USING (cid)),
+  first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, file_path ORDER BY score DESC, cid) AS place FROM hits) WHERE place = 1)
+  SELECT query_id, rank, file_path, chunk_index, category, score
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cid) AS rank FROM first) WHERE rank <= {k}"""
 
 
 def preview(k: int = 5) -> str:
@@ -297,7 +297,7 @@ def primer(limit: int = 10) -> str:
 
 
 def topic_context(k: int = 10) -> str:
-    return f"""WITH {_occurrences(CHUNKS, QUERIES, True)}, {_bm25_scored()}, t AS ({top_accessed(k, 30)})
+    return f"""WITH {_occurrences(CHUNKS, QUERIES, True)}, {_bm25_scored()}, t AS ({top_accessed(10**9, 30)})
   SELECT query_id, rank, c.file_path AS file_path, c.title AS title, c.category AS category,
     CASE WHEN length(content) > 200 THEN left(content, 200) || '...' ELSE content END AS summary, coalesce(access_count, 0) AS access_count
   FROM ({_ranked('scored', k)}) r JOIN c USING (cid) LEFT JOIN t ON t.file_path = c.file_path"""
@@ -306,7 +306,7 @@ def topic_context(k: int = 10) -> str:
 SEARCH_LOG = f"""WITH {_occurrences(CHUNKS, QUERIES, True)}, {_bm25_scored()},
   base AS (SELECT file_path, CAST(sum({_TOKENS.format(t='content')}) AS BIGINT) AS tokens_baseline FROM c GROUP BY file_path)
   SELECT file_path, query, 'search_docs' AS tool, CAST({_TOKENS.format(t="(CASE WHEN length(content) > 200 THEN left(content, 200) || '...' ELSE content END)")} AS BIGINT) AS tokens_returned,
-  tokens_baseline FROM ({_ranked('scored', 3)}) r JOIN c USING (cid) JOIN base USING (file_path) JOIN q USING (query_id)"""
+  tokens_baseline FROM ({_ranked('scored', 5)}) r JOIN c USING (cid) JOIN base USING (file_path) JOIN q USING (query_id)"""
 
 # -- links and graph ----------------------------------------------------------
 
@@ -334,7 +334,7 @@ GRAPH_TOTALS = f"""SELECT (SELECT count(*) FROM ({LINKS})) AS total_edges, (SELE
   (SELECT count(DISTINCT file_path) FROM ({CHUNKS})) AS total_docs"""
 ORPHANS = f"""WITH l AS (SELECT * FROM ({LINKS})), c AS ({CHUNKS}) SELECT file_path AS path, title, category FROM c
   WHERE chunk_index = 0 AND NOT starts_with(file_path, 'git-history/')
-  AND file_path NOT IN (SELECT source_path FROM l UNION SELECT target_path FROM l) ORDER BY category, path LIMIT 20"""
+  AND file_path NOT IN (SELECT source_path FROM l UNION SELECT target_path FROM l) ORDER BY category, path"""
 ONE_HOP = f"""WITH l AS ({WEB_LINKS}), {_ADJACENT}, c AS ({CHUNKS})
   SELECT path, related_path, relation_type, direction, title, category FROM adj
   LEFT JOIN c ON c.file_path = related_path AND chunk_index = 0 WHERE path IN (SELECT source_path FROM l)"""
@@ -348,20 +348,20 @@ MULTI_HOP = f"""WITH RECURSIVE l AS ({LINKS}), {_ADJACENT}, {_HUBS.format(n=3)},
     WHERE path <> start AND NOT EXISTS (SELECT 1 FROM h1 v WHERE v.start = s.start AND v.path = s.path) GROUP BY start, path),
   u AS (SELECT *, 1 AS hops FROM h1 UNION ALL SELECT *, 2 FROM h2)
   SELECT start AS path, path AS related_path, seen.relation_type AS relation_type, seen.direction AS direction, hops, position
-  FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY hops, seen.walk) AS position FROM u) WHERE position <= 50"""
+  FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY hops, seen.walk) AS position FROM u)"""
 BY_TYPE = f"""WITH RECURSIVE l AS ({LINKS}), {_ADJACENT}, {_HUBS.format(n=3)},
   g(start, path, relation_type, hop) AS (SELECT h.path, related_path, relation_type, 1 FROM h JOIN adj ON adj.path = h.path
     UNION SELECT g.start, adj.related_path, adj.relation_type, hop + 1 FROM g JOIN adj ON adj.path = g.path WHERE hop < 2 AND adj.related_path <> g.start),
   m AS (SELECT start, path, relation_type, min(hop) AS hops FROM g WHERE path <> start GROUP BY ALL)
   SELECT start AS path, path AS related_path, relation_type, hops FROM
-  (SELECT *, row_number() OVER (PARTITION BY start ORDER BY hops, path, relation_type) AS n FROM m) WHERE n <= 50"""
+  (SELECT *, row_number() OVER (PARTITION BY start ORDER BY hops, path, relation_type) AS n FROM m)"""
 RELABELED = f"""SELECT source_path, target_path, CASE WHEN starts_with(source_path, 'git-history/') AND starts_with(target_path, 'git-history/') THEN 'git_co_change'
   WHEN starts_with(source_path, 'git-history/') THEN 'git_ref' ELSE 'relates_to' END AS relation_type FROM ({LINKS})"""
 
 # -- histories ------------------------------------------------------------------
 
 _PICKED = """picked AS (SELECT * FROM (SELECT file, commit_id, hash, date, row_number() OVER (PARTITION BY file ORDER BY date DESC, hash) AS position
-  FROM f JOIN m USING (commit_id)) WHERE position <= 10)"""
+  FROM f JOIN m USING (commit_id)))"""
 COMMITS_PER_FILE = f"WITH f AS ({COMMIT_FILES}), m AS ({COMMITS}), {_PICKED} SELECT file, hash, date, position FROM picked"
 GLOB = rf"""WITH f AS ({COMMIT_FILES}) SELECT DISTINCT file FROM f
   WHERE (regexp_full_match(file, 'parts/part-1.*\.md') OR regexp_full_match(file, '.*7\.md')) AND NOT regexp_full_match(file, '.*0\.md')"""

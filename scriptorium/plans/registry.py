@@ -134,7 +134,8 @@ def hybrid_linear(spark, sf):
 
 @query("collapse_by_doc", oracle.collapse())
 def collapse_by_doc(spark, sf):
-    return hit_columns(rerank.collapse_by_document(_searched(spark, sf, 20)))
+    index, chunks = corpus.chunk_index(spark, sf, PORTER), corpus.chunks(spark, sf)
+    return hit_columns(keyword.keyword_search(index, corpus.text_queries(spark, sf), chunks, 20, by_document=True))
 
 
 @query("search_preview", oracle.preview())
@@ -286,9 +287,8 @@ def context_primer(spark, sf):
 
 @query("context_topic", oracle.topic_context())
 def context_topic(spark, sf):
-    log, chunks = corpus.access_log(spark, sf), corpus.chunks(spark, sf)
-    top = usage.top_accessed(log, chunks, usage.latest(log), 10)
-    return usage.annotate_access(_searched(spark, sf, 10), top)
+    log = corpus.access_log(spark, sf)
+    return usage.annotate_access(_searched(spark, sf, 10), usage.access_counts(log, usage.latest(log)))
 
 
 @query("search_access_log", oracle.SEARCH_LOG)

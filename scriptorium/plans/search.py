@@ -23,12 +23,18 @@ class SearchTables:
     chunks: DataFrame
     vectors: DataFrame | None
     index: TextIndex
+    # The chunks a keyword search is limited to, by chunk_id; all when None.
+    within: DataFrame | None = None
 
 
 def clean_queries(queries: DataFrame, config: EngineConfig) -> DataFrame:
-    """Stripped queries; empty and overlong ones are left out."""
+    """Stripped queries without the empty ones; overlong ones fail where a length is set."""
     trimmed = queries.withColumn("query", F.btrim("query", F.lit(" \t\n\r\f\v")))
-    return trimmed.filter((F.col("query") != "") & (F.length("query") <= config.max_query_chars))
+    asked = trimmed.filter(F.col("query") != "")
+    if config.max_query_chars is None:
+        return asked
+    too_long = F.raise_error(F.lit(f"a query has more than {config.max_query_chars} characters"))
+    return asked.withColumn("query", F.when(F.length("query") <= config.max_query_chars, F.col("query")).otherwise(too_long))
 
 
 def retrieve(tables: SearchTables, queries: DataFrame, limit: int, config: EngineConfig, ranking: Ranking | None = None) -> DataFrame:
@@ -49,7 +55,7 @@ def _shared(hits: DataFrame) -> DataFrame:
 
 
 def _keyword(tables: SearchTables, queries: DataFrame, limit: int, config: EngineConfig) -> DataFrame:
-    hits = keyword.keyword_search(tables.index, queries, tables.chunks, limit, config)
+    hits = keyword.keyword_search(tables.index, queries, tables.chunks, limit, config, by_document=config.collapse_by_doc, within=tables.within)
     like_path = queries.filter(F.contains("query", F.lit("/")) | F.contains("query", F.lit(".")))
     if like_path.isEmpty():
         return hits

@@ -196,4 +196,6 @@ def test_config_ranges():
         with pytest.raises(ValueError):
             EngineConfig(**bad)
     config = EngineConfig(collapse_by_doc=True)
-    assert config.candidate_limit(3, False) == 15 and config.candidate_limit(20, True) == 20 and config.clamp_limit(99) == 20
+    assert config.candidate_limit(3, False) == 15 and config.candidate_limit(20, True) == 100 and config.clamp_limit(99) == 99
+    capped = EngineConfig(collapse_by_doc=True, search_limit_max=20)
+    assert capped.candidate_limit(20, True) == 20 and capped.clamp_limit(99) == 20
