@@ -16,7 +16,7 @@ from scriptorium.session import build_session
 def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="scriptorium")
     parser.add_argument("--store", required=True, help="folder of the stored tables")
-    parser.add_argument("--buckets", type=int, default=EngineConfig().store_buckets)
+    parser.add_argument("--buckets", type=int)
     parser.add_argument("--master", default=None, help="Spark master, when not set elsewhere")
     commands = parser.add_subparsers(dest="command", required=True)
 

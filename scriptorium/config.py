@@ -27,7 +27,8 @@ class EngineConfig:
     writable: bool = False
     access_log: bool = True
     # Spark-side settings
-    store_buckets: int = 64
+    # Of a new store; an existing one knows its own number.
+    store_buckets: int | None = None
     small_rows: int = 200_000
     small_bytes: int = 8 * 1024 * 1024
 
@@ -40,7 +41,7 @@ class EngineConfig:
             ("mmr_lambda", 0.0 <= self.mmr_lambda <= 1.0, "within [0, 1]"),
             ("rerank_pool", self.rerank_pool >= 1, ">= 1"),
             ("rrf_k", self.rrf_k >= 1, ">= 1"),
-            ("store_buckets", self.store_buckets >= 1, ">= 1"),
+            ("store_buckets", self.store_buckets is None or self.store_buckets >= 1, ">= 1"),
         )
         for name, ok, rule in rules:
             if not ok:

@@ -9,6 +9,7 @@ from scriptorium.config import EngineConfig
 from scriptorium.functions import convert, markdown, web
 from scriptorium.functions.text import content_hash, file_stem, file_suffix, first_h1, matches_globs, parse_tags
 from scriptorium.operators import changes, graph, history
+from scriptorium.operators.ranking import top_k
 from scriptorium.schema import TYPED_RELATIONS
 from scriptorium.session import written
 from scriptorium.sources.store import DocStore
@@ -207,7 +208,9 @@ def crawl_pages(
     """
     url = F.col("url")
     extras = [c for c in ("etag", "last_modified", "is_plain_text") if c in pages.columns]
-    normal = pages.select(web.normalize_url(url).alias("url"), "html", *extras).withColumn("host", web.url_host(url))
+    normal = pages.select(web.normalize_url(url).alias("url"), url.alias("given"), "html", *extras).withColumn("host", web.url_host(url))
+    # Spellings of one address are one page: the first by its spelling.
+    normal = top_k(normal, ["url"], [F.col("given"), F.xxhash64("html")], 1, "spelling").drop("spelling", "given")
     if include:
         normal = normal.filter(web.matches_path(url, include))
     if exclude:
@@ -215,8 +218,11 @@ def crawl_pages(
     if dry_run:
         return _report(normal.withColumnRenamed("url", "file_path"), "dry-run")
     if robots is not None:
-        normal = normal.join(robots.select("host", "rules"), "host", "left")
-        allowed = web.allowed_by_robots(F.col("rules"), url, agent)
+        # A page stays one row, and every text of its host must let it pass.
+        rules = normal.select("url", "host").join(robots.select("host", "rules"), "host")
+        passed = rules.groupBy("url").agg(F.bool_and(web.allowed_by_robots(F.col("rules"), url, agent)).alias("passed"))
+        normal = normal.join(passed, "url", "left")
+        allowed = F.coalesce("passed", F.lit(True))
     else:
         allowed = F.lit(True)
     private = F.lit(False) if allow_private else web.private_host(F.col("host"))

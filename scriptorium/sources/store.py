@@ -23,17 +23,45 @@ from scriptorium.session import table_exists, written
 
 BUCKET = T.StructField("bucket", T.IntegerType())
 DAY = T.StructField("day", T.DateType())
+DEFAULT_BUCKETS = 64
+LAYOUT = "layout"
 
 
 class DocStore:
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 64, analyzer: Analyzer = PORTER) -> None:
-        self.spark, self.root, self.buckets, self.analyzer = spark, root, buckets, analyzer
+    """``buckets`` is fixed when a store is made and kept in its layout file; opening it
+    without a number takes that one, and opening it with another one fails."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None, analyzer: Analyzer = PORTER) -> None:
+        self.spark, self.root, self.analyzer = spark, root, analyzer
+        stored = self._stored_buckets()
+        if stored and buckets and stored != buckets:
+            raise ValueError(f"the store at {root} has {stored} buckets, not {buckets}")
+        self.buckets = stored or buckets or DEFAULT_BUCKETS
 
     # -- layout ---------------------------------------------------------------
 
     def path(self, table: str) -> str:
         return os.path.join(self.root, table)
 
+    def _stored_buckets(self) -> int | None:
+        fs, target = self._fs(self.path(LAYOUT))
+        if not fs.exists(target):
+            return None
+        stream = fs.open(target)
+        try:
+            return stream.readInt()
+        finally:
+            stream.close()
+
+    def _keep_layout(self) -> None:
+        fs, target = self._fs(self.path(LAYOUT))
+        if not fs.exists(target):
+            stream = fs.create(target, False)
+            try:
+                stream.writeInt(self.buckets)
+            finally:
+                stream.close()
+
     def _fs(self, path: str):
         jvm = self.spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
@@ -53,6 +81,7 @@ class DocStore:
 
     def init_schema(self) -> None:
         """Create every table that is missing, empty and typed."""
+        self._keep_layout()
         for table, schema, partition in (
             ("chunks", S.CHUNKS, BUCKET),
             ("postings", POSTINGS, BUCKET),
@@ -111,6 +140,7 @@ class DocStore:
         return sorted(r["bucket"] for r in rows)
 
     def _overwrite(self, table: str, schema: T.StructType, rows: DataFrame, touched: list[int], sort: str | None = None) -> None:
+        self._keep_layout()
         full = T.StructType([*schema.fields, BUCKET])
         marks = self.spark.createDataFrame([(b,) for b in touched], T.StructType([BUCKET]))
         out = S.with_missing_columns(rows, full).unionByName(S.with_missing_columns(marks, full))
@@ -155,6 +185,9 @@ class DocStore:
             }
         )
         staged = written(full, "chunks")
+        twice = staged.groupBy("file_path", "chunk_index").count().where("count > 1")
+        if not twice.isEmpty():
+            raise ValueError(f"more than one chunk has the key {tuple(twice.first())[:2]}")
         self._rewrite_chunks(self._touched(staged, "file_path"), lambda old: changes.replace_documents(old, staged))
         return staged.count()
 
@@ -260,7 +293,7 @@ class DocStore:
         return removed
 
     def update_crawl_cache(self, entries: DataFrame) -> None:
-        staged = written(S.with_missing_columns(entries, S.CRAWL_CACHE), "cache")
+        staged = written(S.with_missing_columns(entries, S.CRAWL_CACHE), "cache").dropDuplicates(["url"])
         touched = self._touched(staged, "url")
         if not touched:
             return

@@ -217,12 +217,16 @@ def test_crawl(engine):
             ("https://docs.example.org/secret/s", html.format("Hidden text. " * 10)),
             ("http://127.0.0.1/internal", html.format("Internal text. " * 10)),
             ("https://docs.example.org/empty", "<html></html>"),
+            ("https://docs.example.org/a", html.format("Crawled words about gateways. " * 4)),
         ],
         "url string, html string",
     )
-    robots = engine.spark.createDataFrame([("docs.example.org", "User-agent: *\nDisallow: /secret")], "host string, rules string")
+    rules = [("docs.example.org", "User-agent: *\nDisallow: /secret"), ("docs.example.org", "User-agent: *\nDisallow: /hidden")]
+    robots = engine.spark.createDataFrame(rules, "host string, rules string")
     report = {r.path: (r.action, r.detail) for r in engine.crawl(pages, robots=robots).collect()}
-    assert report["https://docs.example.org/a"][0] == "crawled"
+    assert len(report) == 4 and report["https://docs.example.org/a"][0] == "crawled"
+    keys = engine.store.chunks().filter("file_path LIKE 'https://%'").groupBy("file_path", "chunk_index").count()
+    assert keys.filter("count > 1").count() == 0
     assert report["https://docs.example.org/secret/s"] == ("blocked", "robots")
     assert report["http://127.0.0.1/internal"][0] == "blocked"
     assert report["https://docs.example.org/empty"][0] == "skipped"
@@ -231,3 +235,39 @@ def test_crawl(engine):
     assert links == {"https://docs.example.org/x", "https://docs.example.org/b"}
     assert engine.store.crawl_cache().count() == 1
     assert engine.store.wipe() > 0 and engine.list_docs().count() == 0
+
+
+def test_a_store_knows_its_buckets(spark, tmp_path):
+    root = str(tmp_path / "s")
+    Engine(spark, root, EngineConfig(writable=True, store_buckets=3)).upsert_doc("a.md", "# A\n\nSome words.")
+    again = Engine(spark, root, EngineConfig(writable=True))
+    assert again.store.buckets == 3 and again.store.document_chunks("a.md").count() == 1
+    again.upsert_doc("a.md", "# A\n\nOther words.")
+    assert again.store.chunks().count() == 1
+    with pytest.raises(ValueError, match="3 buckets"):
+        Engine(spark, root, EngineConfig(store_buckets=7))
+
+
+def test_keys_of_chunks_are_unique(spark, tmp_path):
+    store = Engine(spark, str(tmp_path / "u"), EngineConfig(writable=True, store_buckets=2)).store
+    rows = [("a.md", 0, "t", "x"), ("a.md", 0, "t", "y")]
+    with pytest.raises(ValueError, match="more than one chunk"):
+        store.replace_documents(spark.createDataFrame(rows, "file_path string, chunk_index int, title string, content string"))
+    assert store.chunks().count() == 0
+
+
+def test_one_bad_file_leaves_the_others(spark, tmp_path):
+    good = "# Good\n\n" + "Words enough to be kept by the size gate of the reader. " * 3
+    files = {
+        "good.md": good,
+        "list.ipynb": "[1, 2, 3]" + " " * 60,
+        "deep.json": "[" * 3000 + "]" * 3000,
+        "wide.csv": "a,b\n" + "x" * 200_000 + ",1",
+        "broken.json": "{" * 80,
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    engine = Engine(spark, str(tmp_path / "store"), EngineConfig(writable=True, store_buckets=2))
+    report = {r.path: r.action for r in engine.ingest_path(str(tmp_path)).collect()}
+    assert report["good.md"] == report["wide.csv"] == "ingested"
+    assert set(report) == set(files)
