@@ -492,3 +492,27 @@ PRIVATE = """SELECT page_id, host, host IN ('localhost', 'localhost.localdomain'
 ROBOTS = "SELECT page_id, url, NOT starts_with(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/de/') AS allowed FROM pages"
 
 SITEMAP = f"SELECT url, link AS location FROM ({PAGE_LINKS})"
+
+# -- ingest, the whole search path, reports ---------------------------------------
+
+FRONT_METADATA = """SELECT source || '/doc-' || doc_id || '.md' AS file_path,
+  CASE WHEN doc_id % 3 = 0 THEN 'Head ' || doc_id ELSE 'Front ' || doc_id END AS title,
+  CASE WHEN doc_id % 2 = 0 THEN lang ELSE source END AS category, 'all' AS audience, lang || '|' || source AS tags FROM documents"""
+DOCUMENT_LINKS = """WITH k(n, relation_type) AS (VALUES (1, 'relates_to'), (2, 'extends'), (3, 'tests'), (5, 'content_link'))
+  SELECT source || '/doc-' || doc_id || '.md' AS source_path, 'doc-' || (doc_id + n) || '.md' AS target_path, relation_type FROM documents, k
+  UNION ALL SELECT source || '/doc-' || doc_id || '.md', 'wiki' || (doc_id % 7), 'content_link' FROM documents"""
+SEARCH_WITHIN = f"""WITH {_occurrences(CHUNKS, QUERIES, True)}, {_bm25_scored()},
+  part AS (SELECT scored.* FROM scored JOIN c USING (cid) WHERE c.audience IN ('de', 'fr'))
+  SELECT {_HIT} FROM ({_ranked('part', 5)}) r JOIN c USING (cid)"""
+GIT_LOG = f"""WITH f AS ({COMMIT_FILES}), m AS ({COMMITS}),
+  g AS (SELECT commit_id, string_agg(file, '|' ORDER BY file) AS files FROM f GROUP BY commit_id)
+  SELECT hash, author, author_email, date, subject, body, coalesce(files, '') AS files FROM m LEFT JOIN g USING (commit_id)"""
+SNAPSHOTS = """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS file_path, ts, (SELECT max(ts) FROM events) AS newest FROM events),
+  a AS (SELECT file_path, max(ts) AS t FROM e WHERE ts > newest - INTERVAL 3 DAY AND ts <= newest - INTERVAL 1 DAY GROUP BY file_path),
+  b AS (SELECT file_path, max(ts) AS t FROM e WHERE ts > newest - INTERVAL 2 DAY AND ts <= newest GROUP BY file_path)
+  SELECT coalesce(a.file_path, b.file_path) AS file_path, CASE WHEN b.t IS NULL THEN 'deleted' ELSE 'changed' END AS change
+  FROM a FULL JOIN b USING (file_path) WHERE a.t IS DISTINCT FROM b.t"""
+LATENCY = """WITH s AS (SELECT round(value, 3) AS ms, row_number() OVER (ORDER BY round(value, 3)) - 1 AS i, count(*) OVER () AS n FROM events WHERE value IS NOT NULL)
+  SELECT max(CASE WHEN i = least(CAST(floor(0.5 * n) AS BIGINT), n - 1) THEN ms END) AS p50,
+    max(CASE WHEN i = least(CAST(floor(0.95 * n) AS BIGINT), n - 1) THEN ms END) AS p95,
+    max(CASE WHEN i = least(CAST(floor(0.99 * n) AS BIGINT), n - 1) THEN ms END) AS p99 FROM s"""

@@ -624,3 +624,82 @@ def sitemap_discovery(spark, sf):
     maps = links.groupBy("url").agg(F.array_join(F.array_sort(F.collect_list(entry)), "").alias("entries"))
     xml = F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), "entries", F.lit("</urlset>"))
     return maps.select("url", F.explode(web.sitemap_urls(xml)).alias("location"))
+
+
+# -- ingest, the whole search path, reports -----------------------------------------
+
+
+def fronted_documents(spark, sf):
+    """Every document as a markdown file with frontmatter and links to the next ones."""
+    d = corpus.table(spark, sf, "documents")
+    path = lambda k: F.concat(F.lit("doc-"), F.col("doc_id") + k, F.lit(".md"))
+    head = F.concat(
+        F.lit("---\ntitle: 'Front "), "doc_id", F.lit("'\ntags: [\""), "lang", F.lit("\", "), "source", F.lit("]\n"),
+        F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("category: "), "lang", F.lit("\n"))).otherwise(""),
+        F.lit("relates_to: "), path(1), F.lit(", all/*.md\nrelations:\n  - { path: \""), path(2), F.lit("\", type: extends }\n  - path: "),
+        path(3), F.lit("\n    type: tests\n  - path: "), path(4), F.lit("\n    type: unheard_of\n---\n"),
+    )
+    heading = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("# Head "), "doc_id", F.lit("\n\n"))).otherwise("")
+    body = F.concat(heading, F.lit("See [next]("), path(5), F.lit(") and [[wiki"), F.col("doc_id") % 7, F.lit("]].\n\n"), "text")
+    return d.select(F.concat("source", F.lit("/"), path(0)).alias("file_path"), F.concat(head, body).alias("markdown"))
+
+
+@query("frontmatter_metadata", oracle.FRONT_METADATA)
+def frontmatter_metadata(spark, sf):
+    docs = ingest.document_metadata(fronted_documents(spark, sf))
+    return docs.select("file_path", F.col("doc_title").alias("title"), "category", "audience", F.array_join("tags", "|").alias("tags"))
+
+
+@query("document_links", oracle.DOCUMENT_LINKS)
+def document_links(spark, sf):
+    return markdown.document_links(fronted_documents(spark, sf).withColumnRenamed("markdown", "text"))
+
+
+@query("search_pipeline", oracle.bm25())
+def search_pipeline(spark, sf):
+    """Every passage through the whole path: cleaning, dispatch, retrieval, cut."""
+    from scriptorium.plans.search import SearchTables, search
+
+    tables = SearchTables(with_chunk_id(corpus.chunks(spark, sf)), None, corpus.chunk_index(spark, sf, PORTER))
+    asked = corpus.text_queries(spark, sf).withColumn("query", F.concat(F.lit(" \n"), "query", F.lit("\t")))
+    return hit_columns(search(tables, asked, 5))
+
+
+@query("search_within", oracle.SEARCH_WITHIN)
+def search_within(spark, sf):
+    """Passages asked within the German and French documents: filtered first, ranked then."""
+    docs = corpus.chunks(spark, sf)
+    within = with_chunk_id(docs).filter(F.col("audience").isin("de", "fr"))
+    index = corpus.chunk_index(spark, sf, PORTER)
+    return hit_columns(keyword.keyword_search(index, corpus.text_queries(spark, sf), docs, 5, within=within))
+
+
+@query("git_log_parse", oracle.GIT_LOG)
+def git_log_parse(spark, sf):
+    """Orders and their parts as a commit log, read back."""
+    from scriptorium.sources import gitlog
+
+    files = corpus.commit_files(spark, sf).groupBy("commit_id").agg(F.array_sort(F.collect_list("file")).alias("files"))
+    heads = corpus.commit_heads(spark, sf).join(files, "commit_id", "left")
+    names = F.array_join(F.coalesce("files", F.array().cast("array<string>")), gitlog.NAME_END)
+    record = F.concat(F.concat_ws(gitlog.UNIT, *gitlog.FIELDS), F.lit(gitlog.UNIT + "\n"), names, F.lit(gitlog.NAME_END))
+    commits = gitlog.parse_records(heads.select(record.alias("record")))
+    return commits.select(*gitlog.FIELDS, F.array_join("files", "|").alias("files"))
+
+
+@query("snapshot_changes", oracle.SNAPSHOTS)
+def snapshot_changes(spark, sf):
+    """Last event of each user before two moments, as two looks at a folder."""
+    log = corpus.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("file_path"), "ts")
+    newest = log.agg(F.max("ts")).scalar()
+    day = lambda n: newest - F.make_dt_interval(days=F.lit(n))
+
+    def look(start: int, end: int):
+        return log.filter((F.col("ts") > day(start)) & (F.col("ts") <= day(end))).groupBy("file_path").agg(F.max("ts").alias("mtime"))
+
+    return changes.snapshot_changes(look(3, 1), look(2, 0))
+
+
+@query("latency_percentiles", oracle.LATENCY)
+def latency_percentiles(spark, sf):
+    return evaluation.latency_percentiles(corpus.table(spark, sf, "events").select(F.col("value").alias("ms")))
