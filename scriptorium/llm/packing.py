@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.common import small_batches, text_of, written
-from scriptorium.llm.tokens import default_tokenizer, encoder
+from scriptorium.llm.tokens import default_tokenizer, encoded, encoder
 
 WINDOW = 1024
 OPEN_WINDOWS = 32
@@ -129,7 +129,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, op
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         partition = TaskContext.get().partitionId()
         number = itertools.count(partition << 40)
-        windows, units = OpenWindows(open_windows, window), encoder(path)
+        windows, own = OpenWindows(open_windows, window), encoder(path)
         types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -138,8 +138,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, op
         out: list[tuple] = []
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            texts = (value.as_py() for value in batch.column("text"))
-            for doc_id, tokens in zip(ids, units.encode(texts), strict=True):
+            for doc_id, tokens in zip(ids, encoded(own, batch.column("text")), strict=True):
                 tokens += end
                 for pieces in windows.add((doc_id, 0, tokens, len(tokens) // 4)):
                     out += _rows(next(number), pieces)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm.common import small_batches, text_of
 
-# Bytes of text in one call of the tokenizer, and units a worker remembers.
-BATCH_BYTES = 1 << 18
-MEMO_UNITS = 500_000
+# Characters of text in one call of the tokenizer and in one slice of a long text, and
+# what a worker remembers: pieces, each of at most so many characters.
+BATCH_CHARS = 1 << 18
+JOINED = 200
+SLICE_CHARS = 1 << 20
+MEMO_PIECES = 600_000
 MEMO_CHARS = 64
 
 # Where a single space stands between two characters that are not white space, the
@@ -32,11 +35,33 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class UnitEncoder:
-    """Encodes texts unit by unit, each distinct unit once while it is remembered.
+def slices(text: str, size: int = SLICE_CHARS) -> Iterator[str]:
+    """A long text in parts of about ``size`` characters, cut where the tokens allow it."""
+    at = 0
+    while len(text) - at > size:
+        cut = _CUT.search(text, at + size)
+        if not cut:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
 
-    A unit is a stretch of text between two safe cuts; the ids of a text are the
-    ids of its units in order.  The memory is bounded and changes no result.
+
+def pieces(text: str) -> tuple[str, list[str]]:
+    """What stands before the first safe cut, and each further piece without its space."""
+    if _UNSAFE.search(text):
+        first, *rest = _CUT.split(text)
+        return first, [piece[1:] for piece in rest]
+    first, *rest = text.split(" ")
+    return first, rest
+
+
+class PieceEncoder:
+    """Encodes texts piece by piece, each distinct piece once while it is remembered.
+
+    A piece stands between two safe cuts; the ids of a text are those of its pieces
+    in order, as little-endian unsigned 32-bit numbers.  ``spaced`` remembers pieces
+    that follow a space.  The memory is bounded and changes no result.
     """
 
     def __init__(self, path: str):
@@ -44,54 +69,86 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
 
-    def _encode(self, units: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Ids as little-endian unsigned 32-bit numbers; batches are balanced by bytes."""
+    def _tokenize(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Batches are balanced by characters, so that a call's memory is bounded."""
         batch: list[str] = []
         size = 0
-        for unit in [*units, None]:
-            if batch and (unit is None or size + len(unit) > BATCH_BYTES):
-                for text, found in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False), strict=True):
-                    yield text, np.array(found.ids, dtype="<u4").tobytes()
+        for text in [*texts, None]:
+            if batch and (text is None or size + len(text) > BATCH_CHARS):
+                for found in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False):
+                    yield np.array(found.ids, dtype="<u4")
                 batch, size = [], 0
-            if unit is not None:
-                batch.append(unit)
-                size += len(unit)
-
-    @staticmethod
-    def units(text: str) -> list[str]:
-        if not text:
-            return []
-        if _UNSAFE.search(text):
-            return _CUT.split(text)
-        first, *rest = text.split(" ")
-        units = [" " + piece for piece in rest]
-        return [first, *units] if first else units
-
-    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
-        for text in texts:
-            units = self.units(text)
-            missing = [unit for unit in dict.fromkeys(units) if unit not in self.memo]
-            known = self.memo
-            if missing:
-                found = dict(self._encode(missing))
-                if len(self.memo) + len(found) > MEMO_UNITS:
-                    self.memo = known = {}
-                    found = dict(self._encode(list(dict.fromkeys(units))))
-                short = {unit: ids for unit, ids in found.items() if len(unit) <= MEMO_CHARS}
-                if len(short) <= MEMO_UNITS:
-                    known.update(short)
-                if len(short) < len(found) or len(short) > MEMO_UNITS:
-                    yield b"".join([found.get(unit) or known[unit] for unit in units])
-                    continue
-            yield b"".join(map(known.__getitem__, units))
+            if text is not None:
+                batch.append(text)
+                size += len(text)
+
+    def _ids(self, wanted: list[str]) -> dict[str, bytes]:
+        """The ids of pieces, each after its space.
+
+        Pieces without white space are laid side by side into lines, which are safe to
+        cut again where they were joined: there a token begins with a space, and
+        nowhere else.
+        """
+        plain = [piece for piece in wanted if piece and not piece[0].isspace() and not piece[-1].isspace() and " " not in piece]
+        found: dict[str, bytes] = {}
+        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        for group, ids in zip(groups, self._tokenize([" " + " ".join(group) for group in groups]), strict=True):
+            starts = np.flatnonzero(self.opens[ids]).tolist()
+            if len(starts) == len(group):
+                data = ids.tobytes()
+                for piece, start, end in zip(group, starts, [*starts[1:], len(ids)], strict=True):
+                    found[piece] = data[4 * start : 4 * end]
+        rest = [piece for piece in wanted if piece not in found]
+        found.update(zip(rest, (ids.tobytes() for ids in self._tokenize([" " + piece for piece in rest])), strict=True))
+        return found
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of every text; long texts are encoded in slices."""
+        if len(self.spaced) > MEMO_PIECES:
+            self.spaced = {}
+        cut = [[pieces(part) for part in slices(text)] for text in texts]
+        heads = iter([ids.tobytes() for ids in self._tokenize([first for parts in cut for first, _ in parts])])
+        missing: set[str] = set()
+        for parts in cut:
+            for _, rest in parts:
+                missing.update(set(rest).difference(self.spaced))
+        found = self._ids(sorted(missing))
+        self.spaced.update(found)
+        known = self.spaced.__getitem__
+        out = []
+        for parts in cut:
+            ids: list[bytes] = []
+            for _, rest in parts:
+                ids.append(next(heads))
+                ids.extend(map(known, rest))
+            out.append(b"".join(ids))
+        for piece in missing:
+            if len(piece) > MEMO_CHARS:
+                del self.spaced[piece]
+        return out
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> UnitEncoder:
+def encoder(path: str) -> PieceEncoder:
     """One encoder per worker process and tokenizer file."""
-    return UnitEncoder(path)
+    return PieceEncoder(path)
+
+
+def encoded(encoder: PieceEncoder, column: pa.Array) -> Iterator[bytes]:
+    """The ids of every text of a column, in batches balanced by characters."""
+    batch: list[str] = []
+    size = 0
+    for value in [*column, None]:
+        if batch and (value is None or size > BATCH_CHARS * 4):
+            yield from encoder.encode(batch)
+            batch, size = [], 0
+        if value is not None:
+            batch.append(value.as_py())
+            size += len(batch[-1])
 
 
 def token_counts(docs: DataFrame, tokenizer: str | None = None, limit: int = 512) -> DataFrame:
@@ -106,10 +163,9 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, limit: int = 512
     rows = small_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = encoder(path)
+        own = encoder(path)
         for batch in batches:
-            texts = (value.as_py() for value in batch.column("text"))
-            counts = pa.array([len(ids) // 4 for ids in units.encode(texts)], pa.int64())
+            counts = pa.array([len(ids) // 4 for ids in encoded(own, batch.column("text"))], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), counts], ["doc_id", "n_bytes", "n_tokens"])
 
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
