@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from scriptorium.llm.common import same, text_of, written
 
 SHINGLE = 5
-BIN_BITS = 7
+BIN_BITS = 8
 BINS = 1 << BIN_BITS
 PACKED_BITS = 8
 PER_WORD = 64 // PACKED_BITS
