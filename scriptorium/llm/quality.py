@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from scriptorium.llm.common import learnable, small_batches, text_of
 
 # Bounds of the training sample: rows of each kind that the driver fits the model on.
-POSITIVES = 4000
-UNLABELLED = 6000
-NEGATIVES = 2000
+POSITIVES = 3000
+UNLABELLED = 4500
+NEGATIVES = 1500
 SEED = 7
 
 # Character classes: 0-9 for kinds of characters, then one for each ASCII sign.
@@ -169,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
         return known.where(condition).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).select("doc_id", F.lit(kind).alias("kind"))
 
     chosen = some("quality = 1", "p", POSITIVES).union(some("quality IS NULL", "u", UNLABELLED)).union(some("quality = 0", "n", NEGATIVES))
-    # Bounded by the three limits: 12 000 rows of a number and a letter.
+    # Bounded by the three limits: 9 000 rows of a number and a letter.
     chosen = F.broadcast(chosen.distinct().withColumnRenamed("doc_id", "id"))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
     found = _featured(rows.join(chosen, rows["doc_id"] == chosen["id"]).select("kind", "text")).collect()
