@@ -171,9 +171,14 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, blocking:
     roots = connected_components(near_edges(members, radius))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
     nodes = prints.groupBy("fp").agg(first.alias("first"))
-    nodes = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    best = nodes.groupBy(F.col("root").alias("of")).agg(F.min("first").alias("best"))
-    owner = nodes.join(best, nodes["root"] == best["of"]).select(F.col("fp").alias("node"), "best")
+    # The few linked fingerprints get their component's first document.  Both tables are
+    # written, so that the join has no aggregation beside it and a component that holds
+    # most of them can be split.
+    linked_nodes = written(nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "first", "root"), "linked")
+    best = written(linked_nodes.groupBy(F.col("root").alias("of")).agg(F.min("first").alias("best")), "best")
+    owned = linked_nodes.join(best, linked_nodes["root"] == best["of"]).select("fp", "best")
+    alone = nodes.join(roots, nodes["fp"] == roots["node"], "left_anti").select("fp", F.col("first").alias("best"))
+    owner = owned.union(alone).withColumnRenamed("fp", "node")
     out = prints.join(owner, prints["fp"] == owner["node"])
     kept = same(F.col("doc_id"), F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key"))
     return out.select("doc_id", "text_key", "fp", F.col("best.doc_id").alias("component_id"), kept.alias("keep"))
