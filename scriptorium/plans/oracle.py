@@ -182,6 +182,22 @@ def knn(k: int = 10) -> str:
   FROM ({_ranked('cosines', k)}) r JOIN v USING (cid)"""
 
 
+def mmr(pool: int = 20, share: float = 0.6) -> str:
+    return f"""WITH RECURSIVE {_near()},
+  pool AS (SELECT r.query_id, r.rank, r.score, v.*, list_cosine_similarity(query_embedding, embedding) AS rel
+    FROM ({_ranked('cosines', pool)}) r JOIN v USING (cid) JOIN vq ON vq.query_id = r.query_id),
+  sims AS (SELECT a.query_id, a.rank AS i, b.rank AS j, list_cosine_similarity(a.embedding, b.embedding) AS s FROM pool a JOIN pool b USING (query_id)),
+  walk(query_id, n, picked) AS (
+    SELECT query_id, 1, [arg_max(rank, struct_pack(rel := rel, t := -rank))] FROM pool GROUP BY query_id
+    UNION ALL
+    SELECT query_id, n + 1, list_append(picked, arg_max(i, struct_pack(v := v, t := -i))) FROM (
+      SELECT walk.query_id, n, picked, s.i, {share} * any_value(p.rel) - {round(1 - share, 9)} * max(s.s) AS v
+      FROM walk JOIN sims s ON s.query_id = walk.query_id AND list_contains(picked, s.j) AND NOT list_contains(picked, s.i)
+      JOIN pool p ON p.query_id = s.query_id AND p.rank = s.i GROUP BY walk.query_id, n, picked, s.i) GROUP BY query_id, n, picked),
+  last AS (SELECT query_id, arg_max(picked, n) AS picked FROM walk GROUP BY query_id)
+  SELECT pool.query_id, CAST(list_position(picked, pool.rank) AS BIGINT) AS rank, file_path, chunk_index, category, score FROM pool JOIN last USING (query_id)"""
+
+
 def hybrid_rrf(k: int = 5, arm: int = 20) -> str:
     return f"""WITH {_occurrences(CHUNKS, VECTOR_QUERIES, True)}, {_bm25_scored()}, {_near()},
   kw AS (SELECT query_id, cid, rank, file_path || ':' || lpad(CAST(chunk_index AS VARCHAR), 10, '0') AS key FROM ({_ranked('scored', arm)}) r JOIN c USING (cid)),

@@ -546,7 +546,7 @@ def page_hosts(spark, sf):
 # -- operators with Python bodies ----------------------------------------------------------
 
 
-@query("mmr_rerank")
+@query("mmr_rerank", oracle.mmr())
 def mmr_rerank(spark, sf):
     vectors = written(with_chunk_id(corpus.document_vectors(spark, sf)), "vectors")
     asked = corpus.vector_queries(spark, sf)
