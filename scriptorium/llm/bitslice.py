@@ -17,6 +17,8 @@ ONE = np.uint64(1)
 # Entries (query x word) compared at a time: bounds the memory of one step.
 ENTRIES = 1 << 16
 STRIDE = 8
+# Pairs whose sketches are compared at a time.
+PAIRS = 1 << 16
 
 
 def _planes(values: np.ndarray) -> np.ndarray:
@@ -77,14 +79,18 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def linked(blocks: list[np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray]:
+def linked(blocks: list[np.ndarray], radius: int, sketches: list[np.ndarray] | None = None, agree: int = 0):
     """Edges (member, smallest member linked to it inside the block), over all blocks.
 
     Each block is compared with itself only.  The edges span the components of
-    the block, so a block of n members yields fewer than n edges.
+    the block, so a block of n members yields fewer than n edges.  ``sketches`` has
+    a row of bytes for each member: a pair then also has to agree in ``agree`` of
+    them.
     """
-    blocks = [np.unique(np.asarray(b, dtype=np.int64).view(np.uint64)) for b in blocks]
-    blocks = [b for b in blocks if len(b) > 1]
+    distinct = [np.unique(np.asarray(b, dtype=np.int64).view(np.uint64), return_index=True) for b in blocks]
+    chosen = [i for i, (values, _) in enumerate(distinct) if len(values) > 1]
+    blocks = [distinct[i][0] for i in chosen]
+    marks = None if sketches is None else iter([sketches[i][distinct[i][1]] for i in chosen])
     none = np.empty(0, np.int64)
     if not blocks:
         return none, none
@@ -94,7 +100,8 @@ def linked(blocks: list[np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarra
     for block in [*blocks, None]:
         cost = 0 if block is None else len(block) * -(-len(block) // 64)
         if group and (block is None or size + cost > ENTRIES):
-            a, b = _linked_group(group, radius)
+            own = None if marks is None else [next(marks) for _ in group]
+            a, b = _linked_group(group, radius, own, agree)
             left.append(a)
             right.append(b)
             group, size = [], 0
@@ -104,7 +111,7 @@ def linked(blocks: list[np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(left), np.concatenate(right)
 
 
-def _linked_group(blocks: list[np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _linked_group(blocks: list[np.ndarray], radius: int, sketches: list[np.ndarray] | None, agree: int):
     words = np.array([-(-len(b) // 64) for b in blocks])
     first = np.concatenate([[0], np.cumsum(words)])
     values = np.zeros(first[-1] * 64, np.uint64)
@@ -112,6 +119,10 @@ def _linked_group(blocks: list[np.ndarray], radius: int) -> tuple[np.ndarray, np
     for block, at in zip(blocks, first, strict=False):
         values[at * 64 : at * 64 + len(block)] = block
         valid[at * 64 : at * 64 + len(block)] = True
+    if sketches is not None:
+        marks = np.zeros((len(values), sketches[0].shape[1]), np.uint8)
+        for sketch, at in zip(sketches, first, strict=False):
+            marks[at * 64 : at * 64 + len(sketch)] = sketch
     planes = _planes(values)
     lanes = np.packbits(valid, bitorder="little").view("<u8")
     members = np.flatnonzero(valid)
@@ -125,6 +136,10 @@ def _linked_group(blocks: list[np.ndarray], radius: int) -> tuple[np.ndarray, np
     root = np.arange(len(values))
     for at in range(0, len(query), ENTRIES):
         a, b = _within(planes, values, lanes, query[at : at + ENTRIES], word[at : at + ENTRIES], radius)
+        if sketches is not None:
+            kept = [(marks[a[i : i + PAIRS]] == marks[b[i : i + PAIRS]]).sum(1) >= agree for i in range(0, len(a), PAIRS)]
+            kept = np.concatenate(kept) if kept else np.empty(0, bool)
+            a, b = a[kept], b[kept]
         a, b = np.concatenate([a, np.arange(len(root))]), np.concatenate([b, root])
         root = _roots(len(root), a[a != b], b[a != b])
     child = np.flatnonzero(root != np.arange(len(root)))
