@@ -163,7 +163,8 @@ def training_sample(docs: DataFrame) -> tuple[tuple[str, str], ...]:
     chosen = F.broadcast(chosen.select(F.col("lang").alias("of"), F.col("doc_id").alias("id"), "rank"))
     texts = labelled.join(chosen, (F.col("lang") == F.col("of")) & (F.col("doc_id") == F.col("id")))
     cut = F.substring("text", 1, TEXT_CHARS).alias("text")
-    found = texts.select("lang", "rank", cut).dropDuplicates(["lang", "rank"]).collect()
+    # Rows that repeat a doc_id share its ranks: the smallest text of each counts.
+    found = texts.select("lang", "rank", cut).groupBy("lang", "rank").agg(F.min("text").alias("text")).collect()
     by_language: dict[str, list[tuple[int, str]]] = {}
     for row in found:
         by_language.setdefault(row.lang, []).append((row.rank, row.text))

@@ -143,9 +143,10 @@ def _featured(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [features(text.as_py()).tobytes() for text in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(found, pa.binary())], ["kind", "x"])
+            columns = [batch.column("kind"), batch.column("id"), pa.array(found, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["kind", "id", "x"])
 
-    return small_batches(rows).mapInArrow(run, "kind string, x binary")
+    return small_batches(rows).mapInArrow(run, "kind string, id long, x binary")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
@@ -172,7 +173,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     # Bounded by the three limits: 9 000 rows of a number and a letter.
     chosen = F.broadcast(chosen.distinct().withColumnRenamed("doc_id", "id"))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    found = _featured(rows.join(chosen, rows["doc_id"] == chosen["id"]).select("kind", "text")).collect()
+    found = _featured(rows.join(chosen, rows["doc_id"] == chosen["id"]).select("kind", "id", "text")).collect()
+    # In a fixed order, so that the model does not depend on how the table is split.
+    found.sort(key=lambda r: (r.kind, r.id, r.x))
     x = {k: np.array([np.frombuffer(r.x, np.float32) for r in found if r.kind == k], np.float32).reshape(-1, FEATURES) for k in "pun"}
     if not len(x["p"]):
         return None
