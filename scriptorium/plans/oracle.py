@@ -2,8 +2,34 @@
 
 from __future__ import annotations
 
-from scriptorium.functions.stem import STEP2, STEP3, STEP4
-from scriptorium.operators.keyword import B, K1, MIN_IDF, TS_NORM, TS_POSITIONS, TS_WEIGHT
+# Fixed values, written out here so that a wrong one in the operators does not stay green:
+# the constants of BM25 and ts_rank, and the suffix tables of Porter's stemmer.
+K1, B, MIN_IDF = 1.2, 0.75, 1e-6
+TS_WEIGHT, TS_NORM, TS_POSITIONS = 0.1, 1.64493406685, 256
+STEP2 = {'ational': 'ate',
+ 'tional': 'tion',
+ 'enci': 'ence',
+ 'anci': 'ance',
+ 'izer': 'ize',
+ 'bli': 'ble',
+ 'alli': 'al',
+ 'entli': 'ent',
+ 'eli': 'e',
+ 'ousli': 'ous',
+ 'ization': 'ize',
+ 'ation': 'ate',
+ 'ator': 'ate',
+ 'alism': 'al',
+ 'iveness': 'ive',
+ 'fulness': 'ful',
+ 'ousness': 'ous',
+ 'aliti': 'al',
+ 'iviti': 'ive',
+ 'biliti': 'ble',
+ 'logi': 'log'}
+STEP3 = {'icate': 'ic', 'ative': '', 'alize': 'al', 'iciti': 'ic', 'ical': 'ic', 'ful': '', 'ness': ''}
+STEP4 = ('al', 'ance', 'ence', 'er', 'ic', 'able', 'ible', 'ant', 'ement', 'ment', 'ent', 'ion', 'ou', 'ism', 'ate',
+ 'iti', 'ous', 'ive', 'ize')
 
 DOCS = """SELECT source || '/doc-' || doc_id || '.md' AS file_path, 0 AS chunk_index,
   split_part(text, chr(10), 1) AS title, text AS content, source AS category, lang AS audience,
