@@ -44,7 +44,8 @@ def _within(planes, values, valid, query, word, radius):
     def difference(bit: int) -> np.ndarray:
         return planes[bit][word] ^ (np.uint64(0) - ((mine >> np.uint64(bit)) & ONE))
 
-    for bit in range(0, 64, 2):
+    # No pair can differ in more than 64 bits: there is nothing to count at that radius.
+    for bit in range(0, 64 if radius < 64 else 0, 2):
         x, y = difference(bit), difference(bit + 1)
         if width:
             half = count[0] ^ x

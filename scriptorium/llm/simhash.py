@@ -20,9 +20,9 @@ BLOCK_LIMIT = 4096
 # Candidate blocks for wide radii: pairs of minima of five-word shingles.
 MINHASH_TABLES = 10
 # Minima of which a byte each is kept to confirm a pair, and how many have to agree: at a
-# similarity of 0.8 the mean is 102 and 92 is two deviations below.
-SKETCH = 128
-SKETCH_AGREE = 92
+# similarity of 0.8 the mean is 205 and 190 is 2.3 deviations below.
+SKETCH = 256
+SKETCH_AGREE = 190
 SEED = 42
 
 
@@ -66,9 +66,11 @@ def minhash_blocks(hashes: np.ndarray, tables: int = MINHASH_TABLES) -> tuple[li
     least = np.full(SKETCH, 0xFFFFFFFFFFFFFFFF, np.uint64)
     for at in range(0, len(x), 1 << 14):
         part = x[at : at + (1 << 14)]
-        for k, factor in enumerate(odd):
-            y = part * factor
-            least[k] = min(least[k], (y ^ (y >> np.uint64(32))).min())
+        step = max(1, (1 << 14) // len(part))
+        for k in range(0, SKETCH, step):
+            y = part * odd[k : k + step, None]
+            y ^= y >> np.uint64(32)
+            least[k : k + step] = np.minimum(least[k : k + step], y.min(1))
     first, second = least[:tables], least[tables : 2 * tables]
     mixed = (first * odd[:tables]) ^ (second + np.arange(tables, dtype=np.uint64))
     return mixed.view(np.int64).tolist(), (least >> np.uint64(8)).astype(np.uint8).tobytes()
@@ -165,11 +167,12 @@ def near_edges(members: DataFrame, radius: int, limit: int = BLOCK_LIMIT) -> Dat
 def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, blocking: str = "masks") -> DataFrame:
     """(doc_id, text_key, fp, component_id, keep): one row per document.
 
-    Fingerprints link when they differ in at most ``radius`` bits; ``component_id``
-    is the smallest doc_id reachable, itself included.  ``blocking="masks"`` finds
-    every such pair; ``"minhash"`` compares documents that share two minima of
-    their five-word shingles in one of ten tables, for radii where masks would
-    need too many blocks, and has 128 minima confirm a similarity of about 0.8.  Of each component ``keep`` marks one document, the
+    With ``blocking="masks"`` fingerprints link when they differ in at most ``radius``
+    bits, and every such pair is found.  ``"minhash"`` compares documents that share
+    two minima of their five-word shingles in one of ten tables, and 256 minima decide
+    whether the similarity is about 0.8; ``radius`` does not count there, since the bits
+    of such texts lie too far apart.  ``component_id`` is the smallest doc_id reachable,
+    itself included.  Of each component ``keep`` marks one document, the
     smallest (doc_id, text_key); rows that repeat both are marked alike.
 
     Null text counts as empty; texts without words have fingerprint zero and link
@@ -183,7 +186,7 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, blocking:
     if blocking == "masks":
         members = by_masks(prints.select("fp").distinct(), radius)
     else:
-        members = by_minhash(prints)
+        members, radius = by_minhash(prints), 64
     roots = connected_components(near_edges(members, radius))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
     nodes = prints.groupBy("fp").agg(first.alias("first"))
@@ -207,9 +210,9 @@ def hex_fingerprint(fp: Column) -> Column:
 def keep_one(docs: DataFrame, radius: int = 10, blocking: str = "minhash") -> DataFrame:
     """The documents, all columns, without the near-duplicates: one of each component stays.
 
-    The default radius is where the fingerprints of documents with a five-word
-    similarity of 0.8 lie.  Rows that repeat both doc_id and text stay together;
-    exact deduplication is the operator that parts them.
+    By default the minima of the five-word shingles decide alone, and ``radius`` counts
+    for ``blocking="masks"`` only.  Rows that repeat both doc_id and text stay together; exact deduplication
+    is the operator that parts them.
     """
     marks = near_duplicates(docs, radius, blocking=blocking).where("keep").select("doc_id", "text_key").distinct()
     match = same(docs["doc_id"].cast("long"), marks["doc_id"]) & (F.xxhash64(text_of(docs)) == marks["text_key"])
