@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from zlib import crc32
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import same, text_of, written
+from scriptorium.llm.common import same, small_batches, text_of, written
 
 MARGINS = ("source", "lang", "topic")
-TOPICS = 8
+# A topic is the side of each of three fixed planes on which a text's word counts lie.
+PLANES = 3
+# Words are counted by hash class.
+CLASSES = 4096
+# ASCII other than letters parts words; a word keeps its letters beyond ASCII.
+LETTERS = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
 # A margin's target share is proportional to its token share to this power: below 1
 # large parts shrink and small ones grow.
 POWER = {"source": 0.8, "lang": 0.8, "topic": 0.9}
@@ -23,28 +33,73 @@ def tokens_of(text: Column) -> Column:
     return F.greatest(F.ceil(F.octet_length(text) / 4), F.lit(1)).cast("long")
 
 
-def topic_of(text: Column) -> Column:
-    """A coarse topic from the content: the hash of the longest of the first words of the
-    text's opening, middle and end decides the topic, so copies and near relatives agree."""
-    n = F.char_length(text)
-    places = [F.lit(1), (n / 2).cast("int") + 1, F.greatest(n - 79, F.lit(1))]
-    parts = [F.array_max(F.transform(F.split(F.lower(F.substr(text, at, F.lit(80))), "[^\\p{L}]+"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))) for at in places]
-    longest = F.greatest(*parts).getField("w")
-    return F.pmod(F.xxhash64(longest), F.lit(TOPICS)).cast("string")
+def word_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(classes, counts): all words of a text, in lower case, by hash class."""
+    words = text.lower().encode("utf-8", "surrogatepass").translate(LETTERS).split()
+    counts = np.bincount(np.fromiter(map(crc32, words), np.int64, len(words)) % CLASSES, minlength=CLASSES)
+    found = np.flatnonzero(counts)
+    return found, counts[found]
+
+
+def word_statistics(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """(words, texts, total): how often each class occurs, in how many texts, and the
+    texts with words, over the whole table.  Whole numbers, so the split does not matter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, held = np.zeros(CLASSES, np.int64), np.zeros(CLASSES + 1, np.int64)
+        for batch in batches:
+            for value in batch.column("text"):
+                found, counts = word_counts(value.as_py())
+                words[found] += counts
+                held[found] += 1
+                held[CLASSES] += len(found) > 0
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.append(words, 0)[some]), pa.array(held[some])], ["class", "words", "held"])
+
+    parts = small_batches(texts).mapInArrow(run, "class long, words long, held long")
+    words, held = np.zeros(CLASSES + 1, np.int64), np.zeros(CLASSES + 1, np.int64)
+    # One row per class.
+    for row in parts.groupBy("class").agg(F.sum("words").alias("words"), F.sum("held").alias("held")).collect():
+        words[row["class"]], held[row["class"]] = row["words"], row["held"]
+    return words[:CLASSES], held[:CLASSES], int(held[CLASSES])
+
+
+def topic_planes(words: np.ndarray, held: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """(planes, middle): for each class its side of each plane times its rarity, and where
+    the words of all texts together lie.  Words that most texts have weigh next to nothing."""
+    rarity = np.log(max(total, 1) / np.maximum(held, 1)) * (held > 0)
+    planes = np.random.default_rng(SEED).choice([-1.0, 1.0], (CLASSES, PLANES)) * rarity[:, None]
+    return planes, (planes * words[:, None]).sum(0) / max(int(words.sum()), 1)
+
+
+def topic_of(text: str, planes: np.ndarray, middle: np.ndarray) -> str:
+    """A coarse topic from all words of the text: the planes on whose upper side its mean lies."""
+    found, counts = word_counts(text)
+    mean = (planes[found] * counts[:, None]).sum(0) / max(counts.sum(), 1)
+    return str(sum(1 << b for b in range(PLANES) if mean[b] > middle[b]))
 
 
 def measured(docs: DataFrame) -> DataFrame:
     """(doc_id, source, lang, topic, text_key, tokens); null source or lang is the class ''."""
     text = text_of(docs)
     part = lambda name: F.coalesce(docs[name].cast("string"), F.lit(""))
-    return docs.select(
+    planes, middle = topic_planes(*word_statistics(docs.select(text.alias("text"))))
+    rows = docs.select(
         docs["doc_id"].cast("long").alias("doc_id"),
         part("source").alias("source"),
         part("lang").alias("lang"),
-        topic_of(text).alias("topic"),
+        text.alias("text"),
         F.xxhash64(text).alias("text_key"),
         tokens_of(text).alias("tokens"),
     )
+    names = ["doc_id", "source", "lang", "topic", "text_key", "tokens"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            topics = pa.array([topic_of(value.as_py(), planes, middle) for value in batch.column("text")], pa.string())
+            yield pa.RecordBatch.from_arrays([topics if n == "topic" else batch.column(n) for n in names], names)
+
+    return small_batches(rows).mapInArrow(run, "doc_id long, source string, lang string, topic string, text_key long, tokens long")
 
 
 def targets(cells: DataFrame, power: dict[str, float], keep: float) -> dict[str, DataFrame]:

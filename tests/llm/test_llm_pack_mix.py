@@ -2,13 +2,13 @@
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from llm_cases import CASES
+from llm_cases import CASES, frame
 from scriptorium.llm import language, mixing, packing, queries, simhash, tokens
 from scriptorium.llm.common import documents
 
@@ -91,6 +91,20 @@ def test_mixing_meets_its_margins(spark):
     assert kept / total == pytest.approx(mixing.KEEP, abs=0.06)
 
 
+def test_topics_rest_on_the_whole_text(spark):
+    rng = random.Random(5)
+    themes = [["".join(rng.choices("abcdefghij", k=6)) for _ in range(20)] for _ in range(2)]
+    long = ["internationalization", "counterrevolutionary", "electroencephalogram", "uncharacteristically", "incomprehensibleness"]
+    rows = []
+    for i in range(40):
+        half = [" ".join(rng.sample(themes[i % 2] * 10, k=200)) for _ in range(2)]
+        rows += [(i * 10 + k, f"{w} {half[0]} {w} {half[1]} {w}", "en", "s") for k, w in enumerate(long)]
+    topic = {r.doc_id: r.topic for r in mixing.mix(frame(spark, rows)).collect()}
+    # Texts of one theme agree whatever their longest word, those of the other differ.
+    (first, n), (second, m) = (Counter(t for d, t in topic.items() if d // 10 % 2 == theme).most_common(1)[0] for theme in (0, 1))
+    assert first != second and min(n, m) >= 90
+
+
 def test_mixing_on_awkward_rows(cases, nothing):
     rows = mixing.mix(cases).collect()
     assert len(rows) == len(CASES)
