@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import exact, fingerprints, language, lines, mixing, packing, quality, secrets, simhash, tokens
+from scriptorium.llm import (
+    exact,
+    fingerprints,
+    language,
+    lines,
+    mixing,
+    packing,
+    quality,
+    secrets,
+    simhash,
+    spelling,
+    tokens,
+)
 from scriptorium.llm.common import documents, held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +100,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_fingerprints": op2_fingerprints,
@@ -99,5 +115,6 @@ QUERIES: dict[str, Query] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL}
