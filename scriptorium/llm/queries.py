@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from scriptorium.llm import (
     exact,
     fingerprints,
+    huffman,
     language,
     lines,
     mixing,
@@ -19,6 +20,7 @@ from scriptorium.llm import (
     simhash,
     spelling,
     tokens,
+    whitening,
 )
 from scriptorium.llm.common import documents, held_out
 
@@ -104,6 +106,14 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(documents(spark, sf_dir))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(documents(spark, sf_dir, "embeddings"), components=4)
+
+
+def op13_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.written_tokens(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_fingerprints": op2_fingerprints,
@@ -116,5 +126,7 @@ QUERIES: dict[str, Query] = {
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_token_output": op13_token_output,
 }
 ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL}
