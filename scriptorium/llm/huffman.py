@@ -176,7 +176,11 @@ def global_counts(tokens: DataFrame, narrow: bool) -> DataFrame:
 
 
 class _BlockWriter:
-    """Cuts the documents of one part into blocks, whatever their lengths."""
+    """Deals the documents of one part out to blocks.
+
+    A document that does not fit what is left of a block begins the next one; only one that
+    is longer than a block is cut.
+    """
 
     def __init__(self, part: int, codebook: Codebook, block_ids: int):
         self.part, self.codebook, self.block_ids = part, codebook, block_ids
@@ -188,6 +192,8 @@ class _BlockWriter:
     def add(self, doc_id: int | None, ids: np.ndarray) -> Iterator[tuple]:
         start, at = self.total, 0
         self.total += len(ids)
+        if self.held and self.block_ids - self.held < len(ids) <= self.block_ids:
+            yield self.close()
         while at < len(ids):
             piece = ids[at : at + self.block_ids - self.held]
             self.pieces.append((doc_id, start, len(ids), len(piece)))
@@ -292,57 +298,52 @@ def read_pieces(spark: SparkSession, path: str) -> DataFrame:
     return small_batches(blocks.drop("block")).mapInArrow(run, PIECES)
 
 
-def _zeros(length: int) -> list[int]:
-    """What a CRC-32 becomes over ``length`` zero bytes, as the images of its 32 bits."""
+def _times(matrix: list[int], vector: int) -> int:
+    out = 0
+    for row in matrix:
+        if vector & 1:
+            out ^= row
+        vector >>= 1
+    return out
 
-    def times(matrix: list[int], vector: int) -> int:
-        out = 0
-        for row in matrix:
-            if vector & 1:
-                out ^= row
-            vector >>= 1
-        return out
 
-    # Over one zero bit; squared three times it is over one zero byte.
-    step = [0xEDB88320] + [1 << i for i in range(31)]
-    for _ in range(3):
-        step = [times(step, row) for row in step]
-    result = [1 << i for i in range(32)]
-    while length:
-        if length & 1:
-            result = [times(step, row) for row in result]
-        step = [times(step, row) for row in step]
-        length >>= 1
-    return result
+@lru_cache(maxsize=64)
+def _zeros(power: int) -> list[int]:
+    """What a CRC-32 becomes over 2^power zero bytes, as the images of its 32 bits."""
+    if power == 0:
+        # Over one zero bit; squared three times it is over one zero byte.
+        step = [0xEDB88320] + [1 << i for i in range(31)]
+        for _ in range(3):
+            step = [_times(step, row) for row in step]
+        return step
+    half = _zeros(power - 1)
+    return [_times(half, row) for row in half]
 
 
 def joined_crc(pieces: list[tuple[int, int]]) -> int:
     """The CRC-32 of bytes given as (CRC-32, number of bytes) of their pieces in order."""
     total = 0
-    moves: dict[int, list[int]] = {}
     for crc, size in pieces:
-        if size not in moves:
-            moves[size] = _zeros(size)
-        moved = 0
-        for i, row in enumerate(moves[size]):
-            if total >> i & 1:
-                moved ^= row
-        total = moved ^ crc
+        for power in range(size.bit_length()):
+            if size >> power & 1:
+                total = _times(_zeros(power), total)
+        total ^= crc
     return total
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document of a folder, from its blocks.
 
-    Documents that lie in one block need no shuffle.  The pieces of the others are gathered
-    by document, a few numbers each, and their checksums joined in order.
+    Blocks are decoded once, into a table of a few numbers for each piece.  Documents that
+    lie in one block need no shuffle; the pieces of longer ones are gathered by document and
+    their checksums joined in order.
     """
 
     @F.udf("long")
     def joined(pieces):
         return joined_crc([(p["crc"], 4 * p["n_ids"]) for p in pieces])
 
-    pieces = read_pieces(spark, path)
+    pieces = written(read_pieces(spark, path), "pieces")
     whole = pieces.where("n_ids = doc_ids").select("part", "doc_id", "doc_start", "doc_ids", "crc")
     cut = pieces.where("n_ids < doc_ids").groupBy("part", "doc_id", "doc_start", "doc_ids")
     cut = cut.agg(F.sort_array(F.collect_list(F.struct("piece_start", "n_ids", "crc"))).alias("pieces"))
