@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -24,7 +25,11 @@ LETTERS = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
 POWER = {"source": 0.8, "lang": 0.8, "topic": 0.9}
 # Share of all tokens that the sample should hold.
 KEEP = 0.7
-ROUNDS = 8
+# Raking ends when every margin is met to within TOLERANCE of its goal, when a round has not
+# come nearer, or after ROUNDS.
+ROUNDS = 40
+TOLERANCE = 0.002
+LEVELS = 60
 SEED = 20
 
 
@@ -102,62 +107,112 @@ def measured(docs: DataFrame) -> DataFrame:
     return small_batches(rows).mapInArrow(run, "doc_id long, source string, lang string, topic string, text_key long, tokens long")
 
 
-def targets(cells: DataFrame, power: dict[str, float], keep: float) -> dict[str, DataFrame]:
-    """For each margin (value, goal): the tokens that the sample should hold."""
-    out = {}
+def targets(held: DataFrame, power: float, keep: float) -> DataFrame:
+    """(value, goal) of one margin's (value, held): the tokens that the sample should hold.
+
+    Goals are proportional to ``held`` to the ``power`` and together ``keep`` of all, but none
+    is more than what there is: the level rises until what the full ones lack is shared
+    out among the others.
+    """
+    raised = F.pow("held", F.lit(power))
+    level = full = None
+    for _ in range(LEVELS):
+        open_ = F.lit(True) if level is None else raised * level < F.col("held")
+        # Four numbers a step.
+        row = held.agg(
+            F.sum("held").alias("total"),
+            F.sum(F.when(~open_, F.col("held")).otherwise(0.0)).alias("bound"),
+            F.sum(F.when(open_, raised).otherwise(0.0)).alias("free"),
+            F.count_if(~open_).alias("full"),
+        ).first()
+        if not row["free"] or row["full"] == full:
+            break
+        level, full = max(0.0, keep * row["total"] - row["bound"]) / row["free"], row["full"]
+    return held.select("value", F.least(F.col("held"), raised * F.lit(level or 0.0)).alias("goal"))
+
+
+def _with_goals(cells: DataFrame, power: dict[str, float], keep: float) -> DataFrame:
+    """``cells`` with the goal of each margin's value, and a rate of 1.
+
+    Tables are joined by a sort and merge: nothing is built on the driver, however many
+    sources there are.
+    """
     for margin in MARGINS:
-        held = cells.groupBy(margin).agg(F.sum("mass").alias("held"))
-        # Two numbers for each margin.
-        total, powers = held.agg(F.sum("held"), F.sum(F.pow("held", F.lit(power[margin])))).first()
-        share = F.pow("held", F.lit(power[margin])) / F.lit(powers or 1.0)
-        out[margin] = held.select(F.col(margin).alias("value"), (F.lit(keep * (total or 0.0)) * share).alias("goal"))
-    return out
+        held = written(cells.groupBy(F.col(margin).alias("value")).agg(F.sum("mass").alias("held")), "held")
+        goals = targets(held, power[margin], keep)
+        cells = cells.join(goals.hint("merge"), cells[margin] == goals["value"]).drop("value").withColumnRenamed("goal", f"goal_{margin}")
+    return cells.select(*MARGINS, *[f"goal_{m}" for m in MARGINS], "mass", F.lit(1.0).alias("rate"))
+
+
+def _fitted(cells: DataFrame, margin: str) -> DataFrame:
+    """``cells`` after one step of the fit: one aggregation and one join."""
+    weight, full = F.col("mass") * F.col("rate"), F.col("rate") >= 1.0
+    sums = cells.groupBy(F.col(margin).alias("value")).agg(
+        F.sum(weight).alias("now"), F.sum(F.when(full, F.col("mass")).otherwise(0.0)).alias("bound"), F.first(f"goal_{margin}").alias("goal")
+    )
+    # Cells at the bound give nothing more: the free ones make up the rest.
+    factor = sums.select(
+        "value",
+        F.when(F.col("goal") <= F.col("now"), F.col("goal") / F.col("now"))
+        .when(F.col("now") > F.col("bound"), (F.col("goal") - F.col("bound")) / (F.col("now") - F.col("bound")))
+        .otherwise(F.lit(1.0))
+        .alias("factor"),
+    )
+    rate = F.least(F.lit(1.0), F.greatest(F.lit(1e-9), F.col("rate") * F.col("factor")))
+    joined = cells.join(factor.hint("merge"), cells[margin] == factor["value"])
+    return joined.select(*[rate.alias("rate") if c == "rate" else cells[c] for c in cells.columns])
+
+
+def margin_error(cells: DataFrame) -> float:
+    """The largest relative distance of a margin's tokens from its goal, over all margins."""
+    sums = cells.groupingSets([[m] for m in MARGINS], *MARGINS).agg(
+        F.grouping_id(*MARGINS).alias("of"),
+        F.sum(F.col("mass") * F.col("rate")).alias("now"),
+        *[F.first(f"goal_{m}").alias(f"goal_{m}") for m in MARGINS],
+    )
+    # A value's own bit is 0 in the set that groups by it.
+    goal = F.coalesce(*[F.when(F.col("of").bitwiseAND(1 << (len(MARGINS) - 1 - i)) == 0, F.col(f"goal_{m}")) for i, m in enumerate(MARGINS)])
+    return sums.agg(F.max(F.abs(F.col("now") / goal - 1)).alias("error")).first()["error"] or 0.0
 
 
-def rake(cells: DataFrame, goals: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
-    """``cells`` (source, lang, topic, mass) with ``rate``: iterative proportional fitting.
+def rake(cells: DataFrame, power: dict[str, float] | None = None, keep: float = KEEP, rounds: int = ROUNDS) -> tuple[DataFrame, float]:
+    """``cells`` (source, lang, topic, mass) with ``rate``, by iterative proportional fitting,
+    and the largest relative error of a margin that is left.
 
     Every step scales the rates of one margin so that its tokens meet its goals;
     rates are held at 1 at most, since a document is taken once.  The table has one
     row per combination that occurs, however many documents there are.  Margin sums
-    are aggregations with partial sums; every round ends in a written table.
+    are aggregations with partial sums; every step ends in a written table.
+    Where rates of 1 do not reach a goal (a source whose only language is to shrink), the
+    fit ends when the error no longer falls, and what is left is the second result.
     """
-    current = written(cells.withColumn("rate", F.lit(1.0)), "rates")
+    current = written(_with_goals(cells, power or POWER, keep), "rates")
+    error = math.inf
     for _ in range(rounds):
         for margin in MARGINS:
-            # Cells at the bound give nothing more: the free ones make up the rest.
-            full = F.col("rate") >= 1.0
-            sums = current.groupBy(F.col(margin).alias("value")).agg(
-                F.sum(F.col("mass") * F.col("rate")).alias("now"), F.sum(F.when(full, F.col("mass")).otherwise(0.0)).alias("bound")
-            )
-            factor = sums.join(goals[margin], "value").select(
-                "value",
-                F.when(F.col("goal") <= F.col("now"), F.col("goal") / F.col("now"))
-                .when(F.col("now") > F.col("bound"), (F.col("goal") - F.col("bound")) / (F.col("now") - F.col("bound")))
-                .otherwise(F.lit(1.0))
-                .alias("factor"),
-            )
-            current = current.join(factor, current[margin] == factor["value"]).select(
-                *MARGINS, "mass", F.least(F.lit(1.0), F.greatest(F.lit(1e-9), F.col("rate") * F.col("factor"))).alias("rate")
-            )
-        current = written(current, "rates")
-    return current
+            current = written(_fitted(current, margin), "rates")
+        before, error = error, margin_error(current)
+        if error <= TOLERANCE or error > 0.98 * before:
+            break
+    return current.select(*MARGINS, "mass", "rate"), 0.0 if error is math.inf else error
 
 
 def mix(docs: DataFrame, power: dict[str, float] | None = None, keep: float = KEEP, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
-    """(doc_id, text_key, source, lang, topic, tokens, weight, probability, sampled): one row per row.
+    """(doc_id, text_key, source, lang, topic, tokens, weight, probability, sampled,
+    margin_error): one row per row.
 
     ``probability`` is the raked rate of the document's source, language and topic;
-    ``weight`` is its inverse, what a sampled document stands for.  A document is
-    sampled when a hash of doc_id and text, read as a number below 1, is under its
-    probability: the draw is the same on every run, and rows that repeat both are
-    drawn alike.  Null text counts as empty, with weight of one token.  An empty
+    ``weight`` is its inverse, what a sampled document stands for; ``margin_error``, the
+    same in all rows, how far the expected tokens of the worst margin are from its goal.
+    A document is sampled when a hash of doc_id and text, read as a number below 1, is
+    under its probability: the draw is the same on every run, and rows that repeat both
+    are drawn alike.  Null text counts as empty, with weight of one token.  An empty
     table gives an empty result.
     """
     rows = written(measured(docs), "measured")
     cells = written(rows.groupBy(*MARGINS).agg(F.sum("tokens").cast("double").alias("mass")), "cells")
-    goals = {m: written(g, "goals") for m, g in targets(cells, power or POWER, keep).items()}
-    rates = rake(cells, goals, rounds).select(*[F.col(m).alias(f"of_{m}") for m in MARGINS], "rate")
+    raked, error = rake(cells, power, keep, rounds)
+    rates = raked.select(*[F.col(m).alias(f"of_{m}") for m in MARGINS], "rate")
     met = rows.join(rates, [rows[m] == rates[f"of_{m}"] for m in MARGINS])
     draw = F.shiftrightunsigned(F.xxhash64("doc_id", "text_key", F.lit(seed)), 11) / float(1 << 53)
     return met.select(
@@ -168,6 +223,7 @@ def mix(docs: DataFrame, power: dict[str, float] | None = None, keep: float = KE
         (1 / F.col("rate")).alias("weight"),
         F.col("rate").alias("probability"),
         (draw < F.col("rate")).alias("sampled"),
+        F.lit(error).alias("margin_error"),
     )
 
 

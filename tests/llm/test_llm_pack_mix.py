@@ -116,6 +116,66 @@ def test_mixing_on_awkward_rows(cases, nothing):
     assert mixing.mix(nothing).count() == 0 and mixing.keep_sampled(nothing).count() == 0
 
 
+def brute_rake(cells, power, keep):
+    """Rates by the same steps over a dense array in memory; goals by bisection."""
+    names = [sorted({c[i] for c in cells}) for i in range(3)]
+    mass = np.zeros([len(n) for n in names])
+    for *at, m in cells:
+        mass[tuple(names[i].index(v) for i, v in enumerate(at))] += m
+    goals = []
+    for i, margin in enumerate(mixing.MARGINS):
+        held = mass.sum(axis=tuple(j for j in range(3) if j != i))
+        low, high = 0.0, 1e9
+        for _ in range(300):
+            level = (low + high) / 2
+            low, high = (level, high) if np.minimum(held, level * held ** power[margin]).sum() < keep * held.sum() else (low, level)
+        goals.append(np.minimum(held, low * held ** power[margin]))
+    rate = np.ones_like(mass)
+    errors = []
+    for _ in range(mixing.ROUNDS):
+        for i, goal in enumerate(goals):
+            axes = tuple(j for j in range(3) if j != i)
+            now, bound = (mass * rate).sum(axis=axes), np.where(rate >= 1, mass, 0).sum(axis=axes)
+            grown = np.where(now > bound, (goal - bound) / np.where(now > bound, now - bound, 1), 1.0)
+            factor = np.where(goal <= now, goal / now, grown)
+            rate = np.clip(rate * np.expand_dims(factor, axes), 1e-9, 1)
+        errors.append(max(np.abs((mass * rate).sum(axis=tuple(j for j in range(3) if j != i)) / g - 1).max() for i, g in enumerate(goals)))
+        if errors[-1] <= mixing.TOLERANCE or len(errors) > 1 and errors[-1] > 0.98 * errors[-2]:
+            break
+    found = {tuple(n[i] for n, i in zip(names, at, strict=True)): rate[at] for at in zip(*np.nonzero(mass), strict=True)}
+    return found, errors[-1]
+
+
+def test_raking_of_skewed_sources_against_numpy(spark):
+    rng = random.Random(11)
+    cells = [
+        (f"s{i}", lang, str(topic), float(int(10 ** rng.uniform(1, 6))))
+        for i in range(40)
+        for lang in ("en", "de", "fr", "es")
+        for topic in range(3)
+        if rng.random() < 0.8
+    ]
+    want, error = brute_rake(cells, mixing.POWER, mixing.KEEP)
+    rated, left = mixing.rake(spark.createDataFrame(cells, "source string, lang string, topic string, mass double"))
+    got = {(r["source"], r["lang"], r["topic"]): r["rate"] for r in rated.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in got)
+    assert abs(left - error) < 1e-6 and left < 0.01
+    assert abs(sum(m * got[(a, b, c)] for a, b, c, m in cells) / sum(c[3] for c in cells) - mixing.KEEP) < 0.01
+
+
+def test_goals_are_within_what_there_is(spark):
+    held = spark.createDataFrame([("a", 1e6), ("b", 10.0), ("c", 1.0)], "value string, held double")
+    goals = {r["value"]: r["goal"] for r in mixing.targets(held, 0.2, 0.7).collect()}
+    assert goals["b"] == 10 and goals["c"] == 1 and abs(sum(goals.values()) - 0.7 * 1_000_011) < 1e-3
+
+
+def test_goals_out_of_reach_are_reported(spark):
+    # The only language of a small source is to shrink, so its source cannot keep its share.
+    cells = [("big", "en", "0", 1e6), ("big", "de", "0", 1e3), ("small", "de", "0", 1e3)]
+    _, left = mixing.rake(spark.createDataFrame(cells, "source string, lang string, topic string, mass double"))
+    assert 0 <= left < 1
+
+
 def test_pipeline_stages_one_by_one(spark):
     docs = documents(spark, SF)
     columns = docs.columns
@@ -138,7 +198,7 @@ def test_pipeline_stages_one_by_one(spark):
     assert unique.columns == columns and {r.doc_id for r in unique.collect()} == set(last.values())
 
     apart = stage["near dedup"](spark, docs, SF)
-    marks = simhash.near_duplicates(docs, 10, blocking="minhash").collect()
+    marks = simhash.near_duplicates(docs, simhash.NEAR_RADIUS, blocking="minhash").collect()
     assert apart.columns == columns
     assert {r.doc_id for r in apart.collect()} == {r.component_id for r in marks}
 
