@@ -44,8 +44,7 @@ def _within(planes, values, valid, query, word, radius):
     def difference(bit: int) -> np.ndarray:
         return planes[bit][word] ^ (np.uint64(0) - ((mine >> np.uint64(bit)) & ONE))
 
-    # No pair can differ in more than 64 bits: there is nothing to count at that radius.
-    for bit in range(0, 64 if radius < 64 else 0, 2):
+    for bit in range(0, 64, 2):
         x, y = difference(bit), difference(bit + 1)
         if width:
             half = count[0] ^ x
@@ -80,18 +79,29 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def linked(blocks: list[np.ndarray], radius: int, sketches: list[np.ndarray] | None = None, agree: int = 0):
+def linked(
+    blocks: list[np.ndarray],
+    radius: int,
+    nodes: list[np.ndarray] | None = None,
+    sketches: list[np.ndarray] | None = None,
+    agree: int = 0,
+):
     """Edges (member, smallest member linked to it inside the block), over all blocks.
 
     Each block is compared with itself only.  The edges span the components of
-    the block, so a block of n members yields fewer than n edges.  ``sketches`` has
-    a row of bytes for each member: a pair then also has to agree in ``agree`` of
-    them.
+    the block, so a block of n members yields fewer than n edges.  Members are their
+    values, each once, or the numbers in ``nodes``, whose values may be equal.  ``sketches``
+    has a row of bytes for each member: a pair then also has to agree in ``agree`` of them.
     """
-    distinct = [np.unique(np.asarray(b, dtype=np.int64).view(np.uint64), return_index=True) for b in blocks]
-    chosen = [i for i, (values, _) in enumerate(distinct) if len(values) > 1]
-    blocks = [distinct[i][0] for i in chosen]
-    marks = None if sketches is None else iter([sketches[i][distinct[i][1]] for i in chosen])
+    values = [np.asarray(b, dtype=np.int64).view(np.uint64) for b in blocks]
+    if nodes is None:
+        order = [np.unique(v, return_index=True)[1] for v in values]
+    else:
+        order = [np.argsort(n, kind="stable") for n in nodes]
+    chosen = [i for i, found in enumerate(order) if len(found) > 1]
+    blocks = [values[i][order[i]] for i in chosen]
+    names = iter(blocks if nodes is None else [nodes[i][order[i]] for i in chosen])
+    marks = None if sketches is None else iter([sketches[i][order[i]] for i in chosen])
     none = np.empty(0, np.int64)
     if not blocks:
         return none, none
@@ -102,7 +112,7 @@ def linked(blocks: list[np.ndarray], radius: int, sketches: list[np.ndarray] | N
         cost = 0 if block is None else len(block) * -(-len(block) // 64)
         if group and (block is None or size + cost > ENTRIES):
             own = None if marks is None else [next(marks) for _ in group]
-            a, b = _linked_group(group, radius, own, agree)
+            a, b = _linked_group(group, radius, [next(names) for _ in group], own, agree)
             left.append(a)
             right.append(b)
             group, size = [], 0
@@ -112,13 +122,15 @@ def linked(blocks: list[np.ndarray], radius: int, sketches: list[np.ndarray] | N
     return np.concatenate(left), np.concatenate(right)
 
 
-def _linked_group(blocks: list[np.ndarray], radius: int, sketches: list[np.ndarray] | None, agree: int):
+def _linked_group(blocks: list[np.ndarray], radius: int, nodes: list[np.ndarray], sketches: list[np.ndarray] | None, agree: int):
     words = np.array([-(-len(b) // 64) for b in blocks])
     first = np.concatenate([[0], np.cumsum(words)])
     values = np.zeros(first[-1] * 64, np.uint64)
+    names = np.zeros(first[-1] * 64, np.int64)
     valid = np.zeros(first[-1] * 64, bool)
-    for block, at in zip(blocks, first, strict=False):
+    for block, own, at in zip(blocks, nodes, first, strict=False):
         values[at * 64 : at * 64 + len(block)] = block
+        names[at * 64 : at * 64 + len(block)] = own.astype(np.int64)
         valid[at * 64 : at * 64 + len(block)] = True
     if sketches is not None:
         marks = np.zeros((len(values), sketches[0].shape[1]), np.uint8)
@@ -144,4 +156,4 @@ def _linked_group(blocks: list[np.ndarray], radius: int, sketches: list[np.ndarr
         a, b = np.concatenate([a, np.arange(len(root))]), np.concatenate([b, root])
         root = _roots(len(root), a[a != b], b[a != b])
     child = np.flatnonzero(root != np.arange(len(root)))
-    return values[child].view(np.int64), values[root[child]].view(np.int64)
+    return names[child], names[root[child]]

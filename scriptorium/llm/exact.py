@@ -99,4 +99,6 @@ def keep_unique(docs: DataFrame, fan_in_bits: int = FAN_IN_BITS) -> DataFrame:
         return out
     ties = ties.select("doc_id", "text_key")
     among = same(out["doc_id"].cast("long"), ties["doc_id"]) & (F.xxhash64(text_of(out)) == ties["text_key"])
-    return out.join(ties, among, "left_anti").union(out.join(ties, among, "left_semi").dropDuplicates(["doc_id", "text"]))
+    # Null and empty texts are equal here too.
+    tied = out.join(ties, among, "left_semi").withColumn("_text", text_of(out)).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    return out.join(ties, among, "left_anti").union(tied)

@@ -24,6 +24,14 @@ MINHASH_TABLES = 10
 SKETCH = 256
 SKETCH_AGREE = 190
 SEED = 42
+# Bits in which texts of a similarity of 0.8 differ at most: 10 on average when one place is
+# rewritten; by the binomial 0.03 % of such pairs differ in more.
+NEAR_RADIUS = 20
+
+
+def first_document() -> Column:
+    """The document that stands for rows of one node; a null doc_id ranks last."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
 
 
 def shingle_hashes(text: str, width: int = 3) -> np.ndarray:
@@ -57,7 +65,8 @@ def minhash_blocks(hashes: np.ndarray, tables: int = MINHASH_TABLES) -> tuple[li
     hashes are mixed instead of hashing the text again.
     """
     if not len(hashes):
-        return [], bytes(SKETCH)
+        # Texts without words are alike: they share a block of their own.
+        return [0], bytes(SKETCH)
     x = hashes
     if len(x) > 2:
         x = (x[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ ((x[2:] << np.uint64(23)) | (x[2:] >> np.uint64(41)))
@@ -123,10 +132,21 @@ def by_masks(fps: DataFrame, radius: int) -> DataFrame:
     return fps.select("fp", F.explode(masks).alias("k1")).select("k1", F.col("fp").bitwiseAND(F.col("k1")).alias("k2"), "fp")
 
 
-def by_minhash(fps: DataFrame) -> DataFrame:
-    """(k1, k2, fp, sketch): blocks of documents that share two minima of one table."""
-    rows = fps.select("fp", "sketch", F.posexplode("blocks").alias("k1", "k2"))
-    return rows.groupBy(F.col("k1").cast("long").alias("k1"), "k2", "fp").agg(F.min("sketch").alias("sketch"))
+def distinct_texts(prints: DataFrame) -> DataFrame:
+    """(node, text_key, fp, blocks, sketch, first): one row per distinct text.
+
+    ``node`` is a number of its own, so that texts are never taken for equal because their
+    fingerprints are; ``first`` is the document that stands for it.  The number is given
+    while the table is written and does not change afterwards.
+    """
+    texts = prints.groupBy("text_key", "fp").agg(F.any_value("blocks").alias("blocks"), F.any_value("sketch").alias("sketch"), first_document())
+    return written(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
+
+
+def by_minhash(texts: DataFrame) -> DataFrame:
+    """(k1, k2, node, fp, sketch): blocks of texts that share two minima of one table."""
+    rows = texts.select("node", "fp", "sketch", F.posexplode("blocks").alias("k1", "k2"))
+    return rows.select(F.col("k1").cast("long").alias("k1"), "k2", "node", "fp", "sketch")
 
 
 def near_edges(members: DataFrame, radius: int, limit: int = BLOCK_LIMIT) -> DataFrame:
@@ -135,13 +155,14 @@ def near_edges(members: DataFrame, radius: int, limit: int = BLOCK_LIMIT) -> Dat
     The edges span each block's components.  A block with more than ``limit``
     fingerprints is cut into parts by hash, and every two parts are compared in a
     task of their own, so no task grows with a block and no pair is lost.  Where
-    ``members`` has sketches, they have to confirm a pair.
+    ``members`` has nodes and sketches, the edges are between nodes, equal fingerprints
+    are compared like others, and the sketches have to confirm a pair.
     """
-    carried = [c for c in ("sketch",) if c in members.columns]
+    carried = [c for c in ("node", "sketch") if c in members.columns]
     counts = members.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1")
     counts = counts.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.ceil(F.col("n") / limit).cast("int").alias("parts"))
     sized = members.join(counts, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")))
-    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    part = F.pmod(F.xxhash64("node" if carried else "fp"), F.col("parts")).cast("int")
     dealt = (
         sized.withColumn("part", part)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -154,51 +175,61 @@ def near_edges(members: DataFrame, radius: int, limit: int = BLOCK_LIMIT) -> Dat
             column = batch.column("fps")
             offsets, flat = column.offsets.to_numpy(), column.values.field("fp").to_numpy(zero_copy_only=False)
             cuts = list(zip(offsets[:-1], offsets[1:], strict=True))
-            sketches = None
+            nodes = sketches = None
             if carried:
+                own = column.values.field("node").to_numpy(zero_copy_only=False)
+                nodes = [own[s:e] for s, e in cuts]
                 marks = np.frombuffer(b"".join(column.values.field("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
                 sketches = [marks[s:e] for s, e in cuts]
-            a, b = linked([flat[s:e] for s, e in cuts], radius, sketches, SKETCH_AGREE)
+            a, b = linked([flat[s:e] for s, e in cuts], radius, nodes, sketches, SKETCH_AGREE)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return small_batches(grouped.select("fps")).mapInArrow(run, "a long, b long").distinct()
 
 
+def _owners(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, best) for every row of ``nodes`` (node, first): the first document of its component.
+
+    Both tables are written, so that the join has no aggregation beside it and a component
+    that holds most nodes can be split.
+    """
+    roots = connected_components(edges).withColumnRenamed("node", "of")
+    linked_nodes = written(nodes.join(roots, nodes["node"] == roots["of"]).select("node", "first", "root"), "linked")
+    best = written(linked_nodes.groupBy(F.col("root").alias("of")).agg(F.min("first").alias("best")), "best")
+    owned = linked_nodes.join(best, linked_nodes["root"] == best["of"]).select("node", "best")
+    alone = nodes.join(roots, nodes["node"] == roots["of"], "left_anti").select("node", F.col("first").alias("best"))
+    return owned.union(alone)
+
+
 def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, blocking: str = "masks") -> DataFrame:
     """(doc_id, text_key, fp, component_id, keep): one row per document.
 
     With ``blocking="masks"`` fingerprints link when they differ in at most ``radius``
-    bits, and every such pair is found.  ``"minhash"`` compares documents that share
-    two minima of their five-word shingles in one of ten tables, and 256 minima decide
-    whether the similarity is about 0.8; ``radius`` does not count there, since the bits
-    of such texts lie too far apart.  ``component_id`` is the smallest doc_id reachable,
-    itself included.  Of each component ``keep`` marks one document, the
-    smallest (doc_id, text_key); rows that repeat both are marked alike.
+    bits, and every such pair is found; equal fingerprints are one node, however many rows
+    have them.  ``"minhash"`` compares distinct texts that share two minima of their
+    five-word shingles in one of ten tables: the bit-sliced comparison drops pairs beyond
+    ``radius``, and of those within it 256 minima decide whether the similarity is about
+    0.8.  ``component_id`` is the smallest doc_id reachable, itself included.  Of each
+    component ``keep`` marks one document, the smallest (doc_id, text_key); rows that
+    repeat both are marked alike.
 
     Null text counts as empty; texts without words have fingerprint zero and link
-    like others.  A null doc_id is kept, never becomes a component_id while a
-    number is at hand, and ranks last.  An empty table gives an empty result.
+    like others.  A null doc_id is kept, never becomes a component_id while a number is at hand, and
+    ranks last.  An empty table gives an empty result.
     """
     if blocking not in ("masks", "minhash"):
         raise ValueError(f"unknown blocking {blocking!r}")
     prints = written(fingerprints(docs, width, blocking == "minhash"), "simhash")
-    # Equal fingerprints are one node from here on, however many rows have them.
     if blocking == "masks":
         members = by_masks(prints.select("fp").distinct(), radius)
+        nodes = prints.groupBy(F.col("fp").alias("node")).agg(first_document())
+        owner = _owners(nodes, near_edges(members, radius))
+        out = prints.join(owner, prints["fp"] == owner["node"])
     else:
-        members, radius = by_minhash(prints), 64
-    roots = connected_components(near_edges(members, radius))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
-    nodes = prints.groupBy("fp").agg(first.alias("first"))
-    # The few linked fingerprints get their component's first document.  Both tables are
-    # written, so that the join has no aggregation beside it and a component that holds
-    # most of them can be split.
-    linked_nodes = written(nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "first", "root"), "linked")
-    best = written(linked_nodes.groupBy(F.col("root").alias("of")).agg(F.min("first").alias("best")), "best")
-    owned = linked_nodes.join(best, linked_nodes["root"] == best["of"]).select("fp", "best")
-    alone = nodes.join(roots, nodes["fp"] == roots["node"], "left_anti").select("fp", F.col("first").alias("best"))
-    owner = owned.union(alone).withColumnRenamed("fp", "node")
-    out = prints.join(owner, prints["fp"] == owner["node"])
+        texts = distinct_texts(prints)
+        owner = _owners(texts.select("node", "first"), near_edges(by_minhash(texts), radius)).withColumnRenamed("node", "of")
+        named = texts.join(owner, texts["node"] == owner["of"]).select(F.col("text_key").alias("key"), F.col("fp").alias("print"), "best")
+        out = prints.join(named, (prints["text_key"] == named["key"]) & (prints["fp"] == named["print"]))
     kept = same(F.col("doc_id"), F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key"))
     return out.select("doc_id", "text_key", "fp", F.col("best.doc_id").alias("component_id"), kept.alias("keep"))
 
@@ -207,11 +238,10 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, radius: int = 10, blocking: str = "minhash") -> DataFrame:
+def keep_one(docs: DataFrame, radius: int = NEAR_RADIUS, blocking: str = "minhash") -> DataFrame:
     """The documents, all columns, without the near-duplicates: one of each component stays.
 
-    By default the minima of the five-word shingles decide alone, and ``radius`` counts
-    for ``blocking="masks"`` only.  Rows that repeat both doc_id and text stay together; exact deduplication
+    Rows that repeat both doc_id and text stay together; exact deduplication
     is the operator that parts them.
     """
     marks = near_duplicates(docs, radius, blocking=blocking).where("keep").select("doc_id", "text_key").distinct()

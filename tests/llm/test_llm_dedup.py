@@ -216,3 +216,39 @@ def test_repeats_on_awkward_rows(spark, cases, nothing):
 
 def test_all_columns_are_read_by_value(cases):
     assert exact.exact_groups(cases.withColumn("text", F.upper("text"))).count() == len(CASES)
+
+
+def test_equal_fingerprints_are_not_taken_for_equal_texts(spark):
+    """One repeated shingle in over half of a text decides all bits of its fingerprint."""
+    rng = random.Random(4)
+    rows = [(i, "ha " * 400 + " ".join(f"w{rng.randrange(10**9)}" for _ in range(300))) for i in range(2)]
+    rows += [(2, rows[0][1] + " and one word more"), (3, rows[1][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r for r in simhash.near_duplicates(docs, simhash.NEAR_RADIUS, blocking="minhash").collect()}
+    assert found[0]["fp"] == found[1]["fp"]
+    assert [found[i]["component_id"] for i in range(4)] == [0, 1, 0, 1]
+    assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == {0, 1}
+
+
+def test_rewritten_ends_are_near(spark):
+    """Texts of similarity 0.8 to 0.86 whose head or tail is another one; 0.6 and below stay."""
+    rng = random.Random(6)
+
+    def prose(n):
+        return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+    rows, near = [], {}
+    for i in range(30):
+        words, cut = prose(300), rng.choice([24, 30])
+        rows.append((10 * i, " ".join(words)))
+        rows.append((10 * i + 1, " ".join(words[:-cut] + prose(cut) if i % 2 else prose(cut) + words[cut:])))
+        rows.append((10 * i + 2, " ".join(words[:-90] + prose(90))))
+        near[10 * i + 1] = 10 * i
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, simhash.NEAR_RADIUS, blocking="minhash").collect()}
+    assert all(found[i] == near.get(i, i) for i in found)
+
+
+def test_null_and_empty_rows_of_one_document_are_one(spark):
+    docs = spark.createDataFrame([(1, None), (1, ""), (1, ""), (2, "x"), (2, "x")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["text"] or "") for r in exact.keep_unique(docs).collect()) == [(1, ""), (2, "x")]
