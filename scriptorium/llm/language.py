@@ -212,15 +212,22 @@ def _predictor(samples):
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, whose language could be told: those without one go.
+    """The documents, all columns, whose language can be told; a null lang is filled in.
 
-    The decision is a pandas UDF on the text alone, so rows stay where they are.
+    Texts that are null or have no letter go.  Where no row has a language to learn from,
+    texts with a letter stay and lang stays null.  The decision is a pandas UDF on the text
+    alone, so rows stay where they are.
     """
     samples = training_sample(docs)
+    if not samples:
+        return docs.where(F.coalesce(text_of(docs).rlike(r"\p{L}"), F.lit(False)))
     small_batches(docs)
 
-    @F.pandas_udf("boolean")
-    def identified(texts: pd.Series) -> pd.Series:
-        return pd.Series([name != UNKNOWN for name in _predict(samples, texts.tolist())[0]])
+    def predicted(texts: pd.Series) -> pd.Series:
+        return pd.Series(_predict(samples, texts.tolist())[0])
 
-    return docs.where(identified(text_of(docs)))
+    # Not deterministic for the planner: the filter stays above, so a text is parsed once.
+    predicted = F.pandas_udf(predicted, "string").asNondeterministic()
+    name = "_predicted_language"
+    found = docs.withColumn(name, predicted(text_of(docs))).where(F.col(name) != UNKNOWN)
+    return found.withColumn("lang", F.coalesce("lang", F.col(name))).drop(name)

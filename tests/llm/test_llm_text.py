@@ -243,3 +243,19 @@ def test_native_queries_run_no_python(spark, name):
 
 def test_frame_has_clashing_columns(spark):
     assert "fingerprint" in frame(spark).columns
+
+
+def test_texts_stay_where_no_language_is_known(spark):
+    docs = spark.createDataFrame([(1, "plain words", None), (2, "12 !", None), (3, None, None), (4, "\u00e9", None)], "doc_id long, text string, lang string")
+    left = language.keep_identified(docs)
+    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {1, 4}
+
+
+def test_a_missing_language_is_filled_in(spark):
+    english = "the quick brown fox jumps over the lazy dog and the cat sat on the mat "
+    german = "der schnelle braune Fuchs springt ueber den faulen Hund und die Katze sitzt "
+    rows = [(i, (english if i % 2 else german) * 3, "en" if i % 2 else "de") for i in range(40)]
+    rows += [(100, "the dog and the fox sat over the cat", None), (101, "der Hund und die Katze springt", None), (102, "the dog", "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    named = {r.doc_id: r.lang for r in language.keep_identified(docs).collect()}
+    assert named[100] == "en" and named[101] == "de" and named[102] == "xx" and len(named) == 43
