@@ -9,6 +9,9 @@ from dataclasses import dataclass
 class EngineConfig:
     # fixed default values
     chunk_size: int = 2000
+    # False and 20 drop text before the first heading of a level, and short sections.
+    keep_preamble: bool = True
+    min_section: int = 0
     content_preview_chars: int = 200
     # Caps a caller may set; none by default.
     search_limit_max: int | None = None
@@ -35,6 +38,7 @@ class EngineConfig:
     def __post_init__(self) -> None:
         rules = (
             ("chunk_size", self.chunk_size >= 500, ">= 500"),
+            ("min_section", self.min_section >= 0, ">= 0"),
             ("content_preview_chars", self.content_preview_chars >= 50, ">= 50"),
             ("search_limit_max", self.search_limit_max is None or self.search_limit_max >= 1, ">= 1"),
             ("embed_batch_size", self.embed_batch_size >= 1, ">= 1"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
@@ -151,6 +153,7 @@ def _final(word: str) -> str:
     return word
 
 
+@lru_cache(maxsize=1 << 18)
 def stem_word(word: str) -> str:
     if not MIN_LEN <= len(word) <= MAX_LEN:
         return word
@@ -162,7 +165,7 @@ def stem_word(word: str) -> str:
     return _final(_drop(word))
 
 
-def _stems(distinct: pa.Array) -> pa.Array:
+def stems(distinct: pa.Array) -> pa.Array:
     return pa.array([stem_word(w) for w in distinct.to_pylist()], pa.string())
 
 
@@ -170,7 +173,7 @@ def _stems(distinct: pa.Array) -> pa.Array:
 def _stem_arrays(words: pa.Array) -> pa.Array:
     # Only the distinct words of a batch reach Python; the rest is Arrow.
     flat = words.flatten().dictionary_encode()
-    taken = _stems(flat.dictionary).take(flat.indices)
+    taken = stems(flat.dictionary).take(flat.indices)
     lengths = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     offsets = pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32())
     return pa.ListArray.from_arrays(offsets, taken)
@@ -200,9 +203,9 @@ def _count_terms(words: pa.Array, n_title: pa.Array, stem: bool) -> pa.Array:
     codes = flat.indices.to_numpy().astype(np.int64)
     if stem:
         # Different words may share a stem, so encode the stems once more.
-        stems = _stems(names).dictionary_encode()
-        names = stems.dictionary
-        codes = stems.indices.to_numpy().astype(np.int64)[codes]
+        found = stems(names).dictionary_encode()
+        names = found.dictionary
+        codes = found.indices.to_numpy().astype(np.int64)[codes]
     rows = np.repeat(np.arange(len(lengths)), lengths)
     position = np.arange(len(codes)) - np.repeat(ends - lengths, lengths)
     titled = position < np.repeat(n_title.to_numpy(), lengths)

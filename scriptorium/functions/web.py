@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
-from urllib.robotparser import RobotFileParser
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,12 +14,13 @@ from pyspark.sql.functions import pandas_udf
 
 from scriptorium.functions.text import glob_regex
 
-# Link pattern, skipped prefixes, size limits, link cap per page.
+# Link pattern, skipped prefixes, size limits.
 HREF = r"""(?i)<a\s[^>]*href=["']([^"']+)["']"""
 SKIPPED = ("#", "javascript:", "mailto:", "tel:")
 MAX_PAGE = 50 * 1024 * 1024
-PAGE_LINKS = 50
 MIN_TEXT = 50
+# Beginning of a path by which robots rules and addresses are joined.
+PREFIX_CHARS = 3
 LOCAL_HOSTS = ("localhost", "localhost.localdomain", "")
 LOCAL_SUFFIXES = (".local", ".internal")
 # The IPv4 blocks that are not public (IANA special-purpose registry).
@@ -158,44 +158,93 @@ def private_host(authority: Column) -> Column:
     return F.when(dotted != "", is_v4 & in_block).when(is_v6, ~public_v6).otherwise(named)
 
 
-def allowed_by_robots(rules: Column, url: Column, agent: str) -> Column:
-    """Whether ``rules`` let ``agent`` fetch the url; each text is parsed once
-    per batch."""
+# A rule's agent, in lower case, without version.
+ANY_AGENT = "*"
 
-    @pandas_udf(T.BooleanType())
-    def allow(texts: pd.Series, urls: pd.Series) -> pd.Series:
-        parsed: dict[str, RobotFileParser] = {}
-        out = []
-        for text, target in zip(texts, urls):
-            if not text:
-                out.append(True)
-                continue
-            if text not in parsed:
-                parsed[text] = RobotFileParser()
-                parsed[text].parse(text.splitlines())
-            out.append(parsed[text].can_fetch(agent, target))
-        return pd.Series(out, dtype=bool)
 
-    return allow(rules, url)
+def robots_rules(robots):
+    """(host, agent, pattern, allow) of (host, rules): one row per rule and agent of its group.
+
+    Lines are told apart in the JVM.  A group is a run of agent lines and the rules after it;
+    it begins with an agent line that follows a rule.  Comments go, and rules without a path
+    say nothing.  Several texts of a host add up.
+    """
+    from pyspark.sql import Window
+
+    line = F.regexp_replace(F.col("line"), r"\s*#.*$|^\s+|\s+$", "")
+    field = F.lower(F.btrim(F.regexp_extract(line, r"^([A-Za-z\-]+)\s*:", 1)))
+    value = F.btrim(F.regexp_extract(line, r"^[A-Za-z\-]+\s*:(.*)$", 1))
+    texts = robots.select("host", F.xxhash64("rules").alias("text"), F.split("rules", r"\r?\n|\r").alias("lines")).distinct()
+    lines = texts.select("host", "text", F.posexplode("lines").alias("at", "line")).select("host", "text", "at", field.alias("field"), value.alias("value"))
+    lines = lines.filter(F.col("field").isin("user-agent", "allow", "disallow"))
+    order = Window.partitionBy("host", "text").orderBy("at")
+    opens = (F.col("field") == "user-agent") & (F.coalesce(F.lag("field").over(order), F.lit("")) != "user-agent")
+    grouped = lines.withColumn("opens", opens.cast("int")).withColumn("group", F.sum("opens").over(order))
+    agents = grouped.filter("field = 'user-agent'").select("host", "text", "group", F.lower(F.split("value", "/")[0]).alias("agent"))
+    rules = grouped.filter("field <> 'user-agent' AND value <> ''").select(
+        "host", "text", "group", F.col("value").alias("pattern"), (F.col("field") == "allow").alias("allow")
+    )
+    return rules.join(agents, ["host", "text", "group"]).select("host", "agent", "pattern", "allow").distinct()
+
+
+def _path_regex(pattern: Column) -> Column:
+    """A rule's path as a regular expression: ``*`` is any run, a last ``$`` the end."""
+    ends = pattern.endswith("$")
+    body = F.when(ends, F.expr("left(pattern, length(pattern) - 1)")).otherwise(pattern)
+    quoted = F.regexp_replace(body, r"([\\.\[\]{}()+?^$|])", r"\\$1")
+    return F.concat(F.lit("^"), F.replace(quoted, F.lit("*"), F.lit(".*")), F.when(ends, "$").otherwise(""))
+
+
+def robots_verdicts(urls, rules, agent: str):
+    """(url, allowed): the longest matching rule of the url's host decides, allow on a tie.
+
+    Rules of groups that name the agent count alone where a host has any, else those for
+    every agent.  Rules with a fixed beginning of PREFIX_CHARS or more meet only addresses
+    that begin alike, by an equi-join on host and beginning; the few others meet their host's
+    addresses.  An address that no rule meets is allowed.
+    """
+    named = rules.filter(F.lit(agent.lower()).contains(F.col("agent")) & (F.col("agent") != ""))
+    general = rules.filter(F.col("agent") == ANY_AGENT).join(named.select("host").distinct(), "host", "left_anti")
+    own = named.unionByName(general).select("host", "pattern", "allow").distinct()
+    literal = F.regexp_extract("pattern", r"^[^*$]*", 0)
+    own = own.select(
+        "host", F.when(F.length(literal) >= PREFIX_CHARS, F.left(literal, F.lit(PREFIX_CHARS))).otherwise("").alias("begin"), "pattern", "allow"
+    ).withColumn("regex", _path_regex(F.col("pattern")))
+    asked = urls.select("url", url_host(F.col("url")).alias("host"), F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^#]*)", 1).alias("path"))
+    asked = asked.withColumn("path", F.when(F.col("path").startswith("/"), F.col("path")).otherwise(F.concat(F.lit("/"), "path")))
+    keyed = asked.select("url", "host", "path", F.explode(F.array_distinct(F.array(F.lit(""), F.left("path", F.lit(PREFIX_CHARS))))).alias("begin"))
+    met = keyed.join(own, ["host", "begin"]).filter(F.call_function("regexp_like", "path", "regex"))
+    best = met.groupBy("url").agg(F.max(F.struct(F.length("pattern").alias("size"), "allow")).alias("best"))
+    return asked.select("url").join(best, "url", "left").select("url", F.coalesce(F.col("best.allow"), F.lit(True)).alias("allowed"))
 
 
 # -- sitemaps ---------------------------------------------------------------
 
 
-def _blocks(xml: Column, tag: str) -> Column:
-    """What stands inside every element ``tag`` without a prefix."""
-    return F.regexp_extract_all(xml, F.lit(rf"(?s)<{tag}(?:\s[^>]*+)?>(.*?)</{tag}\s*>"), 1)
+PREFIX = r"((?:[\w.\-]+:)?)"
+
+
+def _elements(xml: Column, tag: str) -> Column:
+    """Every element ``tag``, whatever the prefix of its namespace; the closing tag has the same."""
+    return F.regexp_extract_all(xml, F.lit(rf"(?s)<{PREFIX}{tag}(?:\s[^>]*+)?>.*?</\1{tag}\s*>"), 0)
+
+
+def _location(element: Column) -> Column:
+    """The element's own ``loc``, which has its prefix: extensions inside it have another."""
+    prefix = F.regexp_replace(F.regexp_extract(element, f"^<{PREFIX}", 1), r"\.", r"\\.")
+    own = F.concat(F.lit("(?s)<"), prefix, F.lit(r"loc(?:\s[^>]*+)?>(.*?)</"), prefix, F.lit(r"loc\s*>"))
+    return F.call_function("regexp_extract", element, own, F.lit(1))
 
 
 def sitemap_urls(xml: Column) -> Column:
     """``<loc>`` of index entries, then of pages.
 
     The text is searched, not parsed, so broken files give what can be read of
-    them and size does not matter.  NULL gives no location.
+    them and size does not matter.  The namespace may have any prefix or none.  NULL gives
+    no location.
     """
     plain = F.regexp_replace(F.coalesce(xml, F.lit("")), r"(?s)<!--.*?-->", "")
-    entries = F.concat(_blocks(plain, "sitemap"), _blocks(plain, "url"))
-    found = F.transform(entries, lambda e: F.regexp_extract(e, r"(?s)<loc(?:\s[^>]*+)?>(.*?)</loc\s*>", 1))
+    found = F.transform(F.concat(_elements(plain, "sitemap"), _elements(plain, "url")), _location)
 
     def text(loc: Column) -> Column:
         loc = F.btrim(F.regexp_replace(loc, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1"), F.lit(" \t\n\r"))

@@ -15,11 +15,6 @@ def union_tables(tables: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
-def rename_columns(df: DataFrame, names: dict[str, str]) -> DataFrame:
-    """Read a table whose columns carry other names: {our name: its name}."""
-    return df.withColumnsRenamed({theirs: ours for ours, theirs in names.items()})
-
-
 def get_chunks(chunks: DataFrame, path: str) -> DataFrame:
     return chunks.filter(F.col("file_path") == path).orderBy("chunk_index")
 

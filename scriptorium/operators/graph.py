@@ -191,14 +191,11 @@ def co_change_links(commit_files: DataFrame, prefix: str = HISTORY_PREFIX) -> Da
         F.col("n").between(CO_CHANGE_MIN, CO_CHANGE_MAX)
     )
     kept = commit_files.join(sized.select("commit_id"), "commit_id", "left_semi")
-    left = kept.select("commit_id", F.concat(F.lit(prefix), "file").alias("source_path"))
-    right = kept.select("commit_id", F.concat(F.lit(prefix), "file").alias("target_path"))
-    return (
-        left.join(right, "commit_id")
-        .filter(F.col("source_path") != F.col("target_path"))
-        .select("source_path", "target_path", F.lit("git_co_change").alias("relation_type"))
-        .distinct()
-    )
+    # The join has brought each commit together, so its few files need no further exchange.
+    together = kept.groupBy("commit_id").agg(F.collect_set(F.concat(F.lit(prefix), "file")).alias("files"))
+    ends = together.select("files", F.explode("files").alias("source_path"))
+    pairs = ends.select("source_path", F.explode(F.array_remove("files", F.col("source_path"))).alias("target_path"))
+    return pairs.distinct().withColumn("relation_type", F.lit("git_co_change"))
 
 
 def relabel_history_links(links: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ Every query word becomes a phrase of index terms (``a.b@c`` is the phrase
 
 from __future__ import annotations
 
+import math
+from itertools import accumulate
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -19,9 +21,11 @@ from scriptorium.session import pin_small
 # Okapi BM25 parameters (fixed values).
 K1, B = 1.2, 0.75
 MIN_IDF = 1e-6
-# ts_rank: weight of unlabelled positions, the limit of the sum of inverse
-# squares, and the positions kept per lexeme (fixed values).
-TS_WEIGHT, TS_NORM, TS_POSITIONS = 0.1, 1.64493406685, 256
+# ts_rank: weight of unlabelled positions and the limit of the sum of inverse
+# squares (fixed values).
+TS_WEIGHT, TS_NORM = 0.1, 1.64493406685
+# Sums of inverse squares that are looked up; longer ones come from their tail.
+SUMMED = 256
 
 DEFAULTS = EngineConfig()
 
@@ -179,25 +183,34 @@ def bm25_scores(
     )
 
 
+def inverse_squares(n: Column) -> Column:
+    """The sum of 1/j^2 for j from 1 to n: looked up, and beyond SUMMED all of it less the
+    tail, whose asymptotic series is exact to a double there."""
+    sums = list(accumulate(1.0 / (j * j) for j in range(1, SUMMED + 1)))
+    x = n.cast("double") + 1
+    tail = 1 / x + 1 / (2 * x * x) + 1 / (6 * F.pow(x, F.lit(3.0)))
+    looked_up = F.get(F.array([F.lit(s) for s in sums]), (n - 1).cast("int"))
+    return F.when(n <= SUMMED, looked_up).otherwise(F.lit(math.pi**2 / 6) - tail)
+
+
 def ts_rank_scores(
     index: TextIndex,
     queries: DataFrame,
     chunks: DataFrame,
     config: EngineConfig = DEFAULTS,
+    max_positions: int | None = None,
 ) -> DataFrame:
     """(query_id, chunk_id, score) by the OR form of ts_rank.
 
     A term that occurs n times contributes the sum of 1/j^2 for j up to n; the
-    total is divided by the number of distinct query terms.
+    total is divided by the number of distinct query terms.  All occurrences count unless
+    ``max_positions`` bounds them.
     """
     found = match_phrases(index, queries, chunks, config)
-    partial = 0.0
-    sums = []
-    for j in range(1, TS_POSITIONS + 1):
-        partial += 1.0 / (j * j)
-        sums.append(partial)
-    occurrences = F.least(F.col("tf_title") + F.col("tf_content"), F.lit(TS_POSITIONS))
-    per_term = F.element_at(F.array([F.lit(s) for s in sums]), occurrences.cast("int")) * (TS_WEIGHT / TS_NORM)
+    occurrences = F.col("tf_title") + F.col("tf_content")
+    if max_positions is not None:
+        occurrences = F.least(occurrences, F.lit(max_positions))
+    per_term = inverse_squares(occurrences) * (TS_WEIGHT / TS_NORM)
     n_terms = found.phrases.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms"))
     wanted = found.phrases.join(n_terms, "query_id").select(
         "phrase", "query_id", "wanted", "n_terms"

@@ -6,7 +6,6 @@ pool), so a group is small whatever the corpus holds.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,14 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptorium.functions.text import Analyzer, preview
+from scriptorium.functions.text import preview
+from scriptorium.operators.headline import snippets as highlight  # noqa: F401
 from scriptorium.operators.ranking import top_k
 from scriptorium.operators.vector import unit_rows
 
-SNIPPET_TOKENS = 32
-HEADLINE_MAX, HEADLINE_MIN = 35, 20
-MARK_OPEN, MARK_CLOSE, ELLIPSIS = "<mark>", "</mark>", "..."
-
 
 def mmr_order(query: np.ndarray, docs: np.ndarray, lambda_: float) -> list[int]:
     """Greedy maximal marginal relevance (Carbonell and Goldstein, 1998).
@@ -125,102 +121,3 @@ def format_hits(hits: DataFrame, chars: int = 200) -> DataFrame:
         F.round("score", 4).alias("score"),
         F.when(highlight != "", highlight).alias("highlight"),
     )
-
-
-def _match_flags(words: list[str], phrases: list[list[str]]) -> list[bool]:
-    single = {p[0] for p in phrases if len(p) == 1}
-    flags = [w in single for w in words]
-    by_first: dict[str, list[list[str]]] = {}
-    for phrase in phrases:
-        if len(phrase) > 1:
-            by_first.setdefault(phrase[0], []).append(phrase)
-    for at, word in enumerate(words) if by_first else ():
-        for phrase in by_first.get(word, ()):
-            if words[at : at + len(phrase)] == phrase:
-                flags[at : at + len(phrase)] = [True] * len(phrase)
-    return flags
-
-
-def best_window(flags: list[bool], labels: list[str], size: int) -> int:
-    """Start of the window of ``size`` tokens with the most distinct matches,
-    then the most matches, then the earliest; windows begin at a match."""
-    inside: Counter[str] = Counter()
-    best, best_at, left, right = (0, 0), 0, 0, 0
-    latest = max(0, len(flags) - size)
-    for match in (i for i, hit in enumerate(flags) if hit):
-        at = min(match, latest)
-        while right < min(at + size, len(flags)):
-            inside[labels[right]] += flags[right]
-            right += 1
-        while left < at:
-            inside[labels[left]] -= flags[left]
-            if not inside[labels[left]]:
-                del inside[labels[left]]
-            left += 1
-        inside = +inside
-        value = (len(inside), inside.total())
-        if value > best:
-            best, best_at = value, at
-    return best_at
-
-
-def highlight(hits: DataFrame, queries: DataFrame, analyzer: Analyzer, tokens: int = SNIPPET_TOKENS) -> DataFrame:
-    """Mark the query terms in the best window of ``tokens`` tokens.
-
-    The window keeps the text between its tokens; what is cut off before or
-    after it becomes an ellipsis.
-    """
-    from scriptorium.functions.text import SEPARATORS, query_words
-
-    phrases = queries.select("query_id", F.explode(query_words(F.col("query"))).alias("word")).select(
-        "query_id", analyzer.terms(F.col("word")).alias("terms")
-    )
-    per_query = phrases.filter(F.size("terms") > 0).groupBy("query_id").agg(F.collect_set("terms").alias("phrases"))
-    every_word = Analyzer(stem=analyzer.stem)
-    # Few rows with much work each: spread them over all cores by number, since
-    # by size they would be coalesced into one task.
-    cores = hits.sparkSession.sparkContext.defaultParallelism
-    spread = hits.join(per_query, "query_id", "left").repartition(cores, "query_id", "rank")
-    parts = spread.withColumns(
-        {
-            "raw": F.array_remove(F.split("content", SEPARATORS), ""),
-            "gaps": F.regexp_extract_all("content", F.lit(SEPARATORS), 0),
-            "leads": F.col("content").rlike("^" + SEPARATORS),
-            "words": every_word.terms(F.col("content")),
-        }
-    )
-    columns = [f.name for f in hits.schema.fields]
-    schema = T.StructType([*hits.schema.fields, T.StructField("highlight", T.StringType())])
-
-    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [
-                _snippet(list(r.raw), list(r.gaps), bool(r.leads), list(r.words), r.phrases, tokens)
-                for r in batch.itertuples(index=False)
-            ]
-            yield batch[columns].assign(highlight=out)
-
-    return parts.mapInPandas(mark, schema)
-
-
-def _snippet(raw: list[str], gaps: list[str], leads: bool, words: list[str], phrases, tokens: int) -> str | None:
-    if phrases is None or not len(raw) or len(raw) != len(words):
-        return None
-    flags = _match_flags(words, [list(p) for p in phrases])
-    start = best_window(flags, words, tokens)
-    stop = min(start + tokens, len(raw))
-    before = gaps if leads else ["", *gaps]
-    out = [ELLIPSIS if start else before[0] if before else ""]
-    for i in range(start, stop):
-        if i > start:
-            if flags[i - 1] and not flags[i]:
-                out.append(MARK_CLOSE)
-            out.append(before[i])
-        if flags[i] and (i == start or not flags[i - 1]):
-            out.append(MARK_OPEN)
-        out.append(raw[i])
-    if flags[stop - 1]:
-        out.append(MARK_CLOSE)
-    tail = before[stop] if stop < len(before) else ""
-    out.append(ELLIPSIS if stop < len(raw) else tail)
-    return "".join(out)

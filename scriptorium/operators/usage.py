@@ -49,14 +49,20 @@ def top_accessed(
     return with_heads(counts.orderBy(*order).limit(limit), chunks, limit, ["title", "category"]).orderBy(*order)
 
 
+# Paths that are written into a filter.
+LITERAL_PATHS = 1000
+
+
 def with_heads(top: DataFrame, chunks: DataFrame, limit: int, columns: list) -> DataFrame:
     """Add columns of the first chunk to at most ``limit`` rows by ``file_path``.
 
-    The few paths become literals, so the scan of the chunks skips the rest.
+    A few paths become literals, so the scan of the chunks skips the rest; more are joined.
     """
-    small = pin_small(top, limit, 2**31)
-    paths = [r["file_path"] for r in small.rows]
-    heads = head_chunks(chunks).filter(F.col("file_path").isin(paths)).select("file_path", *columns)
+    heads = head_chunks(chunks)
+    small = pin_small(top, min(limit, LITERAL_PATHS), 2**24)
+    if small is None:
+        return top.join(heads.select("file_path", *columns), "file_path", "left")
+    heads = heads.filter(F.col("file_path").isin([r["file_path"] for r in small.rows])).select("file_path", *columns)
     return small.frame.join(F.broadcast(heads), "file_path", "left")
 
 

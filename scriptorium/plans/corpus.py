@@ -9,11 +9,13 @@ are commits with the files they touch.
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import Analyzer, content_hash
+from scriptorium.operators.blockmax import BlockIndex, build_blocks, open_blocks
 from scriptorium.operators.index import TextIndex, build_index, open_index
 from scriptorium.session import scratch_table, table_exists
 
@@ -141,21 +143,52 @@ def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Index tables are written once per application and input, then opened by every
-# query that searches them.
-_INDEXES: dict[tuple, str] = {}
+# Derived tables are written once per application and state of the input, then opened by
+# every query that needs them.
+_SHARED: dict[tuple, str] = {}
+TABLES = ("documents", "conversations", "pages", "orders", "customer", "lineitem")
+
+
+def input_state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and modification times of the files of the given tables."""
+    out = []
+    for name in TABLES:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(os.path.join(sf_dir, f"{name}.parquet"))
+        fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(target):
+            out += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(target)]
+    return tuple(sorted(out))
+
+
+def shared(spark: SparkSession, sf_dir: str, name: str, detail, build: Callable[[str], object]) -> str:
+    """The folder of a derived table, which ``build`` writes when there is none yet."""
+    key = (spark.sparkContext.applicationId, name, detail, sf_dir, input_state(spark, sf_dir))
+    if key not in _SHARED or not table_exists(spark, _SHARED[key]):
+        path = scratch_table(spark, f"shared-{name}")
+        build(path)
+        _SHARED[key] = path
+    return _SHARED[key]
 
 
 def shared_index(frame: DataFrame, name: str, sf_dir: str, analyzer: Analyzer) -> TextIndex:
     spark = frame.sparkSession
-    key = (spark.sparkContext.applicationId, name, os.path.realpath(sf_dir), analyzer)
-    if key not in _INDEXES or not table_exists(spark, _INDEXES[key]):
-        path = scratch_table(spark, f"index-{name}")
-        build_index(frame, analyzer, path)
-        _INDEXES[key] = path
-    return open_index(spark, _INDEXES[key], analyzer)
+    path = shared(spark, sf_dir, f"index-{name}", analyzer, lambda path: build_index(frame, analyzer, path))
+    return open_index(spark, path, analyzer)
+
+
+def shared_blocks(frame: DataFrame, name: str, sf_dir: str, analyzer: Analyzer) -> BlockIndex:
+    spark = frame.sparkSession
+    path = shared(spark, sf_dir, f"blocks-{name}", analyzer, lambda path: build_blocks(frame, analyzer, path))
+    return open_blocks(spark, path, analyzer)
+
+
+def all_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(document_chunks(spark, sf_dir)).unionByName(spread(conversation_chunks(spark, sf_dir)))
 
 
 def chunk_index(spark: SparkSession, sf_dir: str, analyzer: Analyzer) -> TextIndex:
-    frame = spread(document_chunks(spark, sf_dir)).unionByName(spread(conversation_chunks(spark, sf_dir)))
-    return shared_index(frame, "chunks", sf_dir, analyzer)
+    return shared_index(all_chunks(spark, sf_dir), "chunks", sf_dir, analyzer)
+
+
+def chunk_blocks(spark: SparkSession, sf_dir: str, analyzer: Analyzer) -> BlockIndex:
+    return shared_blocks(all_chunks(spark, sf_dir), "chunks", sf_dir, analyzer)

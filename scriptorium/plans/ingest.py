@@ -67,13 +67,15 @@ def document_metadata(docs: DataFrame) -> DataFrame:
     )
 
 
-def chunk_documents(docs: DataFrame, max_size: int) -> DataFrame:
+def chunk_documents(docs: DataFrame, max_size: int, config: EngineConfig | None = None) -> DataFrame:
     """One row per chunk; each chunk carries its own section's title."""
+    config = config or EngineConfig()
+    sections = markdown.heading_chunks(F.col("body"), F.col("file_path"), max_size, config.keep_preamble, config.min_section)
     carried = [c for c in ("category", "audience", "tags", "content_hash") if c in docs.columns]
     exploded = docs.select(
         "file_path",
         *carried,
-        F.posexplode(markdown.heading_chunks(F.col("body"), F.col("file_path"), max_size)).alias("chunk_index", "chunk"),
+        F.posexplode(sections).alias("chunk_index", "chunk"),
     )
     return exploded.select("file_path", "chunk_index", "chunk.title", "chunk.content", "chunk.section_path", *carried)
 
@@ -99,7 +101,8 @@ def ingest_files(
     The stored hash is compared before conversion and chunking, so unchanged
     files cost one read.
     """
-    stored = changes.stored_hashes(store.chunks()).select("file_path", F.col("content_hash").alias("stored_hash"))
+    near = store.chunks_near(files)
+    stored = changes.stored_hashes(near).select("file_path", F.col("content_hash").alias("stored_hash"))
     same = F.col("content_hash").eqNullSafe(F.col("stored_hash")) & ~F.lit(force or dry_run)
     known = read_files(files).join(stored, "file_path", "left").withColumns(
         {"same": F.col("detail").isNull() & same, "fresh": F.col("detail").isNull() & ~same}
@@ -107,18 +110,19 @@ def ingest_files(
     # Files are read once; everything below starts from this table.
     seen = written(convert_files(known).select("file_path", "content_hash", "markdown", "detail", "same"), "files")
     skipped = _report(seen.filter(F.col("detail").isNotNull()), "skipped", detail=F.col("detail"))
-    unchanged = seen.filter("same").select("file_path").join(chunk_counts(store.chunks()), "file_path", "left")
+    unchanged = seen.filter("same").select("file_path").join(chunk_counts(near), "file_path", "left")
     docs = seen.filter("detail IS NULL AND NOT same")
-    chunks = written(chunk_documents(document_metadata(docs), config.chunk_size), "chunks")
+    chunks = written(chunk_documents(document_metadata(docs), config.chunk_size, config), "chunks")
     done = _report(chunk_counts(chunks), "dry-run" if dry_run else "ingested", F.col("n"))
     # The report is fixed before the store changes under its plans.
     report = written(
         skipped.unionByName(_report(unchanged, "unchanged", F.coalesce("n", F.lit(0)))).unionByName(done), "report"
     )
     if not dry_run:
-        store.replace_documents(chunks.drop("section_path"))
         texts = docs.select("file_path", F.col("markdown").alias("text"))
-        store.replace_links_of(texts, markdown.document_links(texts), FILE_LINKS)
+        with store.change():
+            store.replace_documents(chunks.drop("section_path"))
+            store.replace_links_of(texts, markdown.document_links(texts), FILE_LINKS)
     return report
 
 
@@ -151,9 +155,10 @@ def ingest_history(
 ) -> DataFrame:
     """One history document per file, with its links; reports per document."""
     picked = history.commits_per_file(heads, commit_files, max_commits, include, exclude)
-    rendered = history.render_histories(picked, heads, commit_files)
+    rendered = written(history.render_histories(picked, heads, commit_files), "rendered")
     hashed = rendered.withColumn("content_hash", content_hash(F.col("content")))
-    stored = changes.stored_hashes(store.chunks()).select("file_path", F.col("content_hash").alias("stored_hash"))
+    near = store.chunks_near(rendered)
+    stored = changes.stored_hashes(near).select("file_path", F.col("content_hash").alias("stored_hash"))
     same = F.col("content_hash").eqNullSafe(F.col("stored_hash")) & ~F.lit(force or dry_run)
     docs = written(hashed.join(stored, "file_path", "left").withColumn("same", same), "histories")
     fresh = docs.filter(~F.col("same"))
@@ -164,9 +169,9 @@ def ingest_history(
         F.lit("developer").alias("audience"),
         "content_hash",
     )
-    chunks = written(chunk_documents(bodies, config.chunk_size), "chunks")
+    chunks = written(chunk_documents(bodies, config.chunk_size, config), "chunks")
     counted = fresh.join(chunk_counts(chunks), "file_path", "left")
-    kept = docs.filter("same").join(chunk_counts(store.chunks()), "file_path", "left")
+    kept = docs.filter("same").join(chunk_counts(near), "file_path", "left")
     report = written(
         _report(counted, "dry-run" if dry_run else "ingested", F.coalesce("n", F.lit(0))).unionByName(
             _report(kept, "unchanged", F.coalesce("n", F.lit(0)))
@@ -174,15 +179,16 @@ def ingest_history(
         "report",
     )
     if not dry_run:
-        store.replace_documents(chunks.drop("section_path"))
-        store.insert_links(history.history_refs(fresh))
         in_scope = commit_files.filter(matches_globs(F.col("file"), include, exclude))
         pairs = graph.co_change_links(in_scope)
         ingested = fresh.select("file_path")
         both = pairs.join(ingested.withColumnRenamed("file_path", "source_path"), "source_path", "left_semi").join(
             ingested.withColumnRenamed("file_path", "target_path"), "target_path", "left_semi"
         )
-        store.insert_links(both)
+        with store.change():
+            store.replace_documents(chunks.drop("section_path"))
+            store.insert_links(history.history_refs(fresh))
+            store.insert_links(both)
     return report
 
 
@@ -200,9 +206,11 @@ def crawl_pages(
     force: bool = False,
     allow_private: bool = False,
     dry_run: bool = False,
+    page_links: int | None = None,
 ) -> DataFrame:
     """Ingest fetched pages: (url, html) with optional etag, last_modified,
-    is_plain_text, and ``robots`` as (host, rules).
+    is_plain_text, and ``robots`` as (host, rules).  All links of a page are kept unless
+    ``page_links`` bounds them.
 
     Returns (path, chunks, action, detail), one row per page.
     """
@@ -218,10 +226,9 @@ def crawl_pages(
     if dry_run:
         return _report(normal.withColumnRenamed("url", "file_path"), "dry-run")
     if robots is not None:
-        # A page stays one row, and every text of its host must let it pass.
-        rules = normal.select("url", "host").join(robots.select("host", "rules"), "host")
-        passed = rules.groupBy("url").agg(F.bool_and(web.allowed_by_robots(F.col("rules"), url, agent)).alias("passed"))
-        normal = normal.join(passed, "url", "left")
+        # A page stays one row; the texts of its host add up.
+        passed = web.robots_verdicts(normal.select("url"), web.robots_rules(robots), agent)
+        normal = normal.join(passed.withColumnRenamed("allowed", "passed"), "url", "left")
         allowed = F.coalesce("passed", F.lit(True))
     else:
         allowed = F.lit(True)
@@ -231,7 +238,7 @@ def crawl_pages(
     open_ = F.col("allowed") & ~F.col("private")
     rich = web.page_markdown(F.when(open_ & ~plain, F.col("html")), url)
     text = F.coalesce(F.when(open_ & plain, F.btrim("html", F.lit(WHITESPACE))), rich)
-    stored = changes.stored_hashes(store.chunks()).select(
+    stored = changes.stored_hashes(store.chunks_near(normal, "url")).select(
         F.col("file_path").alias("url"), F.col("content_hash").alias("stored_hash")
     )
     hashed = judged.withColumn("body", F.when(text != "", text)).withColumn("content_hash", content_hash(F.col("body")))
@@ -242,6 +249,7 @@ def crawl_pages(
     detail = (
         F.when(F.col("private"), "private host")
         .when(~F.col("allowed"), "robots")
+        .when((F.col("state") == "skipped") & (F.length("html") > web.MAX_PAGE), "too large to parse")
         .when(F.col("state") == "skipped", "no text in it")
         .when(F.col("state") == "unchanged", "same hash")
     )
@@ -252,7 +260,7 @@ def crawl_pages(
     )
     fresh = seen.filter("state = 'crawled'")
     docs = fresh.select("file_path", "body", F.col("host").alias("category"), F.lit("all").alias("audience"), "content_hash")
-    chunks = written(chunk_documents(docs, config.chunk_size), "chunks")
+    chunks = written(chunk_documents(docs, config.chunk_size, config), "chunks")
     report = written(
         seen.join(chunk_counts(chunks), "file_path", "left").select(
             F.col("file_path").alias("path"),
@@ -262,19 +270,20 @@ def crawl_pages(
         ),
         "report",
     )
-    store.replace_documents(chunks.drop("section_path"))
-    links = web.page_links(fresh.select(F.col("file_path").alias("url"), "html"), limit=web.PAGE_LINKS)
+    links = web.page_links(fresh.select(F.col("file_path").alias("url"), "html"), limit=page_links)
     edges = links.select(
         F.col("url").alias("source_path"), F.col("link").alias("target_path"), F.lit("links_to").alias("relation_type")
     )
-    store.replace_links_of(fresh, edges, ["links_to"])
     cached = seen.filter("state IN ('crawled', 'unchanged')").select(
         F.col("file_path").alias("url"),
         *[c for c in extras if c != "is_plain_text"],
         F.col("content_hash").alias("hash"),
         F.unix_timestamp().cast("double").alias("timestamp"),
     )
-    store.update_crawl_cache(cached)
+    with store.change():
+        store.replace_documents(chunks.drop("section_path"))
+        store.replace_links_of(fresh, edges, ["links_to"])
+        store.update_crawl_cache(cached)
     return report
 
 
@@ -308,16 +317,34 @@ def discover_from_sitemaps(sitemaps: DataFrame, base_host: str) -> DataFrame:
 
 
 def discover_by_links(
-    pages: DataFrame, base_url: str, depth: int = 1, max_urls: int = 5000, max_depth: int = 10
+    pages: DataFrame,
+    base_url: str | DataFrame,
+    depth: int = 1,
+    max_urls: int | None = None,
+    robots: DataFrame | None = None,
+    agent: str = "scriptorium",
 ) -> DataFrame:
-    """(url, depth) reachable from ``base_url`` over the links of fetched pages."""
+    """(url, depth) reachable from ``base_url``, or from a frame of them, over the links of
+    fetched pages.
+
+    ``robots`` (host, rules) keeps forbidden addresses out of every level, so nothing behind
+    them is found through them; the base address is given and stays.  The walk ends at
+    ``depth`` or where a level brings nothing new; ``max_urls`` cuts the result if given.
+    """
     spark = pages.sparkSession
-    edges = written(web.page_links(pages.withColumn("url", web.normalize_url(F.col("url")))).select("url", "link"), "edges")
-    start = spark.createDataFrame([(base_url,)], "url string").select(web.normalize_url(F.col("url")).alias("url"))
-    frontier = written(start, "level")
+    edges = web.page_links(pages.withColumn("url", web.normalize_url(F.col("url")))).select("url", "link")
+    if robots is not None:
+        passed = web.robots_verdicts(edges.select(F.col("link").alias("url")).distinct(), web.robots_rules(robots), agent)
+        edges = edges.join(passed.filter("NOT allowed").select(F.col("url").alias("link")), "link", "left_anti").select("url", "link")
+    edges = written(edges, "edges")
+    bases = spark.createDataFrame([(base_url,)], "url string") if isinstance(base_url, str) else base_url
+    frontier = written(bases.select(web.normalize_url(F.col("url")).alias("url")).distinct(), "level")
     found = frontier.withColumn("depth", F.lit(0))
-    for level in range(1, min(depth, max_depth) + 1):
+    for level in range(1, depth + 1):
         step = frontier.join(edges, "url").select(F.col("link").alias("url")).distinct()
         frontier = written(step.join(found.select("url"), "url", "left_anti"), "level")
+        if frontier.isEmpty():
+            break
         found = found.unionByName(frontier.withColumn("depth", F.lit(level)))
-    return found.orderBy("depth", "url").limit(max_urls)
+    ordered = found.orderBy("depth", "url")
+    return ordered if max_urls is None else ordered.limit(max_urls)

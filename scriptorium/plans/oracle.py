@@ -5,7 +5,7 @@ from __future__ import annotations
 # Fixed values, written out here so that a wrong one in the operators does not stay green:
 # the constants of BM25 and ts_rank, and the suffix tables of Porter's stemmer.
 K1, B, MIN_IDF = 1.2, 0.75, 1e-6
-TS_WEIGHT, TS_NORM, TS_POSITIONS = 0.1, 1.64493406685, 256
+TS_WEIGHT, TS_NORM = 0.1, 1.64493406685
 STEP2 = {'ational': 'ate',
  'tional': 'tion',
  'enci': 'ence',
@@ -146,7 +146,12 @@ def stems(source: str) -> str:
 # -- search -----------------------------------------------------------------
 
 
-def _occurrences(chunks: str, queries: str, stemmed: bool) -> str:
+def _stopped(text: str) -> str:
+    stop = ", ".join(f"'{w}'" for w in STOP_WORDS.split())
+    return f"list_filter({words(text)}, lambda t: t NOT IN ({stop}))"
+
+
+def _occurrences(chunks: str, queries: str, stemmed: bool, words=words) -> str:
     """CTEs c (chunks), occ (term counts), ql (query terms), stats."""
     vocab = "SELECT DISTINCT w FROM (SELECT w FROM tok UNION ALL SELECT w FROM qtok)"
     stem = stems(vocab) if stemmed else f"SELECT w, w AS x FROM ({vocab})"
@@ -185,26 +190,125 @@ def bm25(k: int = 5, chunks: str = CHUNKS, queries: str = QUERIES, stemmed: bool
   SELECT {_HIT} FROM ({_ranked('scored', k)}) r JOIN c USING (cid)"""
 
 
+def alternating(k: int = 20) -> str:
+    return f"""SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY turn, rank) AS rank, file_path, chunk_index, category, score
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id, category ORDER BY rank) AS turn FROM ({bm25(k)}))"""
+
+
 def _ts_scored() -> str:
     return f"""nt AS (SELECT query_id, count(*) AS n_terms FROM ql GROUP BY query_id),
-  ts AS (SELECT query_id, cid, round(sum(list_sum(list_transform(range(1, CAST(least(tf_title + tf_content, {TS_POSITIONS}) AS BIGINT) + 1),
+  ts AS (SELECT query_id, cid, round(sum(list_sum(list_transform(range(1, CAST(tf_title + tf_content AS BIGINT) + 1),
       lambda j: 1.0 / (j * j))) * {TS_WEIGHT / TS_NORM!r} / n_terms), 6) AS score
     FROM ql JOIN occ USING (term) JOIN nt USING (query_id) GROUP BY query_id, cid)"""
 
 
-def ts_rank(k: int = 5) -> str:
-    return f"""WITH {_occurrences(CHUNKS, QUERIES, True)}, {_ts_scored()}
+def ts_rank(k: int = 5, stopped: bool = False) -> str:
+    return f"""WITH {_occurrences(CHUNKS, QUERIES, True, _stopped if stopped else words)}, {_ts_scored()}
   SELECT {_HIT} FROM ({_ranked('ts', k)}) r JOIN c USING (cid)"""
 
 
-def _near() -> str:
+# The stop words of the English analyzer (fixed values).
+STOP_WORDS = """i me my myself we our ours ourselves you your yours yourself yourselves he him his himself
+    she her hers herself it its itself they them their theirs themselves what which who whom this
+    that these those am is are was were be been being have has had having do does did doing a an
+    the and but if or because as until while of at by for with about against between into through
+    during before after above below to from up down in out on off over under again further then
+    once here there when where why how all any both each few more most other some such no nor not
+    only own same so than too very s t can will just don should now"""
+# Of the first words of a passage: alternative, whether excluded, first word, number of words.
+_LITERALS = ((0, 0, 1, 2), (1, 0, 3, 1), (1, 0, 4, 1), (1, 1, 5, 1), (2, 0, 6, 1), (2, 1, 7, 2), (2, 0, 9, 2), (3, 1, 11, 1), (3, 0, 12, 1))
+
+
+def websearch(k: int = 10) -> str:
+    stop = ", ".join(f"'{w}'" for w in STOP_WORDS.split())
+    stopped = _stopped
+    literals = " UNION ALL ".join(
+        f"SELECT query_id, {alt} AS alt, {neg} AS neg, w[{at}:{at + n - 1}] AS lw FROM q" for alt, neg, at, n in _LITERALS
+    )
+    vocab = "SELECT DISTINCT w FROM (SELECT w FROM pos UNION ALL SELECT w FROM lw)"
+    return f"""WITH c AS (SELECT *, md5(chunk_index || '#' || file_path) AS cid, {stopped('title')} AS tw, {stopped('content')} AS cw FROM ({CHUNKS})),
+  q AS (SELECT item_id AS query_id, {words('text')} AS w FROM benchmark WHERE len({words('text')}) >= 12),
+  pos AS (SELECT cid, unnest(range(len(tw))) AS i, unnest(tw) AS w FROM c
+    UNION ALL SELECT cid, len(tw) + 1 + unnest(range(len(cw))), unnest(cw) FROM c),
+  lit AS (SELECT query_id, alt, neg, list_filter(lw, lambda t: t NOT IN ({stop})) AS lw FROM ({literals})),
+  lw AS (SELECT DISTINCT unnest(lw) AS w FROM lit),
+  st AS ({stems(vocab)}),
+  p AS (SELECT cid, i, x FROM pos JOIN st USING (w)),
+  l AS (SELECT DISTINCT query_id, alt, neg, a.x AS x1, b.x AS x2 FROM lit JOIN st a ON a.w = lw[1] LEFT JOIN st b ON b.w = lw[2]),
+  one AS (SELECT cid, x AS x1, NULL::VARCHAR AS x2, count(*) AS tf FROM p WHERE x IN (SELECT x1 FROM l) GROUP BY ALL),
+  two AS (SELECT p.cid, l2.x1, l2.x2, count(*) AS tf FROM (SELECT DISTINCT x1, x2 FROM l WHERE x2 IS NOT NULL) l2
+    JOIN p ON p.x = l2.x1 JOIN p r ON r.cid = p.cid AND r.i = p.i + 1 AND r.x = l2.x2 GROUP BY ALL),
+  occ AS (SELECT * FROM one UNION ALL SELECT * FROM two),
+  g AS (SELECT query_id, alt, count(*) FILTER (neg = 0) AS need FROM l GROUP BY ALL),
+  f AS (SELECT query_id, alt, cid, count(*) FILTER (neg = 0) AS has, count(*) FILTER (neg = 1) AS bad
+    FROM l JOIN occ ON occ.x1 = l.x1 AND occ.x2 IS NOT DISTINCT FROM l.x2 GROUP BY ALL),
+  hit AS (SELECT DISTINCT g.query_id, c.cid FROM g CROSS JOIN c LEFT JOIN f ON f.query_id = g.query_id AND f.alt = g.alt AND f.cid = c.cid
+    WHERE coalesce(f.has, 0) = need AND coalesce(f.bad, 0) = 0),
+  t AS (SELECT DISTINCT query_id, x1, x2 FROM l WHERE neg = 0),
+  n AS (SELECT query_id, count(*) AS n_terms FROM t GROUP BY query_id),
+  part AS (SELECT t.query_id, cid, list_sum(list_transform(range(1, tf + 1), lambda j: 1.0 / (j * j))) * {TS_WEIGHT / TS_NORM!r} / n_terms AS s
+    FROM t JOIN n USING (query_id) JOIN occ ON occ.x1 = t.x1 AND occ.x2 IS NOT DISTINCT FROM t.x2),
+  scored AS (SELECT hit.query_id, hit.cid, round(coalesce(sum(s), 0), 6) AS score FROM hit
+    LEFT JOIN part ON part.query_id = hit.query_id AND part.cid = hit.cid GROUP BY ALL)
+  SELECT {_HIT} FROM ({_ranked('scored', k)}) r JOIN c USING (cid)"""
+
+
+def _shown(k: int = 5) -> str:
+    """CTEs h (hits with raw tokens, the text before each, and their number), m (matches)."""
+    separators = r"[^\p{L}\p{N}\p{Co}]+"
+    return f"""{_occurrences(CHUNKS, QUERIES, True)}, {_bm25_scored()},
+  r AS (SELECT r.query_id, r.rank, c.* FROM ({_ranked('scored', k)}) r JOIN c USING (cid)),
+  h AS (SELECT query_id, rank, cid, file_path, chunk_index, cw, list_filter(string_split_regex(content, '{separators}'), lambda t: t <> '') AS raw,
+    CASE WHEN regexp_matches(content, '^{separators}') THEN regexp_extract_all(content, '{separators}')
+      ELSE list_concat([''], regexp_extract_all(content, '{separators}')) END AS before, CAST(len(cw) AS BIGINT) AS n FROM r),
+  w AS (SELECT query_id, rank, unnest(range(n)) AS i, unnest(cw) AS w FROM h),
+  m AS (SELECT query_id, rank, i, x FROM w JOIN st USING (w) WHERE (query_id, x) IN (SELECT (query_id, term) FROM ql))"""
+
+
+def snippet(size: int = 32) -> str:
+    return f"""WITH {_shown()},
+  s AS (SELECT DISTINCT query_id, rank, least(i, greatest(0, n - {size})) AS s FROM m JOIN h USING (query_id, rank)),
+  v AS (SELECT query_id, rank, s, count(DISTINCT x) AS kinds, count(*) AS total FROM s JOIN m USING (query_id, rank) WHERE i >= s AND i < s + {size} GROUP BY ALL),
+  b AS (SELECT query_id, rank, arg_max(s, struct_pack(kinds := kinds, total := total, s := -s)) AS s FROM v GROUP BY ALL),
+  a AS (SELECT query_id, rank, list(i) AS spots FROM m GROUP BY ALL),
+  d AS (SELECT h.*, coalesce(b.s, 0) AS a0, least(coalesce(b.s, 0) + {size}, n) AS a1, coalesce(spots, []) AS spots
+    FROM h LEFT JOIN b USING (query_id, rank) LEFT JOIN a USING (query_id, rank))
+  SELECT query_id, rank, file_path, chunk_index, CASE WHEN n > 0 AND len(raw) = n THEN
+    (CASE WHEN a0 > 0 THEN '...' ELSE before[1] END) || array_to_string(list_transform(range(a0, a1), lambda i:
+      (CASE WHEN i > a0 AND list_contains(spots, i - 1) AND NOT list_contains(spots, i) THEN '</mark>' ELSE '' END)
+      || (CASE WHEN i > a0 THEN before[i + 1] ELSE '' END)
+      || (CASE WHEN list_contains(spots, i) AND (i = a0 OR NOT list_contains(spots, i - 1)) THEN '<mark>' ELSE '' END) || raw[i + 1]
+      || (CASE WHEN i = a1 - 1 AND list_contains(spots, i) THEN '</mark>' ELSE '' END)), '')
+    || (CASE WHEN a1 < n THEN '...' ELSE coalesce(before[a1 + 1], '') END) END AS highlight FROM d"""
+
+
+def headline(longest: int = 35, shortest: int = 20) -> str:
+    return f"""WITH {_shown()},
+  pair AS (SELECT a.query_id, a.rank, a.i AS s, b.i AS e, b.x FROM m a JOIN m b ON b.query_id = a.query_id AND b.rank = a.rank AND b.i >= a.i AND b.i < a.i + {longest}),
+  kind AS (SELECT query_id, rank, s, x, min(e) AS e FROM pair GROUP BY ALL),
+  cover AS (SELECT query_id, rank, s, count(*) AS kinds, max(e) AS e FROM kind GROUP BY ALL),
+  b AS (SELECT query_id, rank, arg_max(struct_pack(s := s, e := e), struct_pack(kinds := kinds, size := s - e, s := -s)) AS c FROM cover GROUP BY ALL),
+  a AS (SELECT query_id, rank, list(i) AS spots FROM m GROUP BY ALL),
+  d AS (SELECT h.*, coalesce(c.s, 0) AS s0, greatest(coalesce(c.e + 1, 0), least(coalesce(c.s, 0) + {shortest}, n)) AS a1, coalesce(spots, []) AS spots
+    FROM h LEFT JOIN b USING (query_id, rank) LEFT JOIN a USING (query_id, rank)),
+  e AS (SELECT *, greatest(least(s0, a1 - {shortest}), 0) AS a0 FROM d)
+  SELECT query_id, rank, file_path, chunk_index, CASE WHEN n > 0 AND len(raw) = n THEN array_to_string(list_transform(range(a0, a1), lambda i:
+    (CASE WHEN i > a0 THEN before[i + 1] ELSE '' END) || (CASE WHEN list_contains(spots, i) THEN '<mark>' || raw[i + 1] || '</mark>' ELSE raw[i + 1] END)), '')
+    END AS headline FROM e"""
+
+
+EVERY_20TH_VECTOR = """SELECT vec_id AS query_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS query_embedding
+  FROM embeddings WHERE vec_id % 20 = 0"""
+
+
+def _near(queries: str = VECTOR_QUERIES) -> str:
     return f"""v AS (SELECT *, md5(chunk_index || '#' || file_path) AS cid FROM ({VECTORS})),
-  vq AS ({VECTOR_QUERIES}),
+  vq AS ({queries}),
   cosines AS (SELECT query_id, cid, round(list_cosine_similarity(query_embedding, embedding), 6) AS score FROM vq CROSS JOIN v)"""
 
 
-def knn(k: int = 10) -> str:
-    return f"""WITH {_near()} SELECT query_id, rank, file_path, chunk_index, category, score
+def knn(k: int = 10, queries: str = VECTOR_QUERIES) -> str:
+    return f"""WITH {_near(queries)} SELECT query_id, rank, file_path, chunk_index, category, score
   FROM ({_ranked('cosines', k)}) r JOIN v USING (cid)"""
 
 
@@ -380,7 +484,10 @@ ORPHANS = f"""WITH l AS (SELECT * FROM ({LINKS})), c AS ({CHUNKS}) SELECT file_p
 ONE_HOP = f"""WITH l AS ({WEB_LINKS}), {_ADJACENT}, c AS ({CHUNKS})
   SELECT path, related_path, relation_type, direction, title, category FROM adj
   LEFT JOIN c ON c.file_path = related_path AND chunk_index = 0 WHERE path IN (SELECT source_path FROM l)"""
-MULTI_HOP = f"""WITH RECURSIVE l AS ({LINKS}), {_ADJACENT}, {_HUBS.format(n=3)},
+# Every part and page whose id is divisible by 20.
+_STARTS = """h AS (SELECT 'git-history/parts/part-' || p_partkey || '.md' AS path FROM part WHERE p_partkey % 20 = 0
+  UNION SELECT normalized FROM ({normalized}) WHERE page_id % 20 = 0)"""
+MULTI_HOP = f"""WITH RECURSIVE l AS ({LINKS}), {_ADJACENT}, {_STARTS.format(normalized=NORMALIZED)},
   h1 AS (SELECT start, path, min(struct_pack(walk := walk, direction := direction, relation_type := relation_type)) AS seen FROM
     (SELECT h.path AS start, related_path AS path, [relation_type, related_path] AS walk, direction, relation_type FROM h JOIN adj ON adj.path = h.path)
     WHERE path <> start GROUP BY start, path),
@@ -391,7 +498,11 @@ MULTI_HOP = f"""WITH RECURSIVE l AS ({LINKS}), {_ADJACENT}, {_HUBS.format(n=3)},
   u AS (SELECT *, 1 AS hops FROM h1 UNION ALL SELECT *, 2 FROM h2)
   SELECT start AS path, path AS related_path, seen.relation_type AS relation_type, seen.direction AS direction, hops, position
   FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY hops, seen.walk) AS position FROM u)"""
-BY_TYPE = f"""WITH RECURSIVE l AS ({LINKS}), {_ADJACENT}, {_HUBS.format(n=3)},
+RELATED_TITLES = f"""WITH t AS (SELECT normalized, min(title) AS title, min(category) AS category FROM ({PAGE_CHUNKS})
+    JOIN ({NORMALIZED}) ON url = file_path GROUP BY normalized),
+  r AS ({MULTI_HOP.replace(LINKS, f"SELECT DISTINCT * FROM ({WEB_LINKS})").replace("SELECT 'git-history/parts/part-' || p_partkey || '.md' AS path FROM part WHERE p_partkey % 20 = 0", "SELECT CAST(NULL AS VARCHAR) AS path WHERE false")})
+  SELECT r.path, related_path, relation_type, direction, hops, position, title, category FROM r LEFT JOIN t ON normalized = related_path"""
+BY_TYPE = f"""WITH RECURSIVE l AS ({LINKS}), {_ADJACENT}, {_STARTS.format(normalized=NORMALIZED)},
   g(start, path, relation_type, hop) AS (SELECT h.path, related_path, relation_type, 1 FROM h JOIN adj ON adj.path = h.path
     UNION SELECT g.start, adj.related_path, adj.relation_type, hop + 1 FROM g JOIN adj ON adj.path = g.path WHERE hop < 2 AND adj.related_path <> g.start),
   m AS (SELECT start, path, relation_type, min(hop) AS hops FROM g WHERE path <> start GROUP BY ALL)
@@ -463,12 +574,32 @@ def packed(max_size: int = 2000) -> str:
 # Each turn is a second-level section of its conversation's markdown.
 HEADING_CHUNKS = """WITH s AS (SELECT conv_id, turn, role || ' ' || turn AS title,
     regexp_replace('## ' || role || ' ' || turn || chr(10) || chr(10) || text, '\\s+$', '') AS section FROM conversations),
-  k AS (SELECT * FROM s WHERE length(section) >= 20),
+  k AS (SELECT * FROM s),
   parts AS (SELECT conv_id, turn, 0 AS part, title, title AS head, CASE WHEN length(section) > 1000 THEN '## ' || title ELSE section END AS content FROM k
     UNION ALL SELECT conv_id, turn, 1, title || ' (cont.)', title, trim(substr(section, length('## ' || title) + 3)) FROM k WHERE length(section) > 1000)
   SELECT 'conversations/conv-' || conv_id || '.md' AS file_path, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, part) - 1 AS INTEGER) AS chunk_index,
     title, content, 'Conversation ' || conv_id || ' > ' || head AS section_path FROM parts"""
 
+STRUCTURED = r"""WITH a AS (SELECT doc_id, lang, source,
+    regexp_replace(regexp_replace(regexp_replace(text, '[#`|~]', '', 'g'), '\n\s*', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS b FROM documents),
+  n AS (SELECT *, '### One\n\n' || b AS one, '#### Deep\n\n' || b AS deep, '#### Open\n\n```\n' || replace(b, '\n', '\n\n') AS open FROM
+    (SELECT * FROM a)),
+  t AS (SELECT *, '### Two\n\n' || deep || '\n\n' || open AS two FROM n),
+  w AS (SELECT *, '## Nested\n\ntop ' || doc_id || '\n\n' || one || '\n\n' || two AS nested FROM t),
+  p AS (
+    SELECT doc_id, 0 AS k, 'Doc ' || doc_id AS title, '# Doc ' || doc_id || '\n\nLead ' || lang AS content, NULL AS head FROM w
+    UNION ALL SELECT doc_id, 1, 'Table', '## Table\n\n| a | b |\n| --- | --- |\n| ' || doc_id || ' | ' || source || ' |', 'Table' FROM w
+    UNION ALL SELECT doc_id, 2, 'Nested', CASE WHEN length(nested) <= 600 THEN nested ELSE '## Nested\n\ntop ' || doc_id END, 'Nested' FROM w
+    UNION ALL SELECT doc_id, 3, 'One', CASE WHEN length(one) <= 600 THEN one ELSE '### One' END, 'One' FROM w WHERE length(nested) > 600
+    UNION ALL SELECT doc_id, 4, 'One (cont.)', b, 'One' FROM w WHERE length(nested) > 600 AND length(one) > 600
+    UNION ALL SELECT doc_id, 5, 'Two', two, 'Two' FROM w WHERE length(nested) > 600 AND length(two) <= 600
+    UNION ALL SELECT doc_id, 6, 'Deep', CASE WHEN length(deep) <= 600 THEN deep ELSE '#### Deep' END, 'Deep' FROM w WHERE length(two) > 600
+    UNION ALL SELECT doc_id, 7, 'Deep (cont.)', b, 'Deep' FROM w WHERE length(two) > 600 AND length(deep) > 600
+    UNION ALL SELECT doc_id, 8, 'Open', CASE WHEN length(open) <= 600 THEN open ELSE '#### Open' END, 'Open' FROM w WHERE length(two) > 600
+    UNION ALL SELECT doc_id, 9, 'Open (cont.)', substr(open, length('#### Open') + 3), 'Open' FROM w WHERE length(two) > 600 AND length(open) > 600)
+  SELECT 'd/' || doc_id || '.md' AS file_path, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS chunk_index, title, content,
+    'Doc ' || doc_id || coalesce(' > ' || head, '') AS section_path FROM p""".replace(r"\n\s", "<>").replace(r"\n", "' || chr(10) || '").replace("<>", r"\n\s")
+
 # -- evaluation ---------------------------------------------------------------------
 
 QRELS = "SELECT item_id AS query_id, source || '/doc-' || doc_id || '.md' AS doc FROM benchmark b JOIN documents d ON contains(d.text, b.text)"
@@ -525,13 +656,26 @@ CONVERTED = """SELECT 'orders/' || o_orderkey || '.json' AS file_path, '# ' || o
     '- **o_orderkey**: ' || o_orderkey, '- **o_custkey**: ' || o_custkey, '- **o_orderstatus**: ' || o_orderstatus,
     '- **o_totalprice**: ' || o_totalprice, '- **o_orderdate**: ' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000'),
     '- **o_orderpriority**: ' || o_orderpriority) AS markdown FROM orders
-  UNION ALL SELECT source || '/doc-' || doc_id || '.txt', '# Doc ' || doc_id || chr(10) || chr(10) || text FROM documents"""
+  UNION ALL SELECT source || '/doc-' || doc_id || '.txt', '# Doc ' || doc_id || chr(10) || chr(10) || text FROM documents
+  UNION ALL SELECT 'customers/' || c_custkey || '.csv', '# ' || c_custkey || chr(10) || chr(10) || '| key | name | segment |' || chr(10) || '| --- | --- | --- |'
+    || chr(10) || '| ' || c_custkey || ' | ' || c_name || ' |  |' || chr(10) || '| ' || c_custkey || ' |  |  |' FROM customer
+  UNION ALL SELECT 'conv/' || conv_id || '.ipynb', string_agg(CASE WHEN role = 'user' THEN 'turn ' || turn || chr(10) || role
+    ELSE '```python' || chr(10) || 'turn ' || turn || chr(10) || role || chr(10) || '```' END, chr(10) || chr(10) ORDER BY turn) FROM conversations GROUP BY conv_id"""
 
 PRIVATE = """SELECT page_id, host, host IN ('localhost', 'localhost.localdomain', '') OR host LIKE '%.local' OR host LIKE '%.internal'
   OR regexp_matches(host, '^(10|127|192[.]168|169[.]254|172[.](1[6-9]|2[0-9]|3[01]))[.]') AS private
   FROM (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) AS host FROM pages)"""
 
-ROBOTS = "SELECT page_id, url, NOT starts_with(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/de/') AS allowed FROM pages"
+# The longest rule decides: a path to .html that is to end there, then the exception, then its base.
+_ALLOWED = """CASE WHEN regexp_matches(regexp_extract({u}, '^https?://[^/?#]*([^#]*)', 1), '^/.*\\.html$') THEN false
+  WHEN starts_with(regexp_extract({u}, '^https?://[^/?#]*([^#]*)', 1), '/de/1') THEN true
+  ELSE NOT starts_with(regexp_extract({u}, '^https?://[^/?#]*([^#]*)', 1), '/de/') END"""
+ROBOTS = f"SELECT page_id, url, {_ALLOWED.format(u='url')} AS allowed FROM pages"
+DISCOVERED = f"""WITH e AS (SELECT DISTINCT source_path AS a, target_path AS b FROM ({WEB_LINKS}) WHERE {_ALLOWED.format(u='target_path')}),
+  l0 AS (SELECT DISTINCT normalized AS url FROM ({NORMALIZED}) WHERE page_id % 20 = 0),
+  l1 AS (SELECT DISTINCT b AS url FROM e JOIN l0 ON a = url WHERE b NOT IN (SELECT url FROM l0)),
+  l2 AS (SELECT DISTINCT b AS url FROM e JOIN l1 ON a = url WHERE b NOT IN (SELECT url FROM l0 UNION ALL SELECT url FROM l1))
+  SELECT url, 0 AS depth FROM l0 UNION ALL SELECT url, 1 FROM l1 UNION ALL SELECT url, 2 FROM l2"""
 
 SITEMAP = f"SELECT url, link AS location FROM ({PAGE_LINKS})"
 

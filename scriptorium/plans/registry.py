@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import convert, markdown, text, web
-from scriptorium.functions.text import PLAIN, PORTER
+from scriptorium.functions.text import ENGLISH, PLAIN, PORTER
 from scriptorium.operators import (
+    blockmax,
     changes,
     documents,
     evaluation,
     fusion,
     graph,
+    headline,
     history,
+    ivf,
     keyword,
     lookup,
     rerank,
@@ -23,8 +26,8 @@ from scriptorium.operators import (
     vector,
 )
 from scriptorium.operators.index import with_chunk_id
-from scriptorium.plans import corpus, ingest, oracle
-from scriptorium.session import pin_small, written
+from scriptorium.plans import corpus, ingest, oracle, rankers
+from scriptorium.session import written
 from scriptorium.streaming.usage import trailing_savings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,27 +59,34 @@ def hit_columns(hits: DataFrame) -> DataFrame:
 # -- search -----------------------------------------------------------------
 
 
-def _searched(spark, sf, k=5, queries=None, config=keyword.DEFAULTS, ranker=keyword.bm25_scores, analyzer=PORTER):
-    index = corpus.chunk_index(spark, sf, analyzer)
+def _hits(spark, sf, k=5, queries=None, config=keyword.DEFAULTS, analyzer=PORTER, **options):
+    """Ranked hits with what the index itself knows of them; no text is read."""
     asked = corpus.text_queries(spark, sf) if queries is None else queries
-    return keyword.keyword_search(index, asked, corpus.chunks(spark, sf), k, config, ranker)
+    return blockmax.search(corpus.chunk_blocks(spark, sf, analyzer), asked, k, config, **options)
+
+
+def _searched(spark, sf, k=5):
+    """Ranked hits with their texts."""
+    hits = _hits(spark, sf, k).select("query_id", "chunk_id", "score", "rank")
+    _, small = keyword.bounded_queries(corpus.text_queries(spark, sf), k, keyword.DEFAULTS)
+    return keyword.attach_chunks(hits, corpus.chunks(spark, sf), small)
 
 
 @query("bm25_topk", oracle.bm25())
 def bm25_topk(spark, sf):
-    return hit_columns(_searched(spark, sf))
+    return hit_columns(_hits(spark, sf))
 
 
 @query("bm25_unstemmed", oracle.bm25(stemmed=False))
 def bm25_unstemmed(spark, sf):
-    return hit_columns(_searched(spark, sf, analyzer=PLAIN))
+    return hit_columns(_hits(spark, sf, analyzer=PLAIN))
 
 
 @query("bm25_content_only", oracle.bm25(title=0.0))
 def bm25_content_only(spark, sf):
     from dataclasses import replace
 
-    return hit_columns(_searched(spark, sf, config=replace(keyword.DEFAULTS, title_weight=0.0)))
+    return hit_columns(_hits(spark, sf, config=replace(keyword.DEFAULTS, title_weight=0.0)))
 
 
 def category_queries(spark, sf):
@@ -90,20 +100,25 @@ _CATEGORY_QUERIES = "SELECT item_id AS query_id, b.text AS query, source AS cate
 
 @query("bm25_category", oracle.bm25(queries=_CATEGORY_QUERIES, category=True))
 def bm25_category(spark, sf):
-    return hit_columns(_searched(spark, sf, queries=category_queries(spark, sf)))
+    return hit_columns(_hits(spark, sf, queries=category_queries(spark, sf)))
 
 
 @query("phrase_match", oracle.phrases())
 def phrase_match(spark, sf):
     pages = corpus.page_chunks(spark, sf)
-    index = corpus.shared_index(corpus.spread(pages), "pages", sf, PLAIN)
+    index = corpus.shared_blocks(corpus.spread(pages), "pages", sf, PLAIN)
     hosts = pages.select(F.col("category").alias("query_id"), F.col("category").alias("query")).distinct()
-    return hit_columns(keyword.keyword_search(index, hosts, pages, 5))
+    return hit_columns(blockmax.search(index, hosts, 5))
 
 
 @query("ts_rank_topk", oracle.ts_rank())
 def ts_rank_topk(spark, sf):
-    return hit_columns(_searched(spark, sf, ranker=keyword.ts_rank_scores))
+    return hit_columns(_hits(spark, sf, ranker="ts_rank"))
+
+
+@query("ts_rank_english", oracle.ts_rank(stopped=True))
+def ts_rank_english(spark, sf):
+    return hit_columns(_hits(spark, sf, ranker="ts_rank", analyzer=ENGLISH))
 
 
 @query("knn_topk", oracle.knn())
@@ -113,6 +128,16 @@ def knn_topk(spark, sf):
     return hit_columns(best.join(vectors.drop("embedding"), "chunk_id"))
 
 
+@query("knn_lists", oracle.knn(10, oracle.EVERY_20TH_VECTOR))
+def knn_lists(spark, sf):
+    """Every vector whose id is divisible by 20 against all, through inverted lists."""
+    vectors = corpus.document_vectors(spark, sf)
+    index = ivf.open_lists(spark, corpus.shared(spark, sf, "lists", None, lambda path: ivf.build_lists(vectors, path)))
+    queries = corpus.table(spark, sf, "embeddings").filter(F.col("vec_id") % 20 == 0)
+    best = ivf.nearest(index, queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding")), 10)
+    return hit_columns(best.join(with_chunk_id(vectors).drop("embedding"), "chunk_id"))
+
+
 @query("hybrid_rrf", oracle.hybrid_rrf())
 def hybrid_rrf(spark, sf):
     index = corpus.chunk_index(spark, sf, PORTER)
@@ -134,8 +159,7 @@ def hybrid_linear(spark, sf):
 
 @query("collapse_by_doc", oracle.collapse())
 def collapse_by_doc(spark, sf):
-    index, chunks = corpus.chunk_index(spark, sf, PORTER), corpus.chunks(spark, sf)
-    return hit_columns(keyword.keyword_search(index, corpus.text_queries(spark, sf), chunks, 20, by_document=True))
+    return hit_columns(_hits(spark, sf, 20, by_document=True))
 
 
 @query("search_preview", oracle.preview())
@@ -143,6 +167,37 @@ def search_preview(spark, sf):
     return rerank.format_hits(_searched(spark, sf)).drop("highlight")
 
 
+@query("ranker_udtf", oracle.alternating())
+def ranker_udtf(spark, sf):
+    """The first 20 hits of every passage through a ranker of the caller's, from SQL."""
+    rankers.register_ranker(spark, "alternate_categories", rankers.one_of_each_category)
+    hits = hit_columns(_hits(spark, sf, 20))
+    return spark.sql("SELECT * FROM alternate_categories(TABLE({hits}) PARTITION BY query_id ORDER BY rank)", hits=hits)
+
+
+def web_queries(spark, sf):
+    """The first words of each passage with quotes, alternatives and exclusions."""
+    w = lambda i: F.get("w", F.lit(i))
+    words = PLAIN.words(F.col("text"))
+    asked = corpus.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("w")).filter(F.size("w") >= 12)
+    query = F.concat(
+        F.lit('"'), w(0), F.lit(" "), w(1), F.lit('" or '), w(2), F.lit(" "), w(3), F.lit(" -"), w(4), F.lit(" OR "), w(5), F.lit(' -"'), w(6),
+        F.lit(" "), w(7), F.lit('" "'), w(8), F.lit(" "), w(9), F.lit('" or -'), w(10), F.lit(" "), w(11),
+    )
+    return asked.select("query_id", query.alias("query"))
+
+
+@query("websearch", oracle.websearch())
+def websearch(spark, sf):
+    return hit_columns(_hits(spark, sf, 10, web_queries(spark, sf), analyzer=ENGLISH, ranker="ts_rank", syntax="web"))
+
+
+@query("headline", oracle.headline())
+def headline_(spark, sf):
+    shown = headline.headlines(_searched(spark, sf), corpus.text_queries(spark, sf), PORTER)
+    return shown.select("query_id", "rank", "file_path", "chunk_index", "headline")
+
+
 def path_queries(spark, sf):
     """Every source folder and every conversation file as a path query."""
     folders = corpus.table(spark, sf, "documents").select(F.concat("source", F.lit("/")).alias("query")).distinct()
@@ -233,9 +288,7 @@ def pending_embeddings(spark, sf):
 def category_any(spark, sf):
     docs, labels = corpus.table(spark, sf, "documents"), corpus.table(spark, sf, "labels")
     wanted = docs.join(labels.filter("toxic = 1"), "doc_id").select(F.col("source").alias("category")).distinct()
-    # The list of categories is an argument of the search, so it is a literal.
-    names = [r["category"] for r in pin_small(wanted, 10_000, 2**20).rows]
-    chosen = corpus.chunks(spark, sf).filter(F.col("category").isin(names))
+    chosen = corpus.chunks(spark, sf).join(wanted, "category", "left_semi")
     return chosen.select("file_path", "chunk_index", "category")
 
 
@@ -310,12 +363,15 @@ def web_links(spark, sf):
 
 
 def all_links(spark, sf):
-    files = corpus.commit_files(spark, sf)
-    return (
-        graph.co_change_links(files)
-        .unionByName(history.history_refs(files.select("file").distinct()))
-        .unionByName(web_links(spark, sf))
-    )
+    """Co-change, history and page links as one table, written once for all queries on it."""
+
+    def build(path: str) -> None:
+        files = corpus.commit_files(spark, sf)
+        links = graph.co_change_links(files).unionByName(history.history_refs(files.select("file").distinct()))
+        links.unionByName(web_links(spark, sf)).write.parquet(path)
+
+    schema = "source_path string, target_path string, relation_type string"
+    return spark.read.schema(schema).parquet(corpus.shared(spark, sf, "links", None, build))
 
 
 @query("normalize_url", oracle.NORMALIZED)
@@ -340,21 +396,32 @@ def related_1hop(spark, sf):
     return graph.related_one_hop(links, starts, chunks=corpus.chunks(spark, sf))
 
 
-def hub_starts(spark, sf, links):
-    """The most connected paths, where a walk through the graph begins."""
-    return graph.hubs(links, corpus.chunks(spark, sf), 3).select("path")
+def walk_starts(spark, sf):
+    """Every part and every page whose id is divisible by 20."""
+    parts = corpus.table(spark, sf, "part").filter(F.col("p_partkey") % 20 == 0)
+    pages = corpus.table(spark, sf, "pages").filter(F.col("page_id") % 20 == 0)
+    histories = parts.select(F.concat(F.lit("git-history/parts/part-"), "p_partkey", F.lit(".md")).alias("path"))
+    return histories.union(pages.select(web.normalize_url(F.col("url")))).distinct()
 
 
 @query("related_multihop", oracle.MULTI_HOP)
 def related_multihop(spark, sf):
-    links = written(all_links(spark, sf), "links")
-    return graph.related(links, hub_starts(spark, sf, links), depth=2)
+    return graph.related(all_links(spark, sf), walk_starts(spark, sf), depth=2)
 
 
 @query("related_by_type", oracle.BY_TYPE)
 def related_by_type(spark, sf):
-    links = written(all_links(spark, sf), "links")
-    return graph.related_by_type(links, hub_starts(spark, sf, links), depth=2)
+    return graph.related_by_type(all_links(spark, sf), walk_starts(spark, sf), depth=2)
+
+
+@query("related_titles", oracle.RELATED_TITLES)
+def related_titles(spark, sf):
+    """Pages up to two links of one type away from every 20th page, with their titles."""
+    pages = corpus.page_chunks(spark, sf).withColumn("file_path", web.normalize_url(F.col("file_path")))
+    titles = pages.groupBy("file_path").agg(F.min("title").alias("title"), F.min("category").alias("category")).withColumn("chunk_index", F.lit(0))
+    starts = corpus.table(spark, sf, "pages").filter(F.col("page_id") % 20 == 0).select(web.normalize_url(F.col("url")).alias("path"))
+    found = graph.related(all_links(spark, sf), starts, depth=2, relation_type="links_to", chunks=titles)
+    return found.select("path", "related_path", "relation_type", "direction", "hops", "position", "title", "category")
 
 
 @query("graph_hubs", oracle.HUBS)
@@ -498,6 +565,21 @@ def heading_chunks(spark, sf):
     return chunked.select("file_path", "chunk_index", "c.title", "c.content", "c.section_path")
 
 
+@query("structured_chunks", oracle.STRUCTURED)
+def structured_chunks(spark, sf):
+    """Every document as markdown with text before its sections, a table, three levels of
+    headings and a fence that is never closed."""
+    bare = F.regexp_replace(F.regexp_replace("text", "[#`|~]", ""), r"\n\s*", "\n")
+    docs = corpus.spread(corpus.table(spark, sf, "documents")).withColumn("b", F.regexp_replace(bare, r"^\s+|\s+$", ""))
+    lines = F.concat(
+        F.lit("# Doc "), "doc_id", F.lit("\n\nLead "), "lang", F.lit("\n\n## Table\n\n| a | b |\n| --- | --- |\n| "), "doc_id", F.lit(" | "), "source",
+        F.lit(" |\n\n## Nested\n\ntop "), "doc_id", F.lit("\n\n### One\n\n"), "b", F.lit("\n\n### Two\n\n#### Deep\n\n"), "b",
+        F.lit("\n\n#### Open\n\n```\n"), F.replace("b", F.lit("\n"), F.lit("\n\n")),
+    )
+    named = docs.select(F.concat(F.lit("d/"), "doc_id", F.lit(".md")).alias("file_path"), lines.alias("body"))
+    return ingest.chunk_documents(named, 600)
+
+
 # -- evaluation ---------------------------------------------------------------------
 
 
@@ -512,9 +594,8 @@ def judgements(spark, sf):
 
 
 def document_hits(spark, sf, k=10):
-    docs = corpus.document_chunks(spark, sf)
-    index = corpus.shared_index(corpus.spread(docs), "documents", sf, PORTER)
-    hits = keyword.keyword_search(index, corpus.text_queries(spark, sf), docs, k)
+    index = corpus.shared_blocks(corpus.spread(corpus.document_chunks(spark, sf)), "documents", sf, PORTER)
+    hits = blockmax.search(index, corpus.text_queries(spark, sf), k)
     return hits.select("query_id", F.col("file_path").alias("doc"), "rank")
 
 
@@ -569,9 +650,9 @@ def cross_rerank(spark, sf):
     return hits.select("query_id", "rank", "file_path", "chunk_index", "score", "rerank_score")
 
 
-@query("highlight")
+@query("highlight", oracle.snippet())
 def highlight(spark, sf):
-    marked = rerank.highlight(_searched(spark, sf), corpus.text_queries(spark, sf), PORTER)
+    marked = headline.snippets(_searched(spark, sf), corpus.text_queries(spark, sf), PORTER)
     return marked.select("query_id", "rank", "file_path", "chunk_index", "highlight")
 
 
@@ -592,12 +673,24 @@ def history_chunks(spark, sf):
 
 @query("file_conversion", oracle.CONVERTED)
 def file_conversion(spark, sf):
-    """Orders as JSON files and documents as text files, converted to markdown."""
+    """Orders as JSON files, customers as CSV files, conversations as notebooks and documents
+    as text files, converted to markdown."""
     orders = corpus.table(spark, sf, "orders")
     as_json = orders.select(F.concat(F.lit("orders/"), "o_orderkey", F.lit(".json")).alias("file_path"), F.to_json(F.struct("*")).alias("text"))
     docs = corpus.table(spark, sf, "documents")
     as_text = docs.select(F.concat("source", F.lit("/doc-"), "doc_id", F.lit(".txt")).alias("file_path"), "text")
-    files = as_json.unionByName(as_text)
+    cell = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    customers = corpus.table(spark, sf, "customer")
+    row = F.concat(F.lit("key,name,segment\n"), "c_custkey", F.lit(","), cell("c_name"), F.lit(",\n"), "c_custkey", F.lit("\n"))
+    as_csv = customers.select(F.concat(F.lit("customers/"), "c_custkey", F.lit(".csv")).alias("file_path"), row.alias("text"))
+    turns = corpus.table(spark, sf, "conversations")
+    kind = F.when(F.col("role") == "user", "markdown").otherwise("code")
+    one = F.struct(kind.alias("cell_type"), F.array(F.concat(F.lit("turn "), "turn", F.lit("\n")), F.col("role")).alias("source"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", one.alias("cell")))), lambda t: t["cell"])
+    meta = F.struct(F.struct(F.lit("python").alias("language")).alias("kernelspec")).alias("metadata")
+    books = turns.groupBy("conv_id").agg(ordered.alias("cells"))
+    as_book = books.select(F.concat(F.lit("conv/"), "conv_id", F.lit(".ipynb")).alias("file_path"), F.to_json(F.struct("cells", meta)).alias("text"))
+    files = as_json.unionByName(as_text).unionByName(as_csv).unionByName(as_book)
     return files.select("file_path", convert.to_markdown(F.col("text"), F.col("file_path")).alias("markdown"))
 
 
@@ -608,12 +701,28 @@ def private_hosts(spark, sf):
     return pages.withColumn("private", web.private_host(F.col("host")))
 
 
+ROBOTS_TEXT = "User-agent: *\nDisallow: /de/  # German pages\nAllow: /de/1\nDisallow: /*.html$\n\nUser-agent: other\nDisallow: /\n"
+
+
+def host_rules(spark, sf):
+    """Every host forbids its German pages but some, and pages that end in .html."""
+    hosts = corpus.table(spark, sf, "pages").select(web.url_host(F.col("url")).alias("host")).distinct()
+    return web.robots_rules(hosts.select("host", F.lit(ROBOTS_TEXT).alias("rules")))
+
+
 @query("robots_filter", oracle.ROBOTS)
 def robots_filter(spark, sf):
-    """Every host's rules forbid its German pages."""
-    rules = F.lit("User-agent: *\nDisallow: /de/\n")
     pages = corpus.table(spark, sf, "pages").select("page_id", "url")
-    return pages.withColumn("allowed", web.allowed_by_robots(rules, F.col("url"), "scriptorium"))
+    return pages.join(web.robots_verdicts(pages.select("url").distinct(), host_rules(spark, sf), "scriptorium"), "url").select("page_id", "url", "allowed")
+
+
+@query("link_discovery", oracle.DISCOVERED)
+def link_discovery(spark, sf):
+    """Addresses up to two links from every page whose id is divisible by 20, as robots allow."""
+    pages = corpus.table(spark, sf, "pages")
+    robots = pages.select(web.url_host(F.col("url")).alias("host"), F.lit(ROBOTS_TEXT).alias("rules")).distinct()
+    bases = pages.filter(F.col("page_id") % 20 == 0).select("url")
+    return ingest.discover_by_links(pages.select("url", "html"), bases, 2, robots=robots)
 
 
 @query("sitemap_discovery", oracle.SITEMAP)
@@ -622,7 +731,9 @@ def sitemap_discovery(spark, sf):
     entry = F.concat(F.lit("<url><loc>"), F.replace("link", F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
     links = web.page_links(corpus.table(spark, sf, "pages"))
     maps = links.groupBy("url").agg(F.array_join(F.array_sort(F.collect_list(entry)), "").alias("entries"))
-    xml = F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), "entries", F.lit("</urlset>"))
+    # Half of the hosts' files give the namespace a prefix.
+    given = F.when(F.crc32("url") % 2 == 0, F.regexp_replace("entries", "<(/?)(url|loc)>", "<$1sm:$2>")).otherwise(F.col("entries"))
+    xml = F.concat(F.lit('<urlset xmlns:sm="http://www.sitemaps.org/schemas/sitemap/0.9">'), given, F.lit("</urlset>"))
     return maps.select("url", F.explode(web.sitemap_urls(xml)).alias("location"))
 
 

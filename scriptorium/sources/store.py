@@ -2,14 +2,22 @@
 
 Plain partitioned Parquet.  Chunks, postings and terms are partitioned by a
 hash bucket of the document path, links by that of their source, the log by
-day.  A change rewrites only the buckets it touches, by dynamic partition
-overwrite, so replacing a few documents does not read or write the rest.
+day.  A change reads only the buckets it touches and writes them anew into a
+generation of its own; a manifest says which generation each bucket is read
+from.  The manifest of a change is published by one rename after all its tables
+are written, so readers see all of a change or nothing of it, and a failed one
+leaves the store as it was.  Generations pile up no further than
+MAX_GENERATIONS, then the small ones are merged; ``vacuum`` removes files that
+no manifest needs.  One writer at a time: a second one fails to publish.
 """
 
 from __future__ import annotations
 
+import json
 import os
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,12 +27,20 @@ from scriptorium import schema as S
 from scriptorium.functions.text import PORTER, Analyzer
 from scriptorium.operators import changes
 from scriptorium.operators.index import POSTINGS, TERMS, TextIndex, compute_postings, compute_terms
+from scriptorium.operators.ranking import top_k
 from scriptorium.session import table_exists, written
 
 BUCKET = T.StructField("bucket", T.IntegerType())
 DAY = T.StructField("day", T.DateType())
 DEFAULT_BUCKETS = 64
-LAYOUT = "layout"
+GENERATION = T.StructField("gen", T.StringType())
+LAYOUT, MANIFEST = "layout", "manifest"
+MAX_GENERATIONS = 32
+
+
+BUCKETED = {"chunks": S.CHUNKS, "postings": POSTINGS, "terms": TERMS, "links": S.LINKS, "crawl_cache": S.CRAWL_CACHE}
+# The column by which a bucket's files are sorted.
+SORTED = {"chunks": "file_path", "postings": "term", "terms": "term", "links": "source_path"}
 
 
 class DocStore:
@@ -37,6 +53,8 @@ class DocStore:
         if stored and buckets and stored != buckets:
             raise ValueError(f"the store at {root} has {stored} buckets, not {buckets}")
         self.buckets = stored or buckets or DEFAULT_BUCKETS
+        # Bucket to generation by table, while a change is under way.
+        self._pending: dict[str, dict[int, str]] | None = None
 
     # -- layout ---------------------------------------------------------------
 
@@ -73,11 +91,113 @@ class DocStore:
     def bucket_of(self, path: Column) -> Column:
         return F.pmod(F.xxhash64(path), F.lit(self.buckets)).cast("int")
 
+    # -- generations ------------------------------------------------------------
+
+    def _manifests(self) -> list[int]:
+        fs, target = self._fs(self.path(MANIFEST))
+        if not fs.exists(target):
+            return []
+        names = [f.getPath().getName() for f in fs.listStatus(target)]
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[:1].isdigit())
+
+    def _published(self) -> tuple[int, dict[str, dict[int, str]]]:
+        """Number and content of the newest manifest."""
+        known = self._manifests()
+        if not known:
+            return 0, {}
+        fs, target = self._fs(os.path.join(self.path(MANIFEST), f"{known[-1]:020d}.json"))
+        stream = fs.open(target)
+        try:
+            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        tables = json.loads(text)
+        return known[-1], {t: {b: g for g, buckets in gens.items() for b in buckets} for t, gens in tables.items()}
+
+    def _publish(self, number: int, state: dict[str, dict[int, str]]) -> None:
+        content = {table: self._by_generation(held) for table, held in state.items()}
+        folder = self.path(MANIFEST)
+        fs, draft = self._fs(os.path.join(folder, f".draft-{uuid.uuid4().hex}"))
+        stream = fs.create(draft, False)
+        try:
+            stream.write(bytearray(json.dumps(content).encode()))
+        finally:
+            stream.close()
+        _, target = self._fs(os.path.join(folder, f"{number:020d}.json"))
+        if fs.exists(target) or not fs.rename(draft, target):
+            raise RuntimeError(f"the store at {self.root} was changed by another writer")
+
+    @staticmethod
+    def _by_generation(held: dict[int, str]) -> dict[str, list[int]]:
+        out: dict[str, list[int]] = {}
+        for bucket, generation in sorted(held.items()):
+            out.setdefault(generation, []).append(bucket)
+        return out
+
+    @contextmanager
+    def change(self) -> Iterator[None]:
+        """Everything that is written inside becomes visible together at the end, or not at all."""
+        if self._pending is not None:
+            yield
+            return
+        number, before = self._published()
+        self._pending = {table: dict(held) for table, held in before.items()}
+        try:
+            yield
+            for table, schema in BUCKETED.items():
+                if len(set(self._pending.get(table, {}).values())) > MAX_GENERATIONS:
+                    self._merge_small(table, schema)
+            if self._pending != before:
+                self._keep_layout()
+                self._publish(number + 1, self._pending)
+        finally:
+            self._pending = None
+
+    def _state(self) -> dict[str, dict[int, str]]:
+        return self._published()[1] if self._pending is None else self._pending
+
+    def _merge_small(self, table: str, schema: T.StructType) -> None:
+        """One generation of all buckets but those of the largest generation."""
+        held = self._by_generation(self._pending[table])
+        largest = max(held, key=lambda g: len(held[g]))
+        moved = sorted(b for g, buckets in held.items() if g != largest for b in buckets)
+        rows = self._open(table, schema, BUCKET).filter(F.col("bucket").isin(moved))
+        self._overwrite(table, schema, rows, moved, SORTED.get(table))
+
+    def vacuum(self) -> int:
+        """Delete the generations and manifests that the newest manifest does not need; returns
+        how many.  Readers that opened an older state must have ended."""
+        number, state = self._published()
+        gone = 0
+        for table in BUCKETED:
+            used = set(state.get(table, {}).values())
+            fs, target = self._fs(self.path(table))
+            for entry in fs.listStatus(target) if fs.exists(target) else []:
+                if entry.getPath().getName().removeprefix("gen=") not in used:
+                    fs.delete(entry.getPath(), True)
+                    gone += 1
+        for old in self._manifests():
+            if old < number:
+                fs, target = self._fs(os.path.join(self.path(MANIFEST), f"{old:020d}.json"))
+                fs.delete(target, False)
+        return gone
+
     def _open(self, table: str, schema: T.StructType, partition: T.StructField) -> DataFrame:
         full = T.StructType([*schema.fields, partition])
-        if not self.exists(table):
+        if partition != BUCKET:
+            if not self.exists(table):
+                return self.spark.createDataFrame([], full)
+            return self.spark.read.schema(full).parquet(self.path(table))
+        held = self._by_generation(self._state().get(table, {}))
+        if not held:
             return self.spark.createDataFrame([], full)
-        return self.spark.read.schema(full).parquet(self.path(table))
+        base = self.path(table)
+        folders = [os.path.join(base, f"gen={g}") for g in held]
+        rows = self.spark.read.schema(T.StructType([*full.fields, GENERATION])).option("basePath", base).parquet(*folders)
+        current = F.lit(False)
+        for generation, buckets in held.items():
+            current = current | ((F.col("gen") == generation) & F.col("bucket").isin(buckets))
+        return rows.filter(current).select(full.names)
 
     def init_schema(self) -> None:
         """Create every table that is missing, empty and typed."""
@@ -97,16 +217,21 @@ class DocStore:
     # -- reads ------------------------------------------------------------------
 
     def _bucketed_chunks(self) -> DataFrame:
-        # A touched bucket always holds one empty row, so that a bucket whose
-        # last document went away is overwritten as well.
-        return self._open("chunks", S.CHUNKS, BUCKET).filter(F.col("file_path").isNotNull())
+        return self._open("chunks", S.CHUNKS, BUCKET)
 
     def _bucketed_links(self) -> DataFrame:
-        return self._open("links", S.LINKS, BUCKET).filter(F.col("source_path").isNotNull())
+        return self._open("links", S.LINKS, BUCKET)
 
     def chunks(self) -> DataFrame:
         return self._bucketed_chunks().drop("bucket")
 
+    def chunks_near(self, paths: DataFrame, column: str = "file_path") -> DataFrame:
+        """Chunks of the buckets in which ``paths`` lie: what a change to them can meet.
+
+        Other partitions are not read, so a small change costs the same in a large store.
+        """
+        return self._in(self._touched(paths, column)).drop("bucket")
+
     def document_chunks(self, path: str) -> DataFrame:
         """Chunks of one document: only its bucket is read."""
         return self.in_bucket(self._bucketed_chunks(), path).drop("bucket").filter(F.col("file_path") == path)
@@ -122,12 +247,11 @@ class DocStore:
         return self._open("access_log", S.ACCESS_LOG, DAY).drop("day")
 
     def crawl_cache(self) -> DataFrame:
-        return self._open("crawl_cache", S.CRAWL_CACHE, BUCKET).filter(F.col("url").isNotNull()).drop("bucket")
+        return self._open("crawl_cache", S.CRAWL_CACHE, BUCKET).drop("bucket")
 
     def index(self) -> TextIndex:
-        postings = self._open("postings", POSTINGS, BUCKET).filter(F.col("term").isNotNull())
-        terms = self._open("terms", TERMS, BUCKET).filter(F.col("term").isNotNull())
-        return TextIndex(postings, terms.drop("bucket"), self.analyzer)
+        terms = self._open("terms", TERMS, BUCKET)
+        return TextIndex(self._open("postings", POSTINGS, BUCKET), terms.drop("bucket"), self.analyzer)
 
     def search_chunks(self) -> DataFrame:
         """Chunks with their bucket, by which search hits find their texts."""
@@ -140,37 +264,38 @@ class DocStore:
         return sorted(r["bucket"] for r in rows)
 
     def _overwrite(self, table: str, schema: T.StructType, rows: DataFrame, touched: list[int], sort: str | None = None) -> None:
-        self._keep_layout()
+        """Write the touched buckets anew; inside ``change`` only."""
         full = T.StructType([*schema.fields, BUCKET])
-        marks = self.spark.createDataFrame([(b,) for b in touched], T.StructType([BUCKET]))
-        out = S.with_missing_columns(rows, full).unionByName(S.with_missing_columns(marks, full))
-        out = out.hint("rebalance", "bucket")
+        out = S.with_missing_columns(rows, full).hint("rebalance", "bucket")
         if sort:
             out = out.sortWithinPartitions("bucket", sort)
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path(table))
+        generation = uuid.uuid4().hex
+        out.write.partitionBy("bucket").parquet(os.path.join(self.path(table), f"gen={generation}"))
+        self._pending.setdefault(table, {}).update(dict.fromkeys(touched, generation))
 
     def _rewrite_chunks(self, touched: list[int], change: Callable[[DataFrame], DataFrame]) -> None:
         if not touched:
             return
-        old = self._in(touched)
-        new = change(old.drop("bucket")).withColumn("bucket", self.bucket_of(F.col("file_path")))
-        self._overwrite("chunks", S.CHUNKS, new, touched, sort="file_path")
-        self._reindex(touched)
+        with self.change():
+            old = self._in(touched)
+            new = change(old.drop("bucket")).withColumn("bucket", self.bucket_of(F.col("file_path")))
+            self._overwrite("chunks", S.CHUNKS, new, touched, SORTED["chunks"])
+            self._reindex(touched)
 
     def _reindex(self, touched: list[int]) -> None:
         """Bring postings and terms of the touched buckets up to date."""
-        self._overwrite("postings", POSTINGS, compute_postings(self._in(touched), self.analyzer, ("bucket",)), touched, sort="term")
-        postings = self._open("postings", POSTINGS, BUCKET).filter(
-            F.col("bucket").isin(touched) & F.col("term").isNotNull()
-        )
-        self._overwrite("terms", TERMS, compute_terms(postings, ("bucket",)), touched, sort="term")
+        computed = compute_postings(self._in(touched), self.analyzer, ("bucket",))
+        self._overwrite("postings", POSTINGS, computed, touched, SORTED["postings"])
+        postings = self._open("postings", POSTINGS, BUCKET).filter(F.col("bucket").isin(touched))
+        self._overwrite("terms", TERMS, compute_terms(postings, ("bucket",)), touched, SORTED["terms"])
 
     def _rewrite_links(self, touched: list[int], change: Callable[[DataFrame], DataFrame]) -> None:
         if not touched:
             return
-        old = self._bucketed_links().filter(F.col("bucket").isin(touched))
-        new = change(old.drop("bucket")).withColumn("bucket", self.bucket_of(F.col("source_path")))
-        self._overwrite("links", S.LINKS, new, touched, sort="source_path")
+        with self.change():
+            old = self._bucketed_links().filter(F.col("bucket").isin(touched))
+            new = change(old.drop("bucket")).withColumn("bucket", self.bucket_of(F.col("source_path")))
+            self._overwrite("links", S.LINKS, new, touched, SORTED["links"])
 
     # -- document changes -----------------------------------------------------------
 
@@ -196,12 +321,16 @@ class DocStore:
         gone = written(paths.select("file_path").distinct(), "paths")
         touched = self._touched(gone, "file_path")
         n_chunks = self._in(touched).join(gone, "file_path", "left_semi").count()
-        self._rewrite_chunks(touched, lambda old: old.join(gone, "file_path", "left_anti"))
+        with self.change():
+            self._rewrite_chunks(touched, lambda old: old.join(gone, "file_path", "left_anti"))
+            return {"chunks_deleted": n_chunks, "links_deleted": self._delete_links_of(gone)}
+
+    def _delete_links_of(self, gone: DataFrame) -> int:
         edges = self.links().select("source_path", "target_path", "relation_type")
         ends = edges.withColumn("file_path", F.explode(F.array("source_path", "target_path")))
         cut = written(ends.join(gone, "file_path", "left_semi").drop("file_path").distinct(), "edges")
         self._rewrite_links(self._touched(cut, "source_path"), lambda old: changes.delete_documents(gone, old, gone)[1])
-        return {"chunks_deleted": n_chunks, "links_deleted": cut.count()}
+        return cut.count()
 
     def _in(self, touched: list[int]) -> DataFrame:
         return self._bucketed_chunks().filter(F.col("bucket").isin(touched))
@@ -251,18 +380,18 @@ class DocStore:
         staged = written(vectors.select("file_path", "chunk_index", "embedding"), "vectors")
         touched = self._touched(staged, "file_path")
         if touched:
-            old = self._in(touched)
-            new = changes.set_embeddings(old.drop("bucket"), staged).withColumn("bucket", self.bucket_of(F.col("file_path")))
-            self._overwrite("chunks", S.CHUNKS, new, touched, sort="file_path")
+            with self.change():
+                old = self._in(touched)
+                new = changes.set_embeddings(old.drop("bucket"), staged).withColumn("bucket", self.bucket_of(F.col("file_path")))
+                self._overwrite("chunks", S.CHUNKS, new, touched, SORTED["chunks"])
         return staged.count()
 
     def wipe(self) -> int:
         """Remove all documents with their index and links."""
         n = self.chunks().select("file_path").distinct().count()
-        for table in ("chunks", "postings", "terms", "links"):
-            fs, target = self._fs(self.path(table))
-            fs.delete(target, True)
-        self.init_schema()
+        with self.change():
+            for table in ("chunks", "postings", "terms", "links"):
+                self._pending.pop(table, None)
         return n
 
     # -- access log and crawl cache ---------------------------------------------------
@@ -293,13 +422,17 @@ class DocStore:
         return removed
 
     def update_crawl_cache(self, entries: DataFrame) -> None:
-        staged = written(S.with_missing_columns(entries, S.CRAWL_CACHE), "cache").dropDuplicates(["url"])
+        full = S.with_missing_columns(entries, S.CRAWL_CACHE)
+        # Of rows for one address the newest counts, of equally new ones the greatest hash.
+        newest = [F.col("timestamp").desc_nulls_last(), F.col("hash").desc_nulls_last(), F.col("etag").desc_nulls_last()]
+        staged = written(top_k(full, ["url"], newest, 1).drop("rank"), "cache")
         touched = self._touched(staged, "url")
         if not touched:
             return
-        old = self._open("crawl_cache", S.CRAWL_CACHE, BUCKET).filter(F.col("bucket").isin(touched) & F.col("url").isNotNull())
-        new = old.drop("bucket").join(staged.select("url"), "url", "left_anti").unionByName(staged)
-        self._overwrite("crawl_cache", S.CRAWL_CACHE, new.withColumn("bucket", self.bucket_of(F.col("url"))), touched)
+        with self.change():
+            old = self._open("crawl_cache", S.CRAWL_CACHE, BUCKET).filter(F.col("bucket").isin(touched))
+            new = old.drop("bucket").join(staged.select("url"), "url", "left_anti").unionByName(staged)
+            self._overwrite("crawl_cache", S.CRAWL_CACHE, new.withColumn("bucket", self.bucket_of(F.col("url"))), touched)
 
     def health(self) -> dict:
         out: dict = {"backend": "spark", "path": self.root, "version": self.spark.version}

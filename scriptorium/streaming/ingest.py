@@ -15,14 +15,20 @@ from scriptorium.sources.store import DocStore
 
 # Poll interval of the watcher (fixed value).
 INTERVAL = "1 second"
+# Files of one batch, so that a first look at a large folder is worked through in parts.
+FILES_PER_BATCH = 1000
 
 
-def file_stream(spark: SparkSession, root: str) -> DataFrame:
+def file_stream(spark: SparkSession, root: str, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
     """(file_path, mtime, length, content) of files as they appear below ``root``."""
     full, _ = file_source._qualified(spark, root)
     schema = "path string, modificationTime timestamp, length long, content binary"
     rows = (
-        spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(full)
+        spark.readStream.format("binaryFile")
+        .schema(schema)
+        .option("recursiveFileLookup", "true")
+        .option("maxFilesPerTrigger", files_per_batch)
+        .load(full)
     )
     relative = F.substring(F.col("path"), len(full) + 2, 2**31 - 1)
     named = rows.select(relative.alias("file_path"), F.col("modificationTime").alias("mtime"), "length", "content")

@@ -20,7 +20,7 @@ relations:
 ---
 # Setup guide
 
-Preamble that is dropped.
+Preamble that is kept.
 
 ## Installing payments
 
@@ -62,13 +62,14 @@ def paths(df):
 
 def test_ingest_is_incremental(engine, tree):
     again = {r.path: (r.action, r.chunks) for r in engine.ingest_path(str(tree)).collect()}
-    assert again["guide.md"] == ("unchanged", 2)
+    assert again["guide.md"] == ("unchanged", 3)
     assert {a for a, _ in again.values()} == {"unchanged", "skipped"}
 
 
 def test_metadata_and_sections(engine):
     rows = engine.store.document_chunks("guide.md").orderBy("chunk_index").collect()
-    assert [r.title for r in rows] == ["Installing payments", "Running"]
+    assert [r.title for r in rows] == ["Setup guide", "Installing payments", "Running"]
+    assert rows[0].content == "# Setup guide\n\nPreamble that is kept."
     assert rows[0].category == "guides" and rows[0].tags == ["alpha", "beta"]
     assert rows[0].audience == "all" and len(rows[0].content_hash) == 16
     assert engine.store.document_chunks("ops/billing.json").first().category == "ops"
@@ -101,7 +102,7 @@ def test_search_falls_back_to_paths(engine):
 
 def test_get_doc_and_log(engine):
     doc = engine.get_doc("guide.md", max_length=30).first()
-    assert doc.truncated and len(doc.content) == 33 and doc.title == "Installing payments"
+    assert doc.truncated and len(doc.content) == 33 and doc.title == "Setup guide"
     assert engine.get_doc("nope.md").count() == 0
     assert engine.store.access_log().filter("tool = 'get_doc'").count() == 1
     saved = engine.savings()["by_tool"].filter("tool = 'get_doc'").first()
@@ -173,7 +174,7 @@ def test_diff_prune_export(engine, tree, tmp_path):
     engine.export(str(tmp_path / "csv"), "csv")
     engine.export(str(tmp_path / "md"), "markdown", category="guides")
     text = engine.spark.read.text(str(tmp_path / "md"), wholetext=True).first().value
-    assert text.startswith("---\nfile_path: guide.md\ntitle: Installing payments\n")
+    assert text.startswith("---\nfile_path: guide.md\ntitle: Setup guide\n")
 
 
 def test_history_and_cleanup(engine, tmp_path):
@@ -271,3 +272,68 @@ def test_one_bad_file_leaves_the_others(spark, tmp_path):
     report = {r.path: r.action for r in engine.ingest_path(str(tmp_path)).collect()}
     assert report["good.md"] == report["wide.csv"] == "ingested"
     assert set(report) == set(files)
+
+
+def docs_of(spark, *names):
+    rows = [(n, 0, n, f"words of {n}") for n in names]
+    return spark.createDataFrame(rows, "file_path string, chunk_index int, title string, content string")
+
+
+def test_a_failed_change_leaves_the_old_state(spark, tmp_path, monkeypatch):
+    store = Engine(spark, str(tmp_path / "s"), EngineConfig(writable=True, store_buckets=3)).store
+    store.replace_documents(docs_of(spark, "a.md", "b.md"))
+
+    def fail(*_):
+        raise OSError("lost between two writes")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(store, "_reindex", fail)
+        with pytest.raises(OSError):
+            store.replace_documents(docs_of(spark, "a.md", "c.md"))
+    again = Engine(spark, str(tmp_path / "s"), EngineConfig()).store
+    for reader in (store, again):
+        assert {r.file_path for r in reader.chunks().collect()} == {"a.md", "b.md"}
+        assert reader.index().terms.filter("term = 'c'").count() == 0
+    store.replace_documents(docs_of(spark, "c.md"))
+    assert again.chunks().count() == 3 and again.index().terms.filter("term = 'c'").count() == 1
+
+
+def test_a_change_of_several_tables_is_one(spark, tmp_path):
+    store = Engine(spark, str(tmp_path / "s"), EngineConfig(writable=True, store_buckets=3)).store
+    other = Engine(spark, str(tmp_path / "s"), EngineConfig()).store
+    links = spark.createDataFrame([("a.md", "b.md", "tests")], "source_path string, target_path string, relation_type string")
+    with store.change():
+        store.replace_documents(docs_of(spark, "a.md"))
+        store.insert_links(links)
+        assert other.chunks().count() == other.links().count() == 0 and store.chunks().count() == 1
+    assert other.chunks().count() == other.links().count() == 1
+
+
+def test_a_small_change_writes_few_files_and_a_second_writer_fails(spark, tmp_path, monkeypatch):
+    from scriptorium.sources import store as store_module
+
+    root = tmp_path / "s"
+    store = Engine(spark, str(root), EngineConfig(writable=True, store_buckets=8)).store
+    store.replace_documents(docs_of(spark, *[f"d{i}.md" for i in range(40)]))
+    before = {p for p in root.rglob("*.parquet")}
+    store.replace_documents(docs_of(spark, "d7.md"))
+    fresh = {p.relative_to(root).parts[0] for p in set(root.rglob("*.parquet")) - before}
+    assert len(set(root.rglob("*.parquet")) - before) == 3 and fresh == {"chunks", "postings", "terms"}
+    monkeypatch.setattr(store_module, "MAX_GENERATIONS", 3)
+    for i in range(5):
+        store.replace_documents(docs_of(spark, f"d{i}.md"))
+    assert len(set(store._state()["chunks"].values())) <= 3 and store.chunks().count() == 40
+    assert store.vacuum() > 0 and store.chunks().count() == 40 and store.index().terms.filter("term = 'word'").count() > 0
+    rival = Engine(spark, str(root), EngineConfig(writable=True)).store
+    with pytest.raises(RuntimeError, match="another writer"):
+        with store.change():
+            store.replace_documents(docs_of(spark, "mine.md"))
+            rival.replace_documents(docs_of(spark, "theirs.md"))
+    assert store.chunks().filter("file_path IN ('mine.md', 'theirs.md')").count() == 1
+
+
+def test_the_newest_row_of_an_address_counts(spark, tmp_path):
+    store = Engine(spark, str(tmp_path / "s"), EngineConfig(writable=True, store_buckets=2)).store
+    rows = [("https://a", "old", 1.0), ("https://a", "new", 3.0), ("https://a", "mid", 2.0)]
+    store.update_crawl_cache(spark.createDataFrame(rows, "url string, hash string, timestamp double"))
+    assert [r.hash for r in store.crawl_cache().collect()] == ["new"]

@@ -1,10 +1,11 @@
 """Pure functions and column expressions on small inputs."""
 
 import json
+import random
+import re
 
+import plain_chunker
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from scriptorium.config import EngineConfig
@@ -80,39 +81,71 @@ def test_front_and_links(spark):
     assert typed("---\nrelations:\n - {path: 'x*.md', type: tests}\n---") == []
 
 
-def titles(md, size=4000, **kw):
-    return [c["title"] for c in markdown.chunk_markdown(md, "d/file.md", size, **kw)]
+def chunked(spark, docs, size=4000, **kw):
+    rows = spark.createDataFrame([(i, d, "d/file.md") for i, d in enumerate(docs)], "i int, a string, p string")
+    got = rows.select("i", markdown.heading_chunks(F.col("a"), F.col("p"), size, **kw).alias("c")).orderBy("i").collect()
+    return [[c.asDict() for c in r.c] for r in got]
 
 
-def test_heading_chunks():
+def test_heading_chunks(spark):
+    def titles(md, size=4000, **kw):
+        return [c["title"] for c in chunked(spark, [md], size, **kw)[0]]
+
+    cut = {"keep_preamble": False, "min_section": 20}
     assert titles("# Title\n\nNo sections here.") == ["Title"]
-    assert titles("## Empty\n\n## Real\n\nThis section has real content.") == ["Real"]
-    assert markdown.chunk_markdown("## S\n\nlong enough content", "a/my-doc.md")[0]["section_path"] == "my-doc > S"
+    assert titles("## Empty\n\n## Real\n\nThis section has real content.", **cut) == ["Real"]
+    assert titles("## Empty\n\n## Real\n\nThis section has real content.") == ["Empty", "Real"]
+    assert chunked(spark, ["## S\n\nlong enough content"])[0][0]["section_path"] == "file > S"
     big = "# D\n\n## Big\n\nlost\n\n### A\n\n" + "A " * 100 + "\n\n### B\n\n" + "B " * 100
-    assert titles(big, 300) == ["A", "B"]
+    assert titles(big, 300, **cut) == ["A", "B"]
+    assert titles(big, 300) == ["Big", "A", "B"] and chunked(spark, [big], 300)[0][0]["content"] == "## Big\n\nlost"
     deep = "## S\n\n### T\n\n#### X\n\n" + "x " * 100 + "\n\n#### Y\n\n" + "y " * 100
     assert titles(deep, 250) == ["X", "Y"]
     paragraphs = "# D\n\n" + "\n\n".join(f"P{i} " + "x" * 80 for i in range(6))
     assert titles(paragraphs, 200)[:2] == ["D", "D (cont.)"]
-    assert titles("intro text long enough\n\n## S\n\nsection body long enough", keep_preamble=True) == ["file", "S"]
-    assert titles("") == ["file"]
+    assert titles("intro text long enough\n\n## S\n\nsection body long enough") == ["file", "S"]
+    assert titles("") == ["file"] and titles(None) == ["file"]
+
+
+def pack(spark, texts, size):
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, a string")
+    return [r.p for r in rows.select("i", markdown.packed_paragraphs(F.col("a"), size).alias("p")).orderBy("i").collect()]
 
 
-def test_packing_keeps_fences_and_tables_whole():
+def test_packing_keeps_fences_and_tables_whole(spark):
     code = "```python\n" + "\n\n".join(f"line {i}" for i in range(30)) + "\n```"
     table = "| a | b |\n| --- | --- |\n" + "\n".join(f"| {i} | {i} |" for i in range(30))
-    parts = markdown.pack_paragraphs(f"before\n\n{code}\n\nmiddle\n\n{table}\n\nafter", 60)
+    tall = "| a |\n" * 20_000
+    parts, long, rows = pack(spark, [f"before\n\n{code}\n\nmiddle\n\n{table}\n\nafter", "A" * 200, tall], 60)
     # The blank line right after a table still belongs to it.
     assert code in parts and any(p.startswith(table) for p in parts)
-    assert markdown.pack_paragraphs("A" * 200, 100) == ["A" * 200]
-    assert markdown.fenced_ranges("x\n```\nopen") == [(2, 10)]
+    assert long == ["A" * 200] and rows == [tall.strip()]
+
+
+def random_markdown(draw):
+    lines = ["", "", "", "a b", "x" * 30, "| a | b |", "  |c|", "|", "```", "```py", "~~~", "~~~~ x", "# One", "## Two", "### Three", "#### Four", "##no", "text | x |", "\u00a0"]
+    return "\n".join(draw.choice(lines) for _ in range(draw.randint(0, 40)))
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(alphabet="ab \n|`#~", max_size=300), st.integers(5, 60))
-def test_packing_loses_nothing(doc, size):
-    parts = markdown.pack_paragraphs(doc, size)
-    assert "".join("".join(parts).split()) == "".join(doc.split())
+@pytest.mark.parametrize("size", [5, 40, 90])
+def test_chunking_against_the_plain_chunker(spark, size):
+    draw = random.Random(size)
+    docs = [random_markdown(draw) for _ in range(400)]
+    for doc, got in zip(docs, pack(spark, docs, size), strict=True):
+        assert got == plain_chunker.pack_paragraphs(doc, size), repr(doc)
+    for doc, got in zip(docs, chunked(spark, docs, size, keep_preamble=False, min_section=20), strict=True):
+        assert got == plain_chunker.chunk_markdown(doc, "d/file.md", size), repr(doc)
+
+
+def test_chunking_loses_nothing(spark):
+    draw = random.Random(1)
+    docs = [random_markdown(draw) for _ in range(300)]
+    for doc, got in zip(docs, chunked(spark, docs, 40), strict=True):
+        bare = [c for c in "".join(doc.split()) if c != "#"]
+        kept = [c for c in "".join("".join(x["content"].split()) for x in got) if c != "#"]
+        # Heading lines without text of their own may go; nothing else does.
+        heads = len([c for line in doc.split("\n") if re.match("#{1,4} ", line) for c in "".join(line.split()) if c != "#"])
+        assert len(bare) - heads <= len(kept) <= len(bare)
 
 
 def test_converters(spark):
@@ -174,6 +207,8 @@ def test_sitemaps_robots_hosts(spark):
     assert locations(ns) == ["https://a/1?x=1&y"]
     assert locations("<sitemapindex><sitemap><loc>u.xml</loc></sitemap><!-- <sitemap><loc>no</loc></sitemap> --></sitemapindex>") == ["u.xml"]
     assert locations("<broken") == [] and locations("") == []
+    extended = "<sm:urlset><sm:url><image:image><image:loc>https://a/i.png</image:loc></image:image><sm:loc>https://a/p</sm:loc></sm:url></sm:urlset>"
+    assert locations(extended) == ["https://a/p"]
     hosts = {
         **dict.fromkeys(["localhost", "10.0.0.1", "x.internal", "127.0.0.1:80", "", "[::1]", "[::1]:80", "user@127.0.0.1"], True),
         **dict.fromkeys(["a:b@192.168.1.9:8080", "172.31.0.1", "[fe80::1]", "[fd00::2]", "[::ffff:10.0.0.1]", "2001:db8::1", "::"], True),
@@ -199,3 +234,23 @@ def test_config_ranges():
     assert config.candidate_limit(3, False) == 15 and config.candidate_limit(20, True) == 100 and config.clamp_limit(99) == 99
     capped = EngineConfig(collapse_by_doc=True, search_limit_max=20)
     assert capped.candidate_limit(20, True) == 20 and capped.clamp_limit(99) == 20
+
+
+def test_robots_rules_as_rows(spark):
+    texts = {
+        "a.org": "# head\nUser-agent: *\nDisallow: /x # all\nAllow: /x/open\nDisallow: /*.pdf$\nDisallow:\n\nUser-Agent: Bot/2.1\nUser-agent: other\nDisallow: /bot\n",
+        "b.org": "User-agent: bot\nDisallow: /\nAllow: /a+b\r\nAllow: /?q=\n",
+        "c.org": "Disallow: /lost\nnonsense",
+    }
+    rules = web.robots_rules(spark.createDataFrame(list(texts.items()), "host string, rules string"))
+    asked = {
+        "https://a.org/x": False, "https://a.org/x/open/1": True, "https://a.org/y": True, "https://a.org/f.pdf": False,
+        "https://a.org/f.pdf?x": True, "https://a.org/bot": True, "https://b.org/": True, "https://c.org/lost": True,
+        "https://none.org/x": True, "https://a.org": True,
+    }
+    urls = spark.createDataFrame([(u,) for u in asked], "url string")
+    assert {r.url: r.allowed for r in web.robots_verdicts(urls, rules, "someone").collect()} == asked
+    bot = {r.url: r.allowed for r in web.robots_verdicts(urls, rules, "MyBot").collect()}
+    assert bot["https://a.org/x"] and not bot["https://a.org/bot"] and not bot["https://b.org/"]
+    more = spark.createDataFrame([("https://b.org/a+b/c",), ("https://b.org/aab",), ("https://b.org/?q=1",)], "url string")
+    assert [r.allowed for r in web.robots_verdicts(more, rules, "bot").orderBy("url").collect()] == [True, True, False]

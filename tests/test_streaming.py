@@ -48,9 +48,13 @@ def test_log_stream_and_trailing_windows(spark, tmp_path):
     batch = {(r.as_of, r.tool): (r.calls, r.tokens_saved) for r in trailing_savings(stored.drop("day"), 3).collect()}
     assert batch[(datetime(2024, 1, 3), "search_docs")] == (2, 180)
     assert batch[(datetime(2024, 1, 6), "get_doc")] == (1, 0)
-    query = (
-        trailing_savings(events, 3).writeStream.outputMode("complete").format("memory").queryName("trailing").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    streamed = {(r.as_of, r.tool): (r.calls, r.tokens_saved) for r in spark.table("trailing").collect()}
-    assert streamed == batch
+
+    def streamed(mode, **options):
+        writer = trailing_savings(events, 3, **options).writeStream.outputMode(mode).format("memory").queryName(f"trailing_{mode}")
+        writer.trigger(availableNow=True).start().awaitTermination()
+        return {(r.as_of, r.tool): (r.calls, r.tokens_saved) for r in spark.table(f"trailing_{mode}").collect()}
+
+    assert streamed("complete", chained=False) == batch
+    # The last event is of a day that is not final; all windows of the others are.
+    final = streamed("append")
+    assert final and final.items() <= batch.items() and max(final)[0] < datetime(2024, 1, 20)
