@@ -165,10 +165,16 @@ def global_counts(tokens: DataFrame, narrow: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column("ids"):
-                found = np.bincount(np.frombuffer(ids.as_buffer(), dtype), minlength=len(total))
-                found[: len(total)] += total
-                total = found
+            if not batch.num_rows:
+                continue
+            # The ids of a batch lie side by side.
+            column = batch.column("ids").cast(pa.large_binary())
+            _, offsets, data = column.buffers()
+            ends = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+            ids = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(dtype)
+            found = np.bincount(ids, minlength=len(total))
+            found[: len(total)] += total
+            total = found
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], ["id", "n"])
 
@@ -233,7 +239,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     source = tokenizer or default_tokenizer()
     narrow = narrow_ids(source, end_id)
     dtype = "<u2" if narrow else "<u4"
-    tokens = written(token_ids(docs, source, end_id), "ids")
+    scratch = scratch_table(spark, "ids")
+    token_ids(docs, source, end_id).write.option("compression", "zstd").parquet(scratch)
+    tokens = spark.read.schema("doc_id long, text_key long, ids binary").parquet(scratch)
     # At most one row for each id of the tokenizer.
     counted = global_counts(tokens, narrow).orderBy("id").toPandas()
     ids = counted["id"].to_numpy(np.int32)
