@@ -648,6 +648,17 @@ RERANKED = f"""WITH {_occurrences(CHUNKS, QUERIES, True)}, {_bm25_scored()},
   SELECT query_id, rank, file_path, chunk_index, score, round(1.0 / (1.0 + exp(-logit)), 4) AS rerank_score
   FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY logit DESC, found) AS rank FROM l) WHERE rank <= 5"""
 
+RERANKED_DOCUMENTS = f"""WITH {_occurrences(CHUNKS, QUERIES, True)}, {_bm25_scored()},
+  first AS (SELECT * FROM (SELECT scored.query_id, scored.cid, score, row_number() OVER (PARTITION BY scored.query_id, file_path ORDER BY score DESC, cid) AS place
+    FROM scored JOIN c USING (cid)) WHERE place = 1),
+  h AS (SELECT query_id, rank AS found, file_path, chunk_index, score,
+    list_distinct(list_filter(string_split_regex(lower(query), '\\s+'), lambda w: w <> '')) AS qs,
+    list_distinct(list_filter(string_split_regex(lower(content), '\\s+'), lambda w: w <> '')) AS ps
+    FROM ({_ranked('first', 25)}) r JOIN c USING (cid) JOIN q USING (query_id)),
+  l AS (SELECT *, CAST(len(list_intersect(qs, ps)) AS DOUBLE) / len(qs) AS logit FROM h)
+  SELECT query_id, rank, file_path, chunk_index, score, round(1.0 / (1.0 + exp(-logit)), 4) AS rerank_score
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY logit DESC, found) AS rank FROM l) WHERE rank <= 5"""
+
 HISTORY_CHUNKS = HISTORIES.split("SELECT 'git-history/' || file AS file_path")[0] + """SELECT 'git-history/' || file AS file_path,
   CAST(position - 1 AS INTEGER) AS chunk_index, substr(split_part(section, chr(10), 1), 4) AS title,
   regexp_replace(section, '\\s+$', '') AS content, file || ' — Change History > ' || substr(split_part(section, chr(10), 1), 4) AS section_path FROM t"""

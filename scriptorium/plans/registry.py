@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.config import EngineConfig
 from scriptorium.functions import convert, markdown, text, web
 from scriptorium.functions.text import ENGLISH, PLAIN, PORTER
 from scriptorium.operators import (
@@ -771,11 +772,22 @@ def search_pipeline(spark, sf):
     """Every passage through the whole path: cleaning, dispatch, retrieval, cut."""
     from scriptorium.plans.search import SearchTables, search
 
-    tables = SearchTables(with_chunk_id(corpus.chunks(spark, sf)), None, corpus.chunk_index(spark, sf, PORTER))
+    tables = SearchTables(with_chunk_id(corpus.chunks(spark, sf)), None, corpus.chunk_blocks(spark, sf, PORTER))
     asked = corpus.text_queries(spark, sf).withColumn("query", F.concat(F.lit(" \n"), "query", F.lit("\t")))
     return hit_columns(search(tables, asked, 5))
 
 
+@query("search_reranked", oracle.RERANKED_DOCUMENTS)
+def search_reranked(spark, sf):
+    """The whole path with a pair scorer: best chunk of each document, reranked, cut to five."""
+    from scriptorium.plans.search import SearchTables, search
+
+    tables = SearchTables(with_chunk_id(corpus.chunks(spark, sf)), None, corpus.chunk_blocks(spark, sf, PORTER))
+    config = EngineConfig(rerank_enabled=True, collapse_by_doc=True)
+    hits = search(tables, corpus.text_queries(spark, sf), 5, config, overlap_scores)
+    return hits.select("query_id", "rank", "file_path", "chunk_index", "score", "rerank_score")
+
+
 @query("search_within", oracle.SEARCH_WITHIN)
 def search_within(spark, sf):
     """Passages asked within the German and French documents: filtered first, ranked then."""

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from scriptorium.config import EngineConfig
 from scriptorium.functions.text import Analyzer
-from scriptorium.operators import fusion, keyword, lookup, rerank
+from scriptorium.operators import blockmax, fusion, keyword, lookup, rerank
+from scriptorium.operators.blockmax import BlockIndex
 from scriptorium.operators.index import TextIndex, with_chunk_id
 from scriptorium.session import written
 
@@ -22,7 +23,8 @@ Ranking = Callable[[DataFrame, DataFrame, int], DataFrame]
 class SearchTables:
     chunks: DataFrame
     vectors: DataFrame | None
-    index: TextIndex
+    # Hybrid searches and searches within given chunks take the row-wise index.
+    index: TextIndex | BlockIndex
     # The chunks a keyword search is limited to, by chunk_id; all when None.
     within: DataFrame | None = None
 
@@ -55,7 +57,14 @@ def _shared(hits: DataFrame) -> DataFrame:
 
 
 def _keyword(tables: SearchTables, queries: DataFrame, limit: int, config: EngineConfig) -> DataFrame:
-    hits = keyword.keyword_search(tables.index, queries, tables.chunks, limit, config, by_document=config.collapse_by_doc, within=tables.within)
+    if isinstance(tables.index, BlockIndex):
+        if tables.within is not None:
+            raise ValueError("a search within given chunks needs the row-wise index")
+        queries, small = keyword.bounded_queries(queries, limit, config)
+        found = blockmax.search(tables.index, queries, limit, config, by_document=config.collapse_by_doc)
+        hits = keyword.attach_chunks(found.select("query_id", "chunk_id", "score", "rank"), tables.chunks, small)
+    else:
+        hits = keyword.keyword_search(tables.index, queries, tables.chunks, limit, config, by_document=config.collapse_by_doc, within=tables.within)
     like_path = queries.filter(F.contains("query", F.lit("/")) | F.contains("query", F.lit(".")))
     if like_path.isEmpty():
         return hits
