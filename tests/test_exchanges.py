@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from scriptorium.operators import graph
-from scriptorium.plans import corpus, ingest
+from scriptorium.plans import corpus, ingest, registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,3 +40,12 @@ def test_chunking_computes_each_text_once(spark):
     chunked = ingest.chunk_documents(docs, 600)
     shown = chunked._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"\bbody#\d+", shown.split("LogicalRDD")[0])) <= 4
+
+
+def test_titles_of_related_pages_need_no_commits(spark, monkeypatch):
+    def no_commits(*_):
+        raise AssertionError("commits read for page links")
+
+    monkeypatch.setattr(corpus, "commit_files", no_commits)
+    monkeypatch.setattr(corpus, "_SHARED", {})
+    registry.QUERIES["related_titles"](spark, SF)
