@@ -49,3 +49,20 @@ def test_titles_of_related_pages_need_no_commits(spark, monkeypatch):
     monkeypatch.setattr(corpus, "commit_files", no_commits)
     monkeypatch.setattr(corpus, "_SHARED", {})
     registry.QUERIES["related_titles"](spark, SF)
+
+
+def test_pairs_of_files_are_exchanged_as_numbers_without_a_distinct_before(spark):
+    shown = plan(registry.QUERIES["co_change_links"](spark, SF))
+    assert len(re.findall(r"Exchange hashpartitioning", shown)) == 2
+    # Read upwards: the pairs' exchange comes straight after they are made, names come last.
+    below = shown.split("Exchange hashpartitioning(a#")[1]
+    assert "keys=[a#" not in below and "parts/part-" not in below
+
+
+def test_titles_of_related_pages_need_no_commit_numbers(spark, monkeypatch):
+    def no_commits(*_):
+        raise AssertionError("commits read for page links")
+
+    monkeypatch.setattr(corpus, "commit_parts", no_commits)
+    monkeypatch.setattr(corpus, "_SHARED", {})
+    registry.QUERIES["related_titles"](spark, SF)
