@@ -66,3 +66,11 @@ def test_titles_of_related_pages_need_no_commit_numbers(spark, monkeypatch):
     monkeypatch.setattr(corpus, "commit_parts", no_commits)
     monkeypatch.setattr(corpus, "_SHARED", {})
     registry.QUERIES["related_titles"](spark, SF)
+
+
+def test_hybrid_search_takes_its_keyword_hits_from_blocks(spark, monkeypatch):
+    def no_postings(*_):
+        raise AssertionError("postings joined with the queries")
+
+    monkeypatch.setattr(corpus, "chunk_index", no_postings)
+    assert registry.QUERIES["hybrid_rrf"](spark, SF).count() > 0
