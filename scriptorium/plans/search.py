@@ -23,7 +23,7 @@ Ranking = Callable[[DataFrame, DataFrame, int], DataFrame]
 class SearchTables:
     chunks: DataFrame
     vectors: DataFrame | None
-    # Hybrid searches and searches within given chunks take the row-wise index.
+    # Searches within given chunks take the row-wise index.
     index: TextIndex | BlockIndex
     # The chunks a keyword search is limited to, by chunk_id; all when None.
     within: DataFrame | None = None
