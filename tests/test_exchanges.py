@@ -74,3 +74,12 @@ def test_hybrid_search_takes_its_keyword_hits_from_blocks(spark, monkeypatch):
 
     monkeypatch.setattr(corpus, "chunk_index", no_postings)
     assert registry.QUERIES["hybrid_rrf"](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("name", ["hybrid_linear", "search_within"])
+def test_blended_and_limited_searches_need_no_postings(spark, monkeypatch, name):
+    def no_postings(*_):
+        raise AssertionError("postings joined with the queries")
+
+    monkeypatch.setattr(corpus, "chunk_index", no_postings)
+    assert registry.QUERIES[name](spark, SF).count() > 0
