@@ -154,8 +154,7 @@ def ingest_history(
     dry_run: bool = False,
 ) -> DataFrame:
     """One history document per file, with its links; reports per document."""
-    picked = history.commits_per_file(heads, commit_files, max_commits, include, exclude)
-    rendered = written(history.render_histories(picked, heads, commit_files), "rendered")
+    rendered = written(history.file_histories(heads, commit_files, max_commits, include, exclude), "rendered")
     hashed = rendered.withColumn("content_hash", content_hash(F.col("content")))
     near = store.chunks_near(rendered)
     stored = changes.stored_hashes(near).select("file_path", F.col("content_hash").alias("stored_hash"))

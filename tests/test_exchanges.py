@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from scriptorium.operators import graph
+from scriptorium.operators import graph, history
 from scriptorium.plans import corpus, ingest, registry
 
 SF = "/root/testdata/sf0.001"
@@ -83,3 +83,29 @@ def test_blended_and_limited_searches_need_no_postings(spark, monkeypatch, name)
 
     monkeypatch.setattr(corpus, "chunk_index", no_postings)
     assert registry.QUERIES[name](spark, SF).count() > 0
+
+
+def test_histories_exchange_a_row_once_by_commit_and_once_by_file(spark):
+    shown = plan(registry.QUERIES["history_markdown"](spark, SF))
+    exchanged = re.findall(r"Exchange hashpartitioning\((\w+)#", shown)
+    assert exchanged.count("file") == 1 and len(exchanged) <= 4
+    # What follows from the order's own columns is made behind the exchange by file.
+    assert "sha2" not in shown.split("Exchange hashpartitioning(file#")[1]
+
+
+def test_histories_of_some_files_and_of_the_newest_commits(spark):
+    heads = [(i, f"h{i}", "ann", "", f"2026-01-{1 + i // 2:02d}T00:00:00", f"s{i}", "") for i in range(8)]
+    heads = spark.createDataFrame(heads, "commit_id int, hash string, author string, author_email string, date string, subject string, body string")
+    touched = [(i, f"f{j:02d}") for i in range(8) for j in range(14 if i == 7 else 3)]
+    files = spark.createDataFrame(touched, "commit_id int, file string")
+    found = {r.file: r for r in history.file_histories(heads, files, 3, "f0*", "f02").collect()}
+    assert sorted(found) == [f"f{j:02d}" for j in range(10) if j != 2] and found["f00"].commits == 3
+    assert re.findall(r"(?m)^## \S+ (\w+)", found["f00"].content) == ["s6", "s7", "s4"]
+    shown = "Also changed: " + ", ".join(f"f{j:02d}" for j in range(11) if j != 5) + "\n  (+3 more files)"
+    assert shown in found["f05"].content
+
+
+def test_chunking_takes_no_value_from_a_transformed_array(spark):
+    """Its type would be worked out for every row, through all that is nested in it."""
+    docs = spark.createDataFrame([("a.md", "x")], "file_path string, body string")
+    assert "transform(array(" not in ingest.chunk_documents(docs, 600)._jdf.queryExecution().optimizedPlan().toString()
