@@ -235,7 +235,7 @@ def crawl_pages(
     judged = normal.withColumns({"allowed": allowed, "private": private})
     plain = F.coalesce(F.col("is_plain_text"), F.lit(False)) if "is_plain_text" in extras else F.lit(False)
     open_ = F.col("allowed") & ~F.col("private")
-    rich = web.page_markdown(F.when(open_ & ~plain, F.col("html")), url)
+    rich = web.page_markdown(F.when(open_ & ~plain, F.col("html")))
     text = F.coalesce(F.when(open_ & plain, F.btrim("html", F.lit(WHITESPACE))), rich)
     stored = changes.stored_hashes(store.chunks_near(normal, "url")).select(
         F.col("file_path").alias("url"), F.col("content_hash").alias("stored_hash")

@@ -254,3 +254,22 @@ def test_robots_rules_as_rows(spark):
     assert bot["https://a.org/x"] and not bot["https://a.org/bot"] and not bot["https://b.org/"]
     more = spark.createDataFrame([("https://b.org/a+b/c",), ("https://b.org/aab",), ("https://b.org/?q=1",)], "url string")
     assert [r.allowed for r in web.robots_verdicts(more, rules, "bot").orderBy("url").collect()] == [True, True, False]
+
+
+def test_pages_are_converted_one_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    pages = pa.array([f"<html><body><p>{'word ' * 60}{i}</p></body></html>" for i in range(50)] + [None])
+    alive = []
+
+    class Text(str):
+        def __del__(self):
+            alive.remove(id(self))
+
+    def once(html):
+        alive.append(id(text := Text(html)))
+        assert len(alive) == 1
+        return text[:5]
+
+    monkeypatch.setattr(web, "extract_page", once)
+    assert web._extract.func(pages).to_pylist() == ["<html"] * 50 + [None]
