@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,6 +136,50 @@ def test_pieces_encode_like_whole_texts():
         assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_columns_encode_like_whole_texts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokens.default_tokenizer())
+    rng = random.Random(9)
+    plain = ["word", "Word", "ß", "don't", "it's.", "'re", "a,b", "x.\nY", "x\nY", "x.\n&", "été!!!", "12", "a1.", "<|endoftext|>", "a<b|c", "Ω.", "ªb,", "..", ",", "", "<|", "~"]
+    odd = [*plain, "\n", "end\n", "\tx", "y\t", "\x1cz", "\u3000", "a\x85", "x" * 90 + "."]
+    texts = [" ".join(rng.choices(rng.choice([plain[:-3], plain, odd]), k=rng.randint(0, 12))) + rng.choice(["", "", "\n", " "]) for _ in range(1500)]
+    texts += ["", " ", "  ", "\n", " \n", "\n a", "a\n b", "a \nb", " a", "a  b", "a b\n", "b\n a b\n"]
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    for size in (tokens.BATCH_BYTES, 300, 1):
+        monkeypatch.setattr(tokens, "BATCH_BYTES", size)
+        for kind in (pa.string(), pa.large_string()):
+            column, own = pa.array(["left out", *texts], kind)[1:], tokens.PieceEncoder(tokens.default_tokenizer())
+            for text, ids, found in zip(texts, want, tokens.encoded(own, column), strict=True):
+                assert np.frombuffer(found, "<u4").tolist() == ids, repr(text)
+
+
+def test_a_word_is_tokenised_once_whatever_mark_follows(monkeypatch):
+    own = tokens.PieceEncoder(tokens.default_tokenizer())
+    seen, tokenize = [], own._tokenize
+    monkeypatch.setattr(own, "_tokenize", lambda texts: tokenize(seen.extend(texts) or texts))
+    text = "a letterless letterless, letterless. letterless!? letterless.\nThe letterless\nThe end"
+    found = [np.frombuffer(ids, "<u4").tolist() for ids in tokens.encoded(own, pa.array([text, text]))]
+    assert found == 2 * [own.tokenizer.encode(text, add_special_tokens=False).ids]
+    assert sum(part.count("letterless") for part in seen) == 1 and sum(part.count("The") for part in seen) == 1
+
+
+def test_tokenizers_whose_pieces_are_not_taken_apart():
+    from tokenizers import Tokenizer, normalizers
+
+    own = Tokenizer.from_file(tokens.default_tokenizer())
+    whole, atom = tokens.atoms(own)
+    assert whole.fullmatch("end.\nNext,") and atom.findall("end.\nNext,") == ["end", ".", "\n", "Next", ","]
+    assert not any(map(whole.fullmatch, ["a<b", "a|b", "it's", "a1", "a\n", "a.\n\nB", "a.\n&", ".a", "Ω."]))
+    own.add_tokens(["a.b"])
+    assert not tokens.atoms(own)[0].fullmatch("a.") and tokens.atoms(own)[0].fullmatch("a,")
+    own.add_tokens(["word"])
+    assert tokens.atoms(own) is None
+    own = Tokenizer.from_file(tokens.default_tokenizer())
+    own.normalizer = normalizers.Lowercase()
+    assert tokens.atoms(own) is None
+
+
 def test_a_full_memory_changes_no_ids(monkeypatch):
     monkeypatch.setattr(tokens, "MEMO_PIECES", 4)
     monkeypatch.setattr(tokens, "MEMO_CHARS", 6)
